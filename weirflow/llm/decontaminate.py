@@ -181,6 +181,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no window of an item, with all their columns; decided row by row, also where ids are null or repeated."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
+    found = contamination(rows, benchmark, "_row", "text", item_col, item_text_col, block_chars)
+    return found.where("size(items) = 0").select("doc_id.*")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query, from those of contamination()."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
