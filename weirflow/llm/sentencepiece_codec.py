@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +56,8 @@ class Codec:
         for i in plain:
             self.text[i] = pieces[i]
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        for b in range(128):  # such a byte is a character of its own
+            self.text[self.bytes[b]] = chr(b)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.made: dict[str, tuple[float, str, str]] = {}
         self.kind = {p[:k]: BEGINS for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, PIECE)
@@ -200,20 +203,16 @@ class Codec:
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        held = bytearray()
-        table, byte_of = self.text, self.byte_of
-        for i in ids:
-            p = table[i]
-            if p:
-                if held:
-                    out.append(held.decode("utf-8", "replace"))
+        table = self.text
+        out = [table[i] for i in ids]
+        if "" in out:  # bytes of longer characters, or control ids
+            held = bytearray()
+            for k, (i, p) in enumerate(zip(ids, out, strict=True)):
+                if not p and i in self.byte_of:
+                    held.append(self.byte_of[i])
+                if held and (k + 1 == len(ids) or out[k + 1]):
+                    out[k] = held.decode("utf-8", "replace")
                     held.clear()
-                out.append(p)
-            elif i in byte_of:
-                held.append(byte_of[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
         text = "".join(out).replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
@@ -256,7 +255,7 @@ def summed(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
     for text in batch.column("text").to_pylist():
         known = c.new.get
         found = [known(w) or c.word(w) for w in c.words(text)]
-        ids = [i for own, _ in found for i in own]
+        ids = list(chain.from_iterable([own for own, _ in found]))
         n.append(len(ids))
         digests.append(hashlib.sha256(",".join(s for _, s in found).encode()).hexdigest())
         same.append(c.decode(ids) == text.replace(SPACE, " "))
