@@ -6,15 +6,16 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(x: pd.Series) -> pd.Series:
     """COMPRESS: zlib of the text in UTF-8; null stays null."""
     return x.map(lambda v: None if v is None else zlib.compress(v.encode()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decompress(x: pd.Series) -> pd.Series:
     """DECOMPRESS: null for what zlib cannot read."""
 
@@ -78,7 +79,7 @@ def _metaphone(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def metaphone(x: pd.Series) -> pd.Series:
     """METAPHONE: the classic consonant code of a word."""
     return x.map(lambda v: None if v is None else _metaphone(v))

@@ -32,7 +32,7 @@ def fn_date(t: Tables) -> DataFrame:
 DAYS = ("year", "quarter", "month", "week", "day", "hour")
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"date_diff('{u}', o_orderdate, TIMESTAMP '1998-12-31 22:30:00') AS {u}s" for u in DAYS) + " FROM orders")
+@query("SELECT o_orderkey, " + ", ".join(f"date_diff('{u}', o_orderdate, TIMESTAMP '1998-12-31 22:30:00') AS {u}s" for u in DAYS if u != "week") + ", date_diff('day', date_trunc('week', o_orderdate), TIMESTAMP '1998-12-28') // 7 AS weeks FROM orders")
 def datediff_boundary(t: Tables) -> DataFrame:
     end = F.expr("timestamp_ntz'1998-12-31 22:30:00'")
     return t.orders.select("o_orderkey", *[f.boundaries(u, "o_orderdate", end).alias(f"{u}s") for u in DAYS])
