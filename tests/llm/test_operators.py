@@ -1,0 +1,444 @@
+"""The training-text operators against brute force, and their defined results for odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from weirflow.llm import components, decontaminate, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, warc
+from weirflow.llm import compression_classifier as cc
+
+WORDS = "alpha beta gamma delta été über naïve one two three four five six seven eight nine ten stream tables join merge".split()
+ODD = [(1, None, "x"), (2, "", "y"), (3, " \n\t ", None), (4, "word", "z"), (4, "word", "z"), (None, "no id here at all", "q")]
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty and repeated rows, a null id, a very long text, and columns with names that operators use themselves."""
+    rows = [(i, t, s, 7, "k") for i, t, s in [*ODD, (9, "lorem ipsum " * 60_000, "long")]]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_words int, key string")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id bigint, text string, source string, n_chars bigint")
+
+
+# 1
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+PII = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def pii_spans(t):
+    out = []
+    for k, rx in enumerate(PII):
+        for m in re.finditer(rx, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = (True, k == 1 and all(int(p) <= 255 for p in m[0].split(".")), 12 <= len(d) <= 19 and luhn(d), 9 <= len(d) <= 15)[k]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def listed(spans, kinds):
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.fit(spark)
+
+
+def test_pii_base_spans(spark, pii_model):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("0123456789 .-@+()axé_") for _ in range(rng.randrange(120)))) for i in range(600)]
+    rows += [(1000, "1.2.3.4 " * 300 + "a@b.co " * 200), (1001, "9" * 30_000), (1002, "a@b.com_x@d.e 4111 1111 1111 1111 +1 (743) 555-3824 é 227.5.221.1"), (1003, None), (1004, "")]
+    got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string"), pii_model).collect()}
+    for i, t in rows:
+        base = pii_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(listed(base, pii.KINDS).encode()).hexdigest(), t
+        assert [got[i]["n_" + k] for k in pii.KINDS] == [sum(x[1] == n for x in base) for n in range(4)]
+        assert not base or set(listed(base, pii.KINDS).split(",")) <= set(got[i]["spans"].split(","))
+
+
+def test_pii_generators_and_redaction(spark, pii_model):
+    rows = [(1, "call me on 555-123-4567 or mail: jo.smith12 [at] host3.org", 7), (2, None, 8), (3, "version 123.456.7890 of order 555-123-4567", 9), (4, "a b@c.de f", 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, base int")
+    got = {r["doc_id"]: r for r in pii.redact(df, pii_model).collect()}
+    assert pii.redact(df, pii_model).columns == df.columns
+    assert got[1]["text"] == "call me on <PHONE> or mail: <EMAIL>" and got[1]["base"] == 7
+    assert got[2]["text"] is None and got[3]["text"] == rows[2][1] and got[4]["text"] == "a <EMAIL> f"
+
+
+def test_pii_is_native(spark, pii_model):
+    plan = pii.digest(spark.createDataFrame([(1, "x")], "doc_id int, text string"), pii_model)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# 2
+
+
+def test_quality_measures(odd):
+    got = quality_rules.digest(odd).collect()
+    assert len(got) == 7 and all(not r["kept"] for r in got)
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["n_words"] == by[2]["n_words"] == by[3]["n_words"] == 0 and by[9]["n_repeat_words"] == 120_000
+    rng = random.Random(1)
+    for _ in range(200):
+        w = [rng.choice(WORDS[:4]) for _ in range(rng.randrange(40))]
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        marked = {i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(5)}
+        assert quality_rules.repeated_words([x.encode() for x in w]) == len(marked)
+    many = [str(i).encode() for i in range(7000)] * 2
+    assert quality_rules.repeated_words(many) == 14_000
+
+
+def test_quality_ledger_and_ablation(spark):
+    rows = [(1, text(random.Random(1), 60)), (2, "too short"), (3, "A!! " * 20), (4, "x| y| " * 30 + text(random.Random(2), 5))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    book = quality_rules.ledger(quality_rules.measure(docs)).collect()
+    table = {r["rule"]: r for r in quality_rules.ablation(quality_rules.ledger(quality_rules.measure(docs))).collect()}
+    mask = quality_rules.CURRENT.mask
+    for rule, r in table.items():
+        bit = quality_rules.bits(rule)
+        assert r["n_failed"] == sum(bool(b["failed_bits"] & bit) for b in book)
+        assert r["n_alone"] == sum(b["failed_bits"] & mask == bit for b in book)
+        assert r["n_rejected_without"] == sum(b["failed_bits"] & mask & ~bit != 0 for b in book)
+
+
+def test_quality_filter_keeps_columns(odd, none):
+    kept = quality_rules.filter_documents(odd, quality_rules.Policy("none", 0))
+    assert kept.columns == odd.columns and kept.count() == 7
+    assert quality_rules.filter_documents(odd).count() == 0
+    assert quality_rules.filter_documents(none).columns == none.columns
+
+
+# 3
+
+
+def contamination(docs, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for i, t in docs:
+        w, hit, who = words(t), set(), set()
+        for item, it in items:
+            v = words(it)
+            n = min(10, len(v))
+            held = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)} if n and item is not None else set()
+            for j in range(len(w) - n + 1):
+                if n and tuple(w[j : j + n]) in held:
+                    hit.update(range(j, j + n))
+                    who.add(str(item))
+        out.append((i, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("block", [10_000_000, 200])
+def test_decontamination(spark, block):
+    rng = random.Random(3)
+    items = [(k, text(rng, rng.choice([3, 9, 10, 12, 30]))) for k in range(12)] + [(50, None), (51, " .. "), (None, text(rng, 20)), (3, text(rng, 15)), (60, "stream stream stream stream stream stream stream stream stream stream stream"), (61, "merge")]
+    docs = [(i, text(rng, rng.randrange(80))) for i in range(60)]
+    for k in range(40):
+        a = items[rng.randrange(12)][1].split()
+        cut = rng.randrange(max(1, len(a) - 9))
+        docs.append((100 + k, text(rng, 9) + ". " + ", ".join(a[cut : cut + rng.choice([9, 10, 11])]).upper().replace("É", "é").replace("Ü", "ü").replace("Ï", "ï") + " " + text(rng, 5)))
+    docs += [(200, None), (201, ""), (202, "stream " * 30), (202, "stream " * 30), (None, items[4][1])]
+    d = spark.createDataFrame(docs, "doc_id int, text string").withColumn("key", F.lit(1)).withColumn("items", F.lit("x"))
+    b = spark.createDataFrame(items, "item_id int, text string")
+    got = [tuple(r) for r in decontaminate.digest(decontaminate.contamination(d, b, block_chars=block)).collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(contamination(docs, items), key=key)
+    kept = decontaminate.remove_contaminated(d, b, block_chars=block)
+    assert kept.columns == d.columns and kept.count() == sum(not r[5] for r in contamination(docs, items))
+
+
+def test_decontamination_without_items(odd, spark):
+    found = decontaminate.digest(decontaminate.contamination(odd, spark.createDataFrame([], "item_id int, text string")))
+    assert found.count() == 7 and not any(r["contaminated"] for r in found.collect())
+
+
+# 4
+
+
+def test_near_duplicates(spark, odd, none):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    docs, want = [], {}
+    for g in range(30):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([6, 40, 150, 400]))]
+        for c in range(rng.randrange(1, 7)):
+            w = list(base)
+            if c and len(w) >= 150:
+                w[rng.randrange(len(w))] = "changed" + str(c)
+            docs.append((len(docs), " ".join(w)))
+            want[len(docs) - 1] = g
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    for _ in range(20):  # many texts share a passage and are no copies
+        docs.append((len(docs), " ".join([*(rng.choice(vocabulary) for _ in range(80)), *passage])))
+        want[len(docs) - 1] = len(docs) + 1000
+    got = dict(tuple(r) for r in order_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id int, text string")).collect())
+    least = {}
+    for i, g in sorted(want.items()):
+        least.setdefault(g, i)
+    assert got == {i: least[g] for i, g in want.items()}
+    alone = order_minhash.near_duplicates(odd).collect()
+    assert len(alone) == 7 and sorted((r["doc_id"], r["class_id"]) for r in alone if r["doc_id"]) == [(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (9, 9)]
+    kept = order_minhash.keep_representatives(odd)
+    assert kept.columns == odd.columns and kept.count() == 6
+    assert order_minhash.near_duplicates(none).count() == 0
+
+
+def test_alignment_is_exact():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = rng.sample(range(60), rng.randrange(1, 40))
+        b = [x for x in a if rng.random() > 0.08]
+        for _ in range(rng.randrange(3)):
+            b.insert(rng.randrange(len(b) + 1), 100 + rng.randrange(50))
+        b = list(dict.fromkeys(b))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        c = table[-1][-1]
+        s = c / (len(a) + len(b) - c)
+        assert order_minhash.aligned(a, b) == (s if s >= 0.8 else 0.0)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {x: find(x) for x in root}
+
+
+# 5
+
+
+def test_masked_lm(spark, odd, none):
+    rng = random.Random(6)
+    pairs = {w: rng.choice(WORDS) for w in WORDS}
+
+    def made(n):
+        out = [rng.choice(WORDS)]
+        while len(out) < n:
+            out.append(pairs[out[-1]] if rng.random() < 0.8 else rng.choice(WORDS))
+        return " ".join(out)
+
+    train = spark.createDataFrame([(i, made(200)) for i in range(400)], "doc_id int, text string").repartition(2)
+    net = masked_lm.train(train, rounds=3)
+    test = spark.createDataFrame([(0, made(300)), (1, text(rng, 300)), (2, "unseen strings only here " * 30)], "doc_id int, text string")
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.score(test, net).collect()}
+    assert got[0] > got[1] > got[2] and got[0] > -3.1  # -3.1: nothing but the frequency of 22 words
+    rows = {(r["doc_id"], r["n_tokens"], r["mean_log_likelihood"] is None) for r in masked_lm.score(odd, net).collect()}
+    assert {(1, 0, True), (2, 0, True), (3, 0, True), (4, 1, False), (9, 120_000, False)} <= rows
+    assert masked_lm.score(none, masked_lm.train(none)).count() == 0
+
+
+# 6
+
+
+def test_archives(spark, tmp_path):
+    page = "<p>" + "long enough to be revisited " * 6 + "é</p>"
+    rows = [(5, "http://a.example/x y", page), (3, "http://b.example/", page), (3, "http://b.example/", page), (9, None, page), (None, "http://c.example/", page), (1, "http://d.example/", "short"), (2, "http://e.example/", "short"), (4, "http://f.example/", None), (7, "http://g.example/", "a\r\n\r\nWARC/1.1\r\n" + "z" * 99)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(1)
+    got = [tuple(r) for r in warc.digest(pages, "file://" + str(tmp_path)).collect()]
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        again = len(raw) >= 100 and h == page and i != 3
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 3 if again else None))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    full = {r["id"]: r for r in warc.read_warc(spark, "file://" + str(tmp_path) + "/warc").collect()}
+    assert full["7"]["payload"] == rows[-1][2].encode() and full["5"]["refers_to_record"] == full["3"]["record_id"] and full["5"]["url"] == "http://a.example/x%20y"
+    assert full["1"]["date"] == "2000-01-01T00:00:00Z"
+    assert warc.digest(pages.limit(0), "file://" + str(tmp_path / "none")).count() == 0
+
+
+def test_arc_versions():
+    block = warc.http_response(1, b"payload")
+    for version in (1, 2):
+        data = warc.arc_file(version, "a.arc", [warc.arc_header(version, "http://a/", "20010203040506", "text/html; charset=x", block) + block])
+        head, rec = list(warc.parse_arc(data))
+        assert head[0]["URL"].startswith("filedesc:") and rec[0]["Content-type"] == "text/html; charset=x" and rec[0]["Archive-date"] == "20010203040506" and rec[1] == block
+        with pytest.raises(ValueError, match="declares"):
+            list(warc.parse_arc(data[:-3]))
+
+
+# 7
+
+
+def test_sentencepiece(spark, odd, none):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    c = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab  e\tt▁he\nñ①😀 the in 0123 ing er re aa") for _ in range(rng.randrange(60))) for _ in range(500)]
+    texts += ["".join(rng.choice("thequickbrownfoxaeiou") for _ in range(20_000)), "a" * 5000, " ", "  x ", "", "\x00\x01"]
+    for t in texts:
+        ids = c.encode(t)
+        assert ids == model.encode(t)
+        assert c.decode(ids) == t.replace("▁", " ")
+    got = sentencepiece_codec.digest(odd).collect()
+    assert len(got) == 7 and all(r["round_trip"] for r in got) and {r["doc_id"]: r["n_ids"] for r in got}[1] == 0
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(odd)).collect()
+    assert {r["doc_id"]: r["text"] for r in back if r["doc_id"] == 9} == {9: "lorem ipsum " * 60_000}
+    assert sentencepiece_codec.digest(none).count() == 0
+
+
+def test_streaming_commits_within_a_window():
+    c = sentencepiece_codec.Codec(sentencepiece_codec.MODEL)
+    rng = random.Random(9)
+    widest = 0
+    meeting = c.meeting
+
+    def watched(last, to):
+        nonlocal widest
+        widest = max(widest, len(last))
+        return meeting(last, to)
+
+    c.meeting = watched
+    t = "".join(rng.choice("thequickbrownfoxaeiou") for _ in range(50_000))
+    assert "".join(c.pieces(t)) == t and 0 < widest < 40 * c.longest
+
+
+# 8
+
+
+def test_compression_classifier(spark, odd, none):
+    rng = random.Random(10)
+    noise = lambda n: " ".join("".join(rng.choice("#$%&|qxz") for _ in range(7)) for _ in range(n))
+    rows = [(i, text(rng, 120) if i % 3 else noise(90)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(3, None), (9999, 1)], "doc_id int, quality int")
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = cc.score(docs, cc.fit(docs, labels)).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 3 > 0) for r in held) >= 0.98 * len(held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    flipped = labels.withColumn("quality", F.when(cc.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert cc.fit(docs, labels) == cc.fit(docs, flipped)  # labels held out teach nothing
+    model = cc.fit(docs, labels)
+    assert cc.score(odd, model).count() == 7
+    assert cc.score(none, cc.fit(none, labels.limit(0))).count() == 0
+    assert {r["score"] for r in cc.score(odd, cc.fit(docs, labels.limit(0))).collect()} == {0.5}
+
+
+# 9
+
+
+SECRETS = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+
+
+def secret_spans(t):
+    out = []
+    for k, rx in enumerate(SECRETS):
+        for m in re.finditer(rx, t or "", re.A):
+            if (len(m[2]) >= 6, True, True)[k] if k == 0 else len(m[0]) >= (20 if k == 1 else 24):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_secrets(spark, odd):
+    rng = random.Random(11)
+    parts = ["token = \"", "PassWord:", "api_key='", "ſecret=abcdefgh ", "AKIA" + "A1B2" * 5, "0a1b2c3d" * 4, "AKIAKIA", " ", "\"", "deadbeef", "é", "abcdef", "=:", "x1Y2z3" * 5]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for i in range(400)]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, t in rows:
+        base = secret_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(listed(base, secrets.KINDS).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in secrets.KINDS[:3]] == [sum(x[1] == n for x in base) for n in range(3)]
+        assert not base or set(listed(base, secrets.KINDS).split(",")) <= set(got[i]["spans"].split(","))
+    assert secrets.scan(odd).count() == 7
+
+
+def test_random_strings(spark):
+    rng = random.Random(12)
+    key = base64.b64encode(bytes(rng.randrange(256) for _ in range(30))).decode()
+    clean = ["550e8400-e29b-41d4-a716-446655440000", "some_function_name_with_many_words", "2024-01-01-2024-12-31-0000", "/usr/local/lib/python/site_packages", "internationalization_of_applications"]
+    rows = [(0, f"the key is {key} here"), *[(k + 1, f"see {x} for more") for k, x in enumerate(clean)]]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[0] == f"random:11:{11 + len(key)}" and all(not got[k + 1] for k in range(len(clean)))
+    assert secrets.redact(spark.createDataFrame(rows[:1], "doc_id int, text string")).first()["text"] == "the key is <SECRET> here"
+
+
+# 10
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header class="top">Head</header><nav><a href="/">Home</a></nav>
+<div class="wrap"><div class="post-{n}"><h1>Title &amp; more</h1><p>First   paragraph of page {n}<br>goes on.<p>Second &lt;one&gt;<ul><li>item a<li>item b</ul><div class="ad">Buy</div><script>var x="</p>";</script>
+<form><input><p>Your mail</p></form></div><div class="comments"><p>A comment that is much longer than the text of the article itself, as they are.</p></div></div><aside>Side</aside><footer>Foot</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = [(n, f"http://site.example/{n}", PAGE.format(n=n)) for n in range(5)]
+    rows += [(10, None, None), (11, "nonsense", ""), (12, "http://other.example/", "plain &amp; text"), (13, "http://site.example/odd", "<div class='else'><p>Another template &#65;&nbsp;x</div>"), (14, "http://cut.example", "<article><h1>Cut</h1><p>off <b>here")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("path", F.lit(1)).withColumn("host", F.lit("h"))
+    got = {r["page_id"]: r for r in html_extract.main_text(pages).collect()}
+    for n in range(5):
+        assert got[n]["text"] == f"Title & more\n\nFirst paragraph of page {n} goes on.\n\nSecond <one>\n\nitem a\n\nitem b"
+    assert got[10]["text"] == got[11]["text"] == "" and got[12]["text"] == "plain & text" and got[13]["text"] == "Another template A x" and got[14]["text"] == "Cut\n\noff here"
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[10]["url"] is None
+    paths = {r["host"]: r["path"] for r in html_extract.host_paths(pages).collect()}
+    assert paths["site.example"] == "body>div.wrap>div.post-#"
+
+
+# The pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("aeioubcdfghlmnrst") for _ in range(rng.randrange(3, 9))) for _ in range(600)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs = [" ".join(words(rng.randrange(30, 200))) for _ in range(40)]
+    docs[3] = docs[9]
+    near = docs[20].split() + words(150)
+    docs[20] = " ".join(near)
+    docs[31] = " ".join([*near[:40], "replaced", *near[41:]])
+    item = words(25)
+    docs[12] = " ".join([*words(40), *item[5:18], *words(30)])
+    docs[15] += " write to some.one@mail.example.com now"
+    docs[17] = "too short"
+    docs[18] = "$$$ ### " * 40
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(docs)] + [(90, None, None, None, None), (91, "", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(40)) - {9, 12, 17, 18, 31}
+    assert all(r["round_trip"] for r in got.values())
+    c = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    want = docs[15].replace("some.one@mail.example.com", "<EMAIL>")
+    assert got[15]["ids_sha256"] == hashlib.sha256(",".join(map(str, c.encode(want))).encode()).hexdigest()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "personal data", "token ids"]
