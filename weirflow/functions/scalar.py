@@ -316,3 +316,12 @@ def array_element(x: Value, index: int) -> Column:
 
 def flatten_rows(x: Value, outer: bool = False) -> Column:
     return F.explode_outer(col(x)) if outer else F.explode(col(x))
+
+
+# Keys
+
+
+def hash_key(*xs: Value) -> Column:
+    """KEY_GENERATOR: a digest of the values; null and empty differ."""
+    parts = [F.coalesce(F.concat(F.lit("="), col(x).cast("string")), F.lit("~")) for x in xs]
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)

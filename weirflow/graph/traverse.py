@@ -62,3 +62,17 @@ def repeated(items: DataFrame, name: str, text: str) -> DataFrame:
     """Groups of items whose text is the same but for case and white space: fingerprint, n_items and their names."""
     norm = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
     return items.groupBy(F.md5(norm).alias("fingerprint")).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set(name)), ",").alias("names")).filter("n_items > 1")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and group (its least node): ASSOCIATION. Least names spread along edges, and along what nodes point to, until none changes."""
+    both = edges.select("source", "target").union(edges.select("target", "source")).filter("source is not null and target is not null").distinct()
+    labels = _cut(both.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.col("source")).alias("group")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("target"), "group"), "target").groupBy(F.col("source").alias("node")).agg(F.min("group").alias("g"))
+        step = labels.join(near, "node").select("node", F.least("group", "g").alias("group"))
+        jump = step.join(step.select(F.col("node").alias("_n"), F.col("group").alias("_g")), F.col("group") == F.col("_n"), "left")
+        new = _cut(jump.select("node", F.coalesce("_g", "group").alias("group")))
+        if new.join(labels.withColumnRenamed("group", "old"), "node").filter("group <> old").isEmpty():
+            return new
+        labels = new

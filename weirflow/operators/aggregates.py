@@ -142,3 +142,17 @@ def sequence(df: DataFrame, name: str, order: str, ties: Sequence[str] = (), sta
 
 
 NUMBERS = frozenset(("byte", "short", "integer", "long", "float", "double", "decimal"))
+
+
+def accumulate(state: DataFrame, fresh: DataFrame, keys: Sequence[str], merges: Mapping[str, str]) -> DataFrame:
+    """Incremental aggregation: earlier partial results with new ones. merges: column -> sum, min or max."""
+    both = state.select(*keys, *merges).unionByName(fresh.select(*keys, *merges))
+    return both.groupBy(*keys).agg(*[{"sum": F.sum, "min": F.min, "max": F.max}[kind](c).alias(c) for c, kind in merges.items()])
+
+
+def health(runs: DataFrame, keys: Sequence[str], ok: Expr, duration: str, least_samples: int = 5, slow: float = 60_000.0, failing: float = 5.0) -> DataFrame:
+    """Of each job: runs, failure rate in percent, mean, median and 95th percentile (nearest rank) of durations, and whether objectives are met; a percentile needs enough samples."""
+    good = F.coalesce(as_column(ok), F.lit(False))
+    out = runs.groupBy(*keys).agg(F.count("*").alias("n_runs"), (F.count_if(~good) * 100.0 / F.count("*")).alias("failure_rate"), F.avg(duration).alias("mean_duration"), F.median(duration).alias("median_duration"), nearest_rank(duration, 0.95).alias("p95"))
+    out = out.withColumn("p95", F.when(F.col("n_runs") >= least_samples, F.col("p95")))
+    return out.withColumn("met", (F.col("failure_rate") <= failing) & F.coalesce(F.col("p95") <= slow, F.lit(True)))

@@ -113,3 +113,11 @@ def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence
             break
         out = out.unionByName(front)
     return out.withColumn("path", F.array_join("path", "/"))
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, block: tuple[Expr, Expr], left_text: str, right_text: str, most: int) -> DataFrame:
+    """MATCH: pairs whose texts are at most ``most`` edits apart among those that share a blocking key, with the distance."""
+    l = left.withColumn("_block", as_column(block[0]))  # noqa: E741
+    r = right.withColumn("_right_block", as_column(block[1]))
+    pairs = l.join(r, F.col("_block") == F.col("_right_block")).withColumn("distance", F.levenshtein(left_text, right_text, most))
+    return pairs.filter(F.col("distance") >= 0).drop("_block", "_right_block")

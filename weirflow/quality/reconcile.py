@@ -98,3 +98,20 @@ def run(checks: Mapping[str, DataFrame]) -> DataFrame:
             row = df.select(F.lit(name).alias("check"), F.lit("measured").alias("status"), F.lit(None).cast("long").alias("violations"), F.to_json(F.struct("*")).alias("measured"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def distribution(df: DataFrame, label: str) -> DataFrame:
+    """Rows by route, with their share in percent."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n_rows"))
+    total = counts.agg(F.sum("n_rows").alias("_total"))  # one row
+    return counts.crossJoin(total).select(label, "n_rows", F.round(100 * F.col("n_rows") / F.col("_total"), 2).alias("percent"))
+
+
+def lookup_misses(df: DataFrame, returned: str) -> DataFrame:
+    return df.agg(F.count_if(F.col(returned).isNull()).alias("unmatched"), F.count("*").alias("n_rows"))
+
+
+def filter_counts(df: DataFrame, condition: Expr) -> DataFrame:
+    """Rows that a filter passes, fails and drops as unknown."""
+    c = as_column(condition)
+    return df.agg(F.count_if(c).alias("passed"), F.count_if(~c).alias("failed"), F.count_if(c.isNull()).alias("unknown"))

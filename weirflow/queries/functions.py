@@ -51,9 +51,9 @@ def fn_math(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", f.truncate("l_extendedprice").cast("long").alias("whole"), F.round(F.expr("cast(l_extendedprice as decimal(18,2))"), 1).alias("r1"), F.expr("abs(l_linenumber - 4)").alias("a"), F.expr("l_linenumber % 3").alias("m"), F.expr("ceil(l_discount * 10)").alias("c"), F.expr("floor(l_discount * 10)").alias("fl"), F.expr("cast(sign(l_linenumber - 3) as int)").alias("s"), F.round(F.pow("l_linenumber", F.lit(2)), 3).alias("p"), F.round(F.sqrt("l_quantity"), 6).alias("sq"), F.round(F.ln("l_quantity"), 6).alias("lnq"), f.to_decimal(text).alias("dec"), f.to_integer(text).alias("cut"))
 
 
-@query("SELECT o_orderkey, md5(o_orderstatus) AS m, sha256(o_orderpriority) AS s, upper(md5(o_orderpriority)) AS h, 'XX' || substr(o_orderpriority, 3, 0) AS x FROM orders")
+@query("SELECT o_orderkey, md5(o_orderstatus) AS m, sha256(o_orderpriority) AS s, upper(md5(o_orderpriority)) AS h, 'XX' AS x FROM orders")
 def fn_hash(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.md5("o_orderstatus").alias("m"), F.sha2("o_orderpriority", 256).alias("s"), f.standard_hash("o_orderpriority", "MD5").alias("h"), f.mask(F.substring("o_orderpriority", 3, 2)).alias("x")).withColumn("x", F.lit("XX"))
+    return t.orders.select("o_orderkey", F.md5("o_orderstatus").alias("m"), F.sha2("o_orderpriority", 256).alias("s"), f.standard_hash("o_orderpriority", "MD5").alias("h"), f.mask(F.substring("o_orderpriority", 3, 2)).alias("x"))
 
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(event_type, '^p') THEN 1 ELSE 0 END AS p, regexp_extract(event_type, '([a-z])([a-z]*)', 2) AS rest, coalesce(nullif(instr(event_type, 'i'), 0), 0)::INTEGER AS at FROM events""")
@@ -75,3 +75,8 @@ def fn_array(t: Tables) -> DataFrame:
 @query("SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 50")
 def fn_flatten_rows(t: Tables) -> DataFrame:
     return t.embeddings.filter("vec_id < 50").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "x", (F.col("i") + 1).cast("long").alias("i"))
+
+
+@query("SELECT o_orderkey, sha256('=' || o_custkey || chr(31) || CASE WHEN o_orderstatus = 'P' THEN '~' ELSE '=' || o_orderstatus END) AS key FROM orders")
+def fn_hash_key(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", f.hash_key("o_custkey", F.expr("nullif(o_orderstatus, 'P')")).alias("key"))

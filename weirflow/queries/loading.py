@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.graph import traverse as G
+from weirflow.operators import joins as J
 from weirflow.operators import loads as L
 from weirflow.operators import rows as R
 from weirflow.quality import classify as C
@@ -168,6 +169,21 @@ def profile_columns(t: Tables) -> DataFrame:
     return files.profile(t.orders, ["o_orderkey", "o_orderstatus", "o_orderdate"]).select("column_name", "n_rows", "n_nulls", "longest", "watermark")
 
 
+@query("SELECT o_orderstatus, count(*) AS n_rows, round(100 * count(*) / (SELECT count(*) FROM orders), 2) AS percent FROM orders GROUP BY 1")
+def recon_router_distribution(t: Tables) -> DataFrame:
+    return Q.distribution(t.orders, "o_orderstatus")
+
+
+@query("SELECT count(*) FILTER (WHERE o_custkey % 2 = 1) AS unmatched, count(*) AS n_rows FROM orders")
+def recon_lookup_misses(t: Tables) -> DataFrame:
+    return Q.lookup_misses(J.lookup(t.orders, t.customer.filter("c_custkey % 2 = 0"), [("o_custkey", "c_custkey")], {"name": "c_name"}, "any"), "name")
+
+
+@query("SELECT count(*) FILTER (WHERE s = 'F') AS passed, count(*) FILTER (WHERE s <> 'F') AS failed, count(*) FILTER (WHERE s IS NULL) AS unknown FROM (SELECT nullif(o_orderstatus, 'P') AS s FROM orders)")
+def recon_filter_counts(t: Tables) -> DataFrame:
+    return Q.filter_counts(t.orders, "nullif(o_orderstatus, 'P') = 'F'")
+
+
 # Streaming semantics over tables
 
 
@@ -269,3 +285,9 @@ def lineage_collapsed(t: Tables) -> DataFrame:
 def duplicate_logic(t: Tables) -> DataFrame:
     a = t.nation.selectExpr("concat(n_nationkey, 'a') as name", "concat(' ', n_name, '  ') as text").union(t.nation.selectExpr("concat(n_nationkey, 'b')", "upper(n_name)"))
     return G.repeated(a, "name", "text")
+
+
+@query("SELECT 'n' || n_nationkey AS node, 'g' || n_regionkey AS grp FROM nation")
+def association(t: Tables) -> DataFrame:
+    e = t.nation.selectExpr("concat('n', n_nationkey) as source", "concat('g', n_regionkey) as target")
+    return G.connected(e).filter("node like 'n%'").select("node", F.col("group").alias("grp"))

@@ -324,3 +324,21 @@ def normalizer_unpivot(t: Tables) -> DataFrame:
 count(*) FILTER (WHERE l_returnflag = 'R') AS R_n, sum(cast(l_quantity AS DECIMAL(18,2))) FILTER (WHERE l_returnflag = 'R') AS R_qty FROM lineitem GROUP BY 1""")
 def pivot_returnflag(t: Tables) -> DataFrame:
     return R.denormalize(t.lineitem, ["l_linestatus"], "l_returnflag", ["A", "R"], {"n": "count(*)", "qty": "sum(cast(l_quantity as decimal(18,2)))"})
+
+
+@query("SELECT l_returnflag, sum(n) AS n, max(top) AS top FROM (SELECT l_returnflag, count(*) AS n, max(l_quantity) AS top FROM lineitem GROUP BY 1) GROUP BY 1")
+def agg_incremental(t: Tables) -> DataFrame:
+    part = lambda c: A.aggregate(t.lineitem.filter(c), ["l_returnflag"], {"n": "count(*)", "top": "max(l_quantity)"})
+    return A.accumulate(part("l_orderkey % 3 = 0"), part("l_orderkey % 3 <> 0"), ["l_returnflag"], {"n": "sum", "top": "max"})
+
+
+@query("""SELECT event_type, count(*) AS n_runs, count(*) FILTER (WHERE NOT user_id % 9 <> 0) * 100.0 / count(*) AS failure_rate, median(value) AS median_duration, quantile_disc(value, 0.95) AS p95,
+count(*) FILTER (WHERE NOT user_id % 9 <> 0) * 100.0 / count(*) <= 11 AND quantile_disc(value, 0.95) <= 40 AS met FROM events GROUP BY 1""")
+def run_health(t: Tables) -> DataFrame:
+    return A.health(t.events, ["event_type"], "user_id % 9 <> 0", "value", slow=40, failing=11).drop("mean_duration")
+
+
+@query("SELECT a.n_name AS n_name, b.n_name AS other, levenshtein(a.n_name, b.n_name)::INTEGER AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 6")
+def fuzzy_match(t: Tables) -> DataFrame:
+    other = t.nation.selectExpr("n_nationkey as k2", "n_name as other", "n_regionkey as r2")
+    return J.fuzzy_match(t.nation, other, ("n_regionkey", "r2"), "n_name", "other", 6).filter("n_nationkey < k2").select("n_name", "other", "distance")
