@@ -81,8 +81,8 @@ RULES = {
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
     "many_exclaims": "5 * n_exclaims > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
-    "capitals": "n_letters > 0 AND 100 * n_capitals > 40 * n_letters",
+    "duplicate_lines": "n_dup_lines > 3 AND 100 * n_dup_lines > 30 * n_lines",
+    "capitals": "n_letters > 50 AND 100 * n_capitals > 40 * n_letters",
     "short_words": "2 * word_chars < 5 * n_words",
     "long_words": "word_chars > 12 * n_words",
 }
