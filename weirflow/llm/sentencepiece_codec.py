@@ -18,9 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, partial
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from weirflow.llm.arrow import id_type, keyed_text, map_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 400_000
-#: Of a string: it only begins pieces; it is a piece; it is one that its own merges end in.
-BEGINS, PIECE, STANDS = 0, 1, 2
+REMEMBERED = 1_200_000
+#: Of a string: it only begins pieces; it is a piece; it is one that its own merges end in, or that they never do.
+BEGINS, PIECE, STANDS, NEVER = 0, 1, 2, 3
+#: Of a string behind a state: it is not the next piece; it is; it is, and none longer can be; neither.
+SKIP, FITS, LAST, STOP = 0, 1, 2, 3
+#: What models write for a space; here pieces hold spaces, which keeps most strings at a byte a character.
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+WORD = re.compile(" *[^ ]+| +")
 
 
 class Codec:
@@ -46,10 +49,12 @@ class Codec:
         size = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        for i in plain:
+            pieces[i] = pieces[i].replace(SPACE, " ")
         self.ids = {pieces[i]: i for i in plain}
         self.rank = {pieces[i]: -model.get_score(i) for i in plain}
         self.bytes = {int(pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        if len(self.bytes) != 256 or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
+        if len(self.bytes) != 256 or any(re.search("[^ ] ", p) for p in self.ids):
             raise ValueError(f"{path} is no BPE model with byte pieces whose pieces keep to words")
         self.longest = max(map(len, self.ids))
         self.text = [""] * size
@@ -58,11 +63,12 @@ class Codec:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         for b in range(128):  # such a byte is a character of its own
             self.text[self.bytes[b]] = chr(b)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.rows: dict[str, dict[str, int]] = {}
+        self.judged = 0
         self.made: dict[str, tuple[float, str, str]] = {}
         self.kind = {p[:k]: BEGINS for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, PIECE)
-        self.new: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, text: str, stop: int = 1) -> list[str]:
         """The merges of a short string, best rank first and leftmost of equal ones, down to ``stop`` parts."""
@@ -105,46 +111,50 @@ class Codec:
             else:
                 right, until = inner_r, math.nextafter(rank_r, math.inf)
 
+    def judge(self, state: str, piece: str, row: dict[str, int]) -> int:
+        """What a string can do behind a state, also put into the row of the state."""
+        kind = self.kind.get(piece)
+        if kind is None:  # begins no piece
+            found = LAST if len(piece) == 1 else STOP
+        elif kind == BEGINS:
+            found = FITS if len(piece) == 1 else SKIP
+        else:
+            if kind == PIECE:
+                kind = self.kind[piece] = STANDS if self.merged(piece) == [piece] else NEVER
+            found = FITS if kind == STANDS and (not state or self.follows(state, piece)) else SKIP
+        self.judged += 1
+        if self.judged > REMEMBERED:
+            self.rows.clear()
+            self.judged = 0
+        row[piece] = found
+        return found
+
     def pieces(self, text: str) -> Iterator[str]:
         """The best path through a text of any length, committed piece by piece."""
-        kind, longest, pairs = self.kind, self.longest, self.pairs
+        rows, longest, judge = self.rows, self.longest, self.judge
         n = len(text)
         # The last piece of the path that ends at each boundary of the window; at its start what was committed last.
         last: list[str | None] = ["", *[None] * min(n, longest)]
         base = 0
         for start in range(n):
-            state = last[start - base]
+            at = start - base
+            state = last[at]
             if state is None:
                 continue
-            at = start - base
-            for end in range(at + 1, min(n - base, at + longest) + 1):
-                piece = text[start : base + end]
-                k = kind.get(piece)
-                if k is None:
-                    if end == at + 1:  # a character that no piece begins with
-                        last[end] = piece
-                    break
-                if last[end] is not None:
+            row = rows.get(state)
+            if row is None:
+                row = rows[state] = {}
+            for stop in range(start + 1, min(n, start + longest) + 1):
+                piece = text[start:stop]
+                found = row.get(piece)
+                if found is None:
+                    found = judge(state, piece, row)
+                if found == SKIP:
                     continue
-                if k == BEGINS:
-                    if end == at + 1:
-                        last[end] = piece
-                    continue
-                if k == PIECE:
-                    if self.merged(piece) != [piece]:  # its merges never end in it
-                        kind[piece] = BEGINS if len(piece) > 1 else STANDS
-                        continue
-                    kind[piece] = STANDS
-                if state:
-                    key = state, piece
-                    fits = pairs.get(key)
-                    if fits is None:
-                        if len(pairs) >= REMEMBERED:
-                            pairs.clear()
-                        fits = pairs[key] = self.follows(state, piece)
-                    if not fits:
-                        continue
-                last[end] = piece
+                if found != STOP and last[stop - base] is None:
+                    last[stop - base] = piece
+                if found >= LAST:
+                    break
             if n > len(last) + base - 1:
                 last.append(None)
                 if at >= 8 * longest:
@@ -171,38 +181,42 @@ class Codec:
             live.add(k - len(last[k]))
         return live.pop() if live else 0
 
-    def word(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word, and the same as text."""
-        found = self.new.get(text)
+    def word(self, text: str) -> bytes:
+        """Ids of a word (without the space in front of it), four bytes each."""
+        found = self.old.get(text)
         if found is None:
-            found = self.old.get(text)
-            if found is None:
-                ids: list[int] = []
-                for p in self.pieces(text):
-                    i = self.ids.get(p)
-                    if i is None:
-                        ids.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
-                    else:
-                        ids.append(i)
-                found = tuple(ids), ",".join(map(str, ids))
-            if len(text) <= 64:
-                if len(self.new) >= REMEMBERED // 2:
-                    self.old, self.new = self.new, {}
-                self.new[text] = found
+            found = self.segment(" " + text)
+        if len(text) <= 64:
+            if len(self.new) >= REMEMBERED // 2:
+                self.old, self.new = self.new, {}
+            self.new[text] = found
         return found
 
-    def words(self, text: str) -> list[str]:
-        """The text in the model's form, cut where a word begins: before a space that follows anything else."""
-        return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def segment(self, text: str) -> bytes:
+        ids = array("i")
+        for p in self.pieces(text):
+            i = self.ids.get(p)
+            if i is None:
+                ids.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
+            else:
+                ids.append(i)
+        return ids.tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, four bytes each, cut where a word begins: before a space that follows anything else."""
+        if not text:
+            return b""
+        known = self.new.get
+        if SPACE in text:  # the same to the model as a space
+            text = text.replace(SPACE, " ")
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return b"".join([known(w[1:]) or self.word(w[1:]) if w[1:2] not in ("", " ") else self.segment(w) for w in WORD.findall(" " + text)])
+        return b"".join([known(w) or self.word(w) for w in text.split(" ")])
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.new.get
-        for w in self.words(text):
-            ids.extend((known(w) or self.word(w))[0])
-        return ids
+        return array("i", self.packed(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         table = self.text
         out = [table[i] for i in ids]
         if "" in out:  # bytes of longer characters, or control ids
@@ -213,7 +227,7 @@ class Codec:
                 if held and (k + 1 == len(ids) or out[k + 1]):
                     out[k] = held.decode("utf-8", "replace")
                     held.clear()
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(out)
         return text[1:] if text[:1] == " " else text
 
 
@@ -253,15 +267,13 @@ def summed(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
     c = codec(path)
     n, digests, same = [], [], []
     for text in batch.column("text").to_pylist():
-        known = c.new.get
-        found = [known(w) or c.word(w) for w in c.words(text)]
-        ids = list(chain.from_iterable([own for own, _ in found]))
-        n.append(len(ids))
-        digests.append(hashlib.sha256(",".join(s for _, s in found).encode()).hexdigest())
-        same.append(c.decode(ids) == text.replace(SPACE, " "))
+        ids = c.packed(text)
+        n.append(len(ids) // 4)
+        digests.append(hashlib.sha256(ids).hexdigest())
+        same.append(c.decode(array("i", ids)) == text.replace(SPACE, " "))
     return pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests), pa.array(same)], names=["doc_id", "n_ids", "ids_sha256", "round_trip"])
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """Of each row: its number of ids, their SHA-256 (joined by commas) and whether they decode to the text."""
+    """Of each row: its number of ids, the SHA-256 of the ids (four bytes each, the lowest first) and whether they decode to the text."""
     return map_slices(keyed_text(docs, "doc_id", "text"), partial(summed, model), f"doc_id {id_type(docs, 'doc_id')}, n_ids long, ids_sha256 string, round_trip boolean")
