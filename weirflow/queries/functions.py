@@ -61,9 +61,10 @@ def fn_regex(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.when(F.regexp_like("event_type", F.lit("^p")), 1).otherwise(0).alias("p"), F.regexp_extract("event_type", "([a-z])([a-z]*)", 2).alias("rest"), f.pattern_index("%i%", "event_type").alias("at"))
 
 
-@query("SELECT event_id, json_valid(props) AS ok FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k')::BIGINT % 2 AS odd, json_extract_string(props, '$.none') AS missing, json_valid(props) AS ok FROM events")
 def fn_json(t: Tables) -> DataFrame:
-    return t.events.filter("props is not null").select("event_id", F.expr("try_parse_json(props)").isNotNull().alias("ok"))
+    x = t.events.withColumn("j", f.json_values("props", {"k": "$.k", "missing": "$.none"}))
+    return x.select("event_id", "j.k", (f.json_value("props", "$.k").cast("bigint") % 2).alias("odd"), "j.missing", F.expr("try_parse_json(props)").isNotNull().alias("ok"))
 
 
 @query("SELECT l_orderkey, count(*) AS n, list_sort(list(l_linenumber)) AS numbers, list_sort(list(l_linenumber))[1] AS first FROM lineitem GROUP BY 1")

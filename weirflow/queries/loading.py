@@ -222,6 +222,13 @@ def stream_dedup(t: Tables) -> DataFrame:
     return W.deduplicated(t.events.groupBy("user_id").agg(F.min("event_id").alias("n")), ["user_id"], "ts")
 
 
+@query("""SELECT l.user_id AS user_id, l.event_id AS login_id, p.event_id AS purchase_id FROM events l JOIN events p ON l.user_id = p.user_id AND p.ts >= l.ts AND p.ts <= l.ts + INTERVAL 12 HOURS WHERE l.event_type = 'click' AND p.event_type = 'purchase'""")
+def stream_interval_join(t: Tables) -> DataFrame:
+    logins = t.events.filter("event_type = 'click'").selectExpr("user_id", "ts as login_ts", "event_id as login_id")
+    buys = t.events.filter("event_type = 'purchase'").selectExpr("user_id", "ts as purchase_ts", "event_id as purchase_id")
+    return W.interval_join(logins, buys, ["user_id"], "login_ts", "purchase_ts", "12 HOURS").select("user_id", "login_id", "purchase_id")
+
+
 @query("SELECT event_id FROM events WHERE NOT coalesce(value > 10, false)")
 def stream_dead_letters(t: Tables) -> DataFrame:
     return W.split_bad(t.events, "value > 10")[1].select("event_id")

@@ -138,10 +138,10 @@ def cross_apply_top(t: Tables) -> DataFrame:
     return J.top_per_row(t.customer.select("c_custkey"), t.orders, [("c_custkey", "o_custkey")], ["-o_totalprice", "o_orderkey"], 2, {"order_key": "o_orderkey", "price": "o_totalprice"})
 
 
-@query("""SELECT event_id, user_id, login_id FROM (SELECT event_id, user_id, ts, (event_type = 'purchase') AS p, last_value(CASE WHEN event_type = 'login' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS login_id FROM events) WHERE p""")
+@query("""SELECT event_id, user_id, login_id FROM (SELECT event_id, user_id, ts, (event_type = 'purchase') AS p, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS login_id FROM events) WHERE p""")
 def join_as_of(t: Tables) -> DataFrame:
     e = t.events
-    return J.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'login'").select("user_id", F.col("ts").alias("login_ts"), F.col("event_id").alias("login_id")), ["user_id"], "ts", "login_ts", ["login_id"]).select("event_id", "user_id", "login_id")
+    return J.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("login_ts"), F.col("event_id").alias("login_id")), ["user_id"], "ts", "login_ts", ["login_id"]).select("event_id", "user_id", "login_id")
 
 
 @query("""WITH RECURSIVE h AS (SELECT c_custkey, 1 AS level, c_custkey::VARCHAR AS path FROM customer WHERE c_custkey < 4 UNION ALL

@@ -48,15 +48,18 @@ def deduplicated(df: DataFrame, keys: Sequence[str], time: str, delay: str = DEF
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, within: str, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Rows of equal keys whose right time follows the left one within an interval; watermarks bound the state of a stream."""
+    """Rows of equal keys whose right time follows the left one within an interval such as 10 minutes; watermarks bound the state of a stream.
+
+    Other columns of the two sides, the times among them, need different names.
+    """
     if left.isStreaming:
         left = left.withWatermark(left_time, delay)
     if right.isStreaming:
         right = right.withWatermark(right_time, delay)
     test = F.expr(f"{right_time} >= {left_time} AND {right_time} <= {left_time} + INTERVAL {within}")
     for k in keys:
-        test = test & (left[k] == right[k])
-    return left.join(right.withColumnsRenamed({k: k for k in keys}), test).drop(*[right[k] for k in keys])
+        test = test & (F.col(k) == F.col(f"_right_{k}"))
+    return left.join(right.withColumnsRenamed({k: f"_right_{k}" for k in keys}), test).drop(*[f"_right_{k}" for k in keys])
 
 
 def split_bad(df: DataFrame, valid: Expr) -> tuple[DataFrame, DataFrame]:
