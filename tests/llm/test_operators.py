@@ -287,11 +287,12 @@ def test_archives(spark, tmp_path):
 def test_arc_versions():
     block = warc.http_response(1, b"payload")
     for version in (1, 2):
-        data = warc.arc_file(version, "a.arc", [warc.arc_header(version, "http://a/", "20010203040506", "text/html; charset=x", block) + block])
+        data = b"\n".join([warc.arc_description(version, "a.arc"), warc.arc_header(version, "http://a/", "20010203040506", "text/html; charset=x", block) + block])
         head, rec = list(warc.parse_arc(data))
         assert head[0]["URL"].startswith("filedesc:") and rec[0]["Content-type"] == "text/html; charset=x" and rec[0]["Archive-date"] == "20010203040506" and rec[1] == block
         with pytest.raises(ValueError, match="declares"):
             list(warc.parse_arc(data[:-3]))
+        assert warc.opened(warc.zipped([data], b"\n") + b"\x00") == data + b"\n"
 
 
 # 7
@@ -440,5 +441,5 @@ def test_pipeline(spark, tmp_path):
     assert all(r["round_trip"] for r in got.values())
     c = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
     want = docs[15].replace("some.one@mail.example.com", "<EMAIL>")
-    assert got[15]["ids_sha256"] == hashlib.sha256(",".join(map(str, c.encode(want))).encode()).hexdigest()
+    assert got[15]["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in c.encode(want))).hexdigest()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "personal data", "token ids"]

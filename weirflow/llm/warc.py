@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.arrow import shared_dir, slices
 
 CHUNK = 8 << 20
+LEVEL = 4
 REVISIT_BYTES = 100
 BROADCAST_REVISITS = 200_000
 #: Pages carry no date of their own.
@@ -56,9 +58,16 @@ def arc_header(version: int, url: str, date: str, mime: str, block: bytes) -> by
     return f"{url} 0.0.0.0 {date} {mime} 200 {hashlib.md5(block).hexdigest()} - 0 - {len(block)}\n".encode()
 
 
-def arc_file(version: int, name: str, records: list[bytes]) -> bytes:
+def arc_description(version: int, name: str) -> bytes:
+    """The record that an archive begins with: its name and version block."""
     about = f"{version} 0 weirflow\n{FIELDS[version]}\n".encode()
-    return b"\n".join([f"filedesc://{name} 0.0.0.0 {DATE} text/plain".encode() + (f" {len(about)}\n".encode() if version == 1 else f" 200 - - 0 {name} {len(about)}\n".encode()) + about, *records])
+    rest = f" {len(about)}\n" if version == 1 else f" 200 - - 0 {name} {len(about)}\n"
+    return f"filedesc://{name} 0.0.0.0 {DATE} text/plain{rest}".encode() + about
+
+
+def zipped(records: list[bytes], end: bytes) -> bytes:
+    """A gzip member for each record and what ends it."""
+    return b"".join([gzip.compress(x + end, LEVEL, mtime=0) for x in records])
 
 
 def chunked(batches: Iterator[pa.RecordBatch], column: str, records) -> Iterator[list[bytes]]:
@@ -77,13 +86,13 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, records) -> Iterator
         yield held
 
 
-def one_file(name: str, content: bytes) -> pa.RecordBatch:
+def one_file(content: bytes) -> pa.RecordBatch:
     return pa.record_batch([pa.array([content], pa.binary())], names=["value"])
 
 
-def store(files: DataFrame, folder: str, end: str) -> None:
-    """Each row of ``files`` as a file that ends in ``end``."""
-    files.select(F.col("value").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(folder)
+def store(files: DataFrame, folder: str) -> None:
+    """Each row of ``files`` as a file of its bytes and a zero byte."""
+    files.select(F.col("value").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(folder)
 
 
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -100,14 +109,15 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
         for held in chunked(batches, "html", records):
             # a piece is filled under one version, as the generator reads it anew for each record
-            yield one_file("arc", arc_file(version, "pages.arc", held))
+            yield one_file(zipped([arc_description(version, "pages.arc"), *held], b"\n"))
             version = 3 - version
 
-    store(rows.mapInArrow(run, "value binary"), folder, "\n")
+    store(rows.mapInArrow(run, "value binary"), folder)
 
 
 def opened(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    """An archive's bytes; members are read through a buffer, as gzip.decompress copies all that is left for each."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)).read() if content[:2] == b"\x1f\x8b" else content
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -223,9 +233,9 @@ def write_warc(records: DataFrame, folder: str, id_type: str = "bigint") -> None
         for held in chunked(batches, "payload", lambda part: map(warc_record, part.to_pylist())):
             digest = hashlib.sha256(b"".join(x[:400] for x in held)).hexdigest()
             info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id('warcinfo', DATE, digest, None)}\r\nWARC-Date: {iso(DATE)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode() + about
-            yield one_file("warc", b"\r\n\r\n".join([info, *held]))
+            yield one_file(zipped([info, *held], b"\r\n\r\n"))
 
-    store(with_revisits(records, id_type).mapInArrow(run, "value binary"), folder, "\r\n\r\n")
+    store(with_revisits(records, id_type).mapInArrow(run, "value binary"), folder)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
