@@ -69,6 +69,15 @@ def test_hierarchy_ends_in_cycles(spark):
     assert sorted((r["id"], r["level"], r["path"]) for r in got.collect()) == [(1, 1, "1"), (2, 2, "1/2"), (3, 3, "1/2/3"), (4, 1, "4"), (5, 2, "4/5")]
 
 
+def test_long_chains_are_walked_to_their_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "source int, target int")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert {(r["node"], r["depth"]) for r in G.reach(chain, start).collect()} == {(i, i) for i in range(61)}
+    assert {r["node"] for r in G.reach(chain, start, 3).collect()} == {0, 1, 2, 3}
+    down = J.hierarchy(chain, "target", "source", "source = 0").collect()
+    assert {(r["target"], r["level"]) for r in down} == {(i, i) for i in range(1, 61)}
+
+
 def test_sequence_over_ties_and_nulls(spark):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else i // 3) for i in range(300)], "id int, o int")
     got = sorted(r["s"] for r in A.sequence(df, "s", "o", ["id"], ranges=11).collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,15 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
-def reach(edges: DataFrame, start: DataFrame, deepest: int = 40) -> DataFrame:
-    """origin, node and depth: whatever each start node (column node) reaches, at the least number of steps; itself at 0.
+def reach(edges: DataFrame, start: DataFrame, deepest: int | None = None) -> DataFrame:
+    """origin, node and depth: whatever each start node (column node) reaches, at the least number of steps (``deepest`` at most, if given); itself at 0.
 
     A join a step with the nodes reached last only; cycles end, as no node is entered twice.
     """
     front = start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0))
     seen = front
     e = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
-    for depth in range(1, deepest + 1):
+    for depth in count(1) if deepest is None else range(1, deepest + 1):
         nxt = front.join(e, F.col("node") == F.col("_s")).select("origin", F.col("_t").alias("node")).distinct()
         front = _cut(nxt.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,8 +96,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str
     return out.select("_l.*", *[F.col("_r").getField(c).alias(c) for c in returns])
 
 
-def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence[str] = (), level: str = "level", deepest: int = 50) -> DataFrame:
-    """CONNECT BY: rows from the start rows down, with their level and the path of keys.
+def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence[str] = (), level: str = "level", deepest: int | None = None) -> DataFrame:
+    """CONNECT BY: rows from the start rows down, with their level (``deepest`` at most, if given) and the path of keys.
 
     One join a level, cut by a checkpoint where the session has a folder for it. A key that a path holds already
     is not entered again, so cycles end.
@@ -104,7 +105,7 @@ def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence
     rows = df.select(key, parent, *carry)
     front = rows.filter(as_column(start)).withColumn(level, F.lit(1)).withColumn("path", F.array(F.col(key).cast("string")))
     out = front
-    for depth in range(2, deepest + 1):
+    for depth in count(2) if deepest is None else range(2, deepest + 1):
         up = front.select(F.col(key).alias("_up"), F.col("path").alias("_path"))
         front = rows.join(up, F.col(parent) == F.col("_up")).filter(~F.array_contains("_path", F.col(key).cast("string")))
         front = front.select(key, parent, *carry, F.lit(depth).alias(level), F.concat("_path", F.array(F.col(key).cast("string"))).alias("path"))
