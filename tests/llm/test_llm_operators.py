@@ -205,6 +205,42 @@ def test_near_duplicates(spark, odd, none):
     assert order_minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_beyond_leaders(spark):
+    rng = random.Random(11)
+    docs, chains = [], []
+    for _ in range(10):  # each text is the one before with two words changed
+        words = [f"w{rng.randrange(10**6)}" for _ in range(110)]
+        chains.append([len(docs) + k for k in range(8)])
+        for k in range(8):
+            for at in (12 * k + 6, 12 * k + 12) if k else ():
+                words[at] = f"c{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(words)))
+    base, first = [f"b{i}" for i in range(100)], len(docs)
+    for _ in range(300):  # all from one text that is not there, edited independently
+        words = list(base)
+        for at in rng.sample(range(5, 95), rng.choice([1, 2, 2, 2])):
+            words[at] = f"e{rng.randrange(10**6)}"
+        docs.append((len(docs), " ".join(words)))
+    shingles = [order_minhash.distinct_shingles(t) for _, t in docs]
+    number = {}
+    sets = [{number.setdefault(x, len(number)) for x in s} for s in shingles]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for group in [*chains, range(first, len(docs))]:
+        for b in group:
+            for a in range(group[0], b):
+                if 1.8 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-6 and find(a) != find(b) and order_minhash.aligned(shingles[a], shingles[b]):
+                    a_, b_ = sorted((find(a), find(b)))
+                    root[b_] = a_
+    got = dict(tuple(r) for r in order_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id int, text string")).collect())
+    assert got == {i: find(i) for i, _ in docs}
+
+
 def test_alignment_is_exact():
     rng = random.Random(2)
     for _ in range(300):
