@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.llm import components, decontaminate, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, warc
+from weirflow.llm import components, decontaminate, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, warc, wordhash
 from weirflow.llm import compression_classifier as cc
 
 WORDS = "alpha beta gamma delta été über naïve one two three four five six seven eight nine ten stream tables join merge".split()
@@ -205,40 +206,106 @@ def test_near_duplicates(spark, odd, none):
     assert order_minhash.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_beyond_leaders(spark):
+def labelled_shingles(t):
+    w = t.split()
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+    return [(g, grams[:i].count(g)) for i, g in enumerate(grams)]
+
+
+def subsequence(a, b):
+    """Length of the longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def near_copies(a, b):
+    """Whether the labelled shingles, or their first occurrences, are similar enough."""
+    for x, y in ((a, b), ([g for g in a if not g[1]], [g for g in b if not g[1]])):
+        if x and y and len(set(x) & set(y)) >= 0.8 * (len(x) + len(y) - len(set(x) & set(y))):
+            c = subsequence(x, y)
+            if c >= 0.8 * (len(x) + len(y) - c):
+                return True
+    return False
+
+
+def classes_by_force(rows):
+    """Rows (id, text) with their class ids, every two texts compared."""
+    texts = list(dict.fromkeys(t for _, t in rows))
+    sets = [labelled_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if find(a) != find(b) and near_copies(sets[a], sets[b]):
+                root[find(b)] = find(a)
+    of = {t: find(k) for k, t in enumerate(texts)}
+    least = {}
+    for i, t in rows:
+        least[of[t]] = min(i, least.get(of[t], i))
+    return sorted((i, least[of[t]]) for i, t in rows), len(set(of.values()))
+
+
+def test_near_duplicates_by_force(spark):
     rng = random.Random(11)
-    docs, chains = [], []
-    for _ in range(10):  # each text is the one before with two words changed
+    rows = []
+    for _ in range(4):  # each text is the one before with two words changed
         words = [f"w{rng.randrange(10**6)}" for _ in range(110)]
-        chains.append([len(docs) + k for k in range(8)])
         for k in range(8):
             for at in (12 * k + 6, 12 * k + 12) if k else ():
                 words[at] = f"c{rng.randrange(10**6)}"
-            docs.append((len(docs), " ".join(words)))
-    base, first = [f"b{i}" for i in range(100)], len(docs)
-    for _ in range(300):  # all from one text that is not there, edited independently
+            rows.append((len(rows), " ".join(words)))
+    base = [f"b{i}" for i in range(100)]
+    for _ in range(60):  # all from one text that is not there, edited independently
         words = list(base)
         for at in rng.sample(range(5, 95), rng.choice([1, 2, 2, 2])):
             words[at] = f"e{rng.randrange(10**6)}"
-        docs.append((len(docs), " ".join(words)))
-    shingles = [order_minhash.distinct_shingles(t) for _, t in docs]
-    number = {}
-    sets = [{number.setdefault(x, len(number)) for x in s} for s in shingles]
-    root = list(range(len(docs)))
+        rows.append((len(rows), " ".join(words)))
+    for k in (1, 2, 3, 5):  # copies that differ in repeats only
+        rows.append((len(rows), " ".join([f"r{i}" for i in range(60)] * k)))
+    rows.append((3, rows[40][1] + " and more"))  # ids that occur with several texts
+    rows.append((3, "a text of its own that is unlike any other one here at all"))
+    rows += [rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    want, n_classes = classes_by_force(rows)
+    assert sorted(tuple(r) for r in order_minhash.near_duplicates(docs).collect()) == want
+    kept = order_minhash.keep_representatives(docs.withColumn("_id", F.lit(1))).collect()
+    assert len(kept) == n_classes == len({(r["doc_id"], r["text"]) for r in kept}) and kept[0]["_id"] == 1
+
+
+def test_blocks_of_wide_buckets(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 4)
+    monkeypatch.setattr(order_minhash, "WIDE", 12)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for _ in range(90):
+        words = list(base)
+        for at in rng.sample(range(5, 95), rng.choice([1, 2, 3])):
+            words[at] = f"e{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted(tuple(r) for r in order_minhash.near_duplicates(docs).collect()) == classes_by_force(rows)[0]
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for group in [*chains, range(first, len(docs))]:
-        for b in group:
-            for a in range(group[0], b):
-                if 1.8 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-6 and find(a) != find(b) and order_minhash.aligned(shingles[a], shingles[b]):
-                    a_, b_ = sorted((find(a), find(b)))
-                    root[b_] = a_
-    got = dict(tuple(r) for r in order_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id int, text string")).collect())
-    assert got == {i: find(i) for i, _ in docs}
+def test_representatives_by_row(spark):
+    rng = random.Random(5)
+    a, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "ac")
+    b = a + " end"
+    ids = lambda rows: sorted((r["doc_id"], r["text"]) for r in order_minhash.keep_representatives(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert ids([(5, a), (7, b), (7, c)]) == [(5, a), (7, c)]
+    assert ids([(1, a), (1, c), (2, b)]) == sorted([(1, a), (1, c)])
+    assert ids([(1, a)] * 400 + [(1, b)] * 400) in ([(1, a)], [(1, b)])
+    assert len(order_minhash.keep_representatives(spark.createDataFrame([(None, a), (None, a), (None, None)], "doc_id int, text string")).collect()) == 2
 
 
 def test_alignment_is_exact():
@@ -249,13 +316,19 @@ def test_alignment_is_exact():
         for _ in range(rng.randrange(3)):
             b.insert(rng.randrange(len(b) + 1), 100 + rng.randrange(50))
         b = list(dict.fromkeys(b))
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        c = table[-1][-1]
+        c = subsequence(a, b)
         s = c / (len(a) + len(b) - c)
-        assert order_minhash.aligned(a, b) == (s if s >= 0.8 else 0.0)
+        assert order_minhash.aligned(np.array(a, np.int64), np.array(b, np.int64)) == (s if s >= 0.8 else 0.0)
+
+
+def test_hashes_do_not_depend_on_place():
+    text_ = ("ab cd " * 3).encode() + b"x" * 3_000_000 + b" cd ab"
+    data = np.frombuffer(text_, np.uint8)
+    starts, ends, _ = wordhash.word_spans(data, np.array([0, len(data)]), wordhash.NOT_SPACE)
+    h = wordhash.word_hashes(data, starts, ends)
+    assert h[0] == h[2] == h[-1] and h[1] == h[-2] and len(set(h.tolist())) == 3
+    short = wordhash.word_hashes(data[18:3_000_018][:1000], np.array([0]), np.array([1000]))
+    assert short[0] == wordhash.long_hash(data[18:1018])
 
 
 def test_components(spark):

@@ -6,6 +6,8 @@ only bytes from 0x80 on.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,20 +25,19 @@ NOT_SPACE[0x20] = NOT_SPACE[0x09:0x0E] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers = (np.ones(1, U), np.ones(1, U))
+#: Bytes that are hashed at once, so that the wide numbers take a bounded place beside a long text.
+PIECE = 1 << 20
 
 
+@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, modulo 2**64; kept for the next call."""
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for b in (BASE, INVERSE):
-            x = np.full(max(n, 1 << 20), b, U)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=U))
-        _powers = made[0], made[1]
-    return _powers
+    """BASE**i and BASE**-i for i < n, modulo 2**64."""
+    made = []
+    for b in (BASE, INVERSE):
+        x = np.full(n, b, U)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=U))
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,10 +78,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(U))
+    """Hash of each word, the same wherever it stands; pieces of the bytes one after the other."""
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+        if ends[to - 1] - base > PIECE:
+            out[at] = long_hash(data[base : ends[at]])
+        else:
+            up, down = powers(PIECE + 1)
+            part = data[base : ends[to - 1]]
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum((part.astype(U) + U(1)) * up[: len(part)], out=sums[1:])
+            a, b = starts[at:to] - base, ends[at:to] - base
+            out[at:to] = mix((sums[b] - sums[a]) * down[a] ^ (b - a).astype(U))
+        at = to
+    return out
+
+
+def long_hash(word: np.ndarray) -> np.uint64:
+    """The hash of one word of any length."""
+    total, factor = 0, 1
+    up = powers(PIECE + 1)[0]
+    for a in range(0, len(word), PIECE):
+        part = word[a : a + PIECE]
+        total += int(((part.astype(U) + U(1)) * up[: len(part)]).sum(dtype=U)) * factor
+        factor = factor * int(up[PIECE]) & ((1 << 64) - 1)
+    return mix(np.array([(total & ((1 << 64) - 1)) ^ len(word)], U))[0]
 
 
 def gram_hashes(words: np.ndarray, text: np.ndarray, k: int) -> np.ndarray:
