@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -88,6 +89,47 @@ def test_pii_generators_and_redaction(spark, pii_model):
     assert got[2]["text"] is None and got[3]["text"] == rows[2][1] and got[4]["text"] == "a <EMAIL> f"
 
 
+def test_pii_spans_added(spark):
+    """Disguised data whose plain forms the documents hold, and things of like form: what the trees add."""
+    rng = random.Random(21)
+    d = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(6))
+
+    def card():
+        x = "4" + d(14)
+        return x + next(c for c in "0123456789" if luhn(x + c))
+
+    teach, asked = [], []
+    for _ in range(150):
+        mail, ip, num = f"{name()}@{name()}.com", ".".join(str(rng.randrange(1, 256)) for _ in range(4)), card()
+        teach.append(f"{text(rng, 20)} mail {mail} from host {ip} with card {num} or call +1 {d(3)} {d(3)} {d(4)} {text(rng, 9)} arrived at noon.then order {d(16)} version {d(3)}.{d(3)}.{d(1)}00.{d(3)}")
+    for k in range(120):
+        user, site, c = name(), name(), card()
+        good = [f"{user} [at] {site} [dot] com", f"{user} at {site} dot com", f"{user} (at) {site}.com", f"{rng.randrange(1, 255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}", "/".join(c[i : i + 4] for i in range(0, 16, 4)), f"001 {d(3)} {d(3)} {d(4)}"][k % 6]
+        bad = [f"{name()} at home.then", f"{d(4)}.{d(4)}.{d(4)}.{d(4)}", f"ratio {d(1)}:{d(1)}:{d(1)}", f"{d(2)}/{d(2)}/2024", f"page {d(3)}-{d(3)}"][k % 5]
+        lead = ["mail", "mail", "mail", "from host", "with card", "or call"][k % 6]
+        asked.append((k, f"{text(rng, 12)} {lead} {good} {text(rng, 6)} then {bad} and so on", good))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(teach)], "doc_id int, text string")
+    model = pii.fit(spark, docs)
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame([(k, t) for k, t, _ in asked], "doc_id int, text string"), model).collect()}
+    hit, wrong = 0, []
+    for k, t, good in asked:
+        found = [t[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[k].split(",") if x)]
+        hit += any(good in f or f in good for f in found)
+        wrong += [f for f in found if not (good in f or f in good)]
+    assert hit >= 0.85 * len(asked) and len(wrong) <= 0.1 * hit, (hit, wrong)
+
+
+def test_pii_odd_rows(spark, pii_model, odd, none):
+    assert pii.digest(none, pii_model).count() == 0 and pii.fit(spark, none).trees == pii_model.trees
+    assert len(pii.digest(odd, pii_model).collect()) == 7 and pii.redact(odd, pii_model).columns == odd.columns
+    many = "a@b.co x (at) y.com " * 3000
+    rows = spark.createDataFrame([(1, many), (2, many)], "doc_id int, text string")
+    got = pii.digest(rows, pii_model).collect()
+    assert got[0]["n_email"] == 3000 and got[0]["spans"] == got[1]["spans"]
+    assert pii.redact(rows, pii_model).first()["text"].count("<EMAIL>") >= 3000
+
+
 def test_pii_is_native(spark, pii_model):
     plan = pii.digest(spark.createDataFrame([(1, "x")], "doc_id int, text string"), pii_model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -523,6 +565,53 @@ def test_html(spark):
     assert paths["site.example"] == "body>div.wrap>div.post-#"
 
 
+TEXT = "<h1>Head</h1><p>Body of the article.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body class='has-sidebar'><article>{TEXT}</article><div class='sidebar'>side</div></body></html>",
+        f"<body><main class='no-sidebar'>{TEXT}</main><div class='site-footer'>foot</div></body>",
+        f"<body><article class='post comments-open'>{TEXT}<section id='comments'><p>nice</p></section></article></body>",
+        f"<body><article><header>{TEXT.split('<p>')[0]}</header><p>Body of the article.</p><footer>by me</footer></article></body>",
+        f"<body><div id='container'><div class='share-price'>{TEXT}</div></div><div class='widget'><p>{'x ' * 3000}</p></div></body>",
+        f"<body><div class='widget'><div class='post'>{TEXT}<div class='share-buttons'>tweet</div></div></div></body>",
+        f"<body><form action='x'><div class='post'>{TEXT}</div></form></body>",
+        f"<body><header>top</header><div class='a b c d'>{TEXT}</div><nav><p>menu</p></nav><aside>side</aside><svg/><div role='navigation'>more</div></body>",
+    ],
+)
+def test_html_noise(page):
+    assert html_extract.extract(page, None) == "Head\n\nBody of the article."
+
+
+def test_html_keeps_what_only_looks_like_noise():
+    page = "<article><h1>T</h1><section class='related-work'><p>Others did it.</p></section><p>A <span class='share-price'>12</span> rose, <math><mi>x</mi></math> fell.</p></article>"
+    assert html_extract.extract(page, None) == "T\n\nOthers did it.\n\nA 12 rose, x fell."
+    assert html_extract.extract("<body><nav>menu</nav><footer>foot</footer></body>", None) == ""
+    four = [html_extract.Page(f"<div class='a b c {x}'>{'text ' * 9}</div>") for x in "de"]
+    assert four[0].path(1) != four[1].path(1)
+
+
+def test_html_is_linear():
+    began = time.perf_counter()
+    assert html_extract.extract("<p>a" + "</b></i>" * 100_000 + "<p>b", None) == "a\n\nb"
+    deep = html_extract.Page("<div class='x'>" * 20_000 + "deep" + "</div>" * 20_000)
+    assert len(deep.blocks) == 1 and deep.path(3) == "div.x>div.x>div.x"
+    assert len(html_extract.extract("<p>" + "word " * 2_000_000, None)) == 9_999_999
+    assert html_extract.extract("<a \"<a '" * 20_000 + "x", None) == ""
+    assert time.perf_counter() - began < 15
+
+
+def test_html_votes_and_empty_tables(spark):
+    pages = lambda rows: spark.createDataFrame(rows, "page_id int, url string, html string")
+    half = [(n, "http://tie.example/", f"<div class='{'ab'[n % 2]}'><p>some words here</p></div>") for n in range(4)]
+    assert html_extract.host_paths(pages(half)).first()["path"] == "div.a"  # equal votes: the first by name
+    got = html_extract.main_text(pages([*half, half[0]])).collect()
+    assert len(got) == 5 and {r["text"] for r in got} == {"some words here"}
+    assert html_extract.main_text(pages([])).count() == 0
+
+
 # The pipeline
 
 

@@ -4,7 +4,13 @@ Each page scores its containers by the text that their blocks hold beside links.
 vote, in Spark, on generalised tag-class paths (numbers in class names don't tell paths apart), and every
 page is extracted again from the elements that lie on the winning path of its host; a page without such an
 element uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are left out wherever they stand.
+styles and comments are left out: by their tag or role, or by a whole class or id that names one (``sidebar``,
+``site-footer``, ``share-buttons``; not ``has-sidebar``, ``share-price`` or ``related-work``). A class never condemns html, body,
+main or article, nor what the extracted container lies in, and a header within an article or main element is part of it. If a page has no
+text outside elements that a class or a form condemns, these count as any others.
+
+Parsing is linear in the page: open elements are found by their tag, and a container carries a hash of its path, so
+neither stray end tags nor deep nesting is searched or copied. Only the paths that a page votes for become strings.
 
 Votes are whole numbers summed with map-side aggregation, so a host with a third of all pages costs no more
 than others. The winners (a row for each host) are broadcast while there are at most ``BROADCAST_HOSTS``,
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,154 +45,198 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select xmp noframes".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select xmp noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CONTAINERS = frozenset("article body center div main section td".split())
-#: Elements that are never part of the article, by their tag and by words of their class, id or role.
-NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe button dialog menu head".split()) | RAW
+#: Elements that are never part of the article, by tag or role.
+NOISE_TAGS = frozenset("nav header footer aside button dialog menu head".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+#: Elements that no class condemns.
+SAFE = frozenset("html body main article".split())
+#: A class or id that names something else than the article: one of these words, alone or with words that only say where or what of it.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|byline-links|comments?|commentlist|respond|replies|reader-comments|cookies?|consent|copyright|disclaimer|disqus|footer|foot|"
-    r"header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|alert|pager|pagination|popup|promo|promoted|related|recommended|search|share|sharing|sidebar|side|skip|social|sponsor|sponsored|subscribe|"
-    r"tags|toolbar|topbar|widget|widgets|complementary|contentinfo|modal|login|signup)(?:$|[\s_-]|\d)",
-    re.I,
+    r"(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary|blog|reader|user|post|article|cookie|gdpr|legal|mobile|sticky)[-_]+)?"
+    r"(?:ads?|adverts?|advertisements?|banner|breadcrumbs?|comments?|commentlist|comment-respond|respond|replies|cookies?|consent|copyright|disclaimer|disqus|footer|foot|masthead|menu|nav|navbar|navigation|newsletter|"
+    r"notices?|alert|pager|pagination|popup|promos?|promoted|related|recommended|recommendations|search|share|sharing|sidebar|skip-link|social|sponsors?|sponsored|subscribe|signup|login|modal|tags|toolbar|topbar|widgets?)"
+    r"(?:[-_]+(?:list|area|section|wrapper|wrap|container|box|block|bar|banner|slot|unit|links?|buttons?|icons?|menu|nav|inner|top|bottom|left|right|main|primary|secondary|form|threads?|items?|posts|articles|stories|media|text|holder|panel|body|content))*[-_]*[0-9]*"
 )
+HEADER = re.compile(r"(?:(?:site|page|global|main|top|blog)[-_]+)?header(?:[-_]+(?:wrapper|wrap|container|inner|area|bar|top|main|nav))*[-_]*[0-9]*")
 #: What a start tag closes when it is the innermost of its kind, and where looking for it stops.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "option": (("option",), ("select",)), "p": (("p",), tuple(CONTAINERS))}
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+PRIME = (1 << 61) - 1
+
+
+def grown(key: int, step: str) -> int:
+    """The hash of a path with a step more."""
+    return (key * 1_000_003 + zlib.crc32(step.encode("utf-8", "surrogatepass")) + 1) % PRIME
+
+
+def step(tag: str, attrs: str) -> tuple[str, str, list[str]]:
+    """An element's part of a path, its role, and its classes and id."""
+    if "=" not in attrs:
+        return tag, "", []
+    found = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTR.findall(attrs)}
+    classes = found.get("class", "").split()
+    general = sorted({re.sub(r"[0-9]+", "#", x.lower()).replace(">", "") for x in classes})
+    return ".".join([tag, *general]), found.get("role", "").strip().lower(), [*classes, found.get("id", "").strip()]
 
 
-def step(tag: str, attrs: str) -> tuple[str, bool]:
-    """An element's part of a path, and whether it is noise."""
-    if tag in NOISE_TAGS or not attrs:
-        return tag, tag in NOISE_TAGS
-    found = {k.lower(): entities.unescape(v.strip("\"'")).lower() for k, v in ATTR.findall(attrs)}
-    classes = sorted({re.sub(r"[0-9]+", "#", x) for x in found.get("class", "").split()})[:3]
-    return ".".join([tag, *classes]), any(NOISE.search(x) for x in found.values())
+def names_noise(names: list[str], pattern: re.Pattern = NOISE) -> bool:
+    return any(x and pattern.fullmatch(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) for x in names)
 
 
 class Block:
-    """A run of text: where it stands and how much of it is link text."""
+    """A run of text: its container, how many elements around it are condemned by a class, and how much of it is link text."""
 
-    __slots__ = ("links", "parts", "path")
+    __slots__ = ("at", "links", "parts", "soft")
 
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.parts, self.links = path, [], 0
+    def __init__(self, at: int, soft: int):
+        self.at, self.soft, self.parts, self.links = at, soft, [], 0
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page that lie in no noise, in order. Their paths hold containers only, outermost first."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, noise
-    noise = links = 0
-    now: Block | None = None
+class Page:
+    """The containers of a page (parent, step, hash of the path, condemned elements around and at it, article or main element that it is in) and its blocks."""
 
-    def pop(to: int) -> None:
-        nonlocal noise, links
-        while len(stack) > to:
-            tag, _, bad = stack.pop()
-            noise -= bad
-            links -= tag == "a"
+    def __init__(self, page: str):
+        self.parent, self.step, self.key, self.soft, self.home = [-1], [""], [0], [0], [-1]
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, noise, condemned by a class, container
+        self.open: dict[str, list[int]] = {}
+        self.noise = self.condemned = 0
+        self.now: Block | None = None
+        self.read(page)
 
-    def say(text: str) -> None:
-        nonlocal now
-        if noise or not text:
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, bad, soft, _ = self.stack.pop()
+            self.open[tag].pop()
+            self.noise -= bad
+            self.condemned -= soft
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def say(self, text: str) -> None:
+        if self.noise or not text:
             return
-        if now is None:
+        if self.now is None:
             if text.isspace():
                 return
-            now = Block(tuple(s for t, s, _ in stack if t in CONTAINERS))
-            out.append(now)
-        now.parts.append(text)
-        if links:
-            now.links += len(text)
-
-    at = 0
-    while m := TOKEN.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            say(" ")
-            continue
-        if tag in BLOCKS:
-            now = None
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-            continue
-        if tag in BLOCKS:  # a block ends an open paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in CONTAINERS:
+            self.now = Block(self.stack[-1][3] if self.stack else 0, self.condemned)
+            self.blocks.append(self.now)
+        self.now.parts.append(text)
+        if self.open.get("a"):
+            self.now.links += len(text)
+
+    def start(self, tag: str, attrs: str) -> None:
+        name, role, names = step(tag, attrs)
+        inside = bool(self.open.get("article") or self.open.get("main"))
+        bad = tag in NOISE_TAGS and not (tag == "header" and inside) or role in NOISE_ROLES and tag not in SAFE
+        soft = not bad and tag not in SAFE and (tag == "form" or names_noise(names) or not inside and names_noise(names, HEADER))
+        at = self.stack[-1][3] if self.stack else 0
+        self.noise += bad
+        self.condemned += soft
+        if tag in CONTAINERS and not self.noise:
+            new = len(self.parent)
+            home = self.home[at]
+            kind = self.step[home].split(".", 1)[0] if home >= 0 else ""
+            if tag == "article" and kind != "article" or tag == "main" and not kind:
+                home = new
+            self.parent.append(at)
+            self.step.append(name)
+            self.key.append(grown(self.key[at], name))
+            self.soft.append(self.condemned)
+            self.home.append(home)
+            at = new
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, bad, soft, at))
+
+    def read(self, page: str) -> None:
+        at = 0
+        while m := TOKEN.search(page, at):
+            self.say(page[at : m.start()])
+            at = m.end()
+            tag = m["tag"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag == "br":
+                self.say(" ")
+                continue
+            if tag in BLOCKS:
+                self.now = None
+            if m["close"]:
+                if self.open.get(tag):
+                    self.pop(self.open[tag][-1])
+                continue
+            for kind in [k for k in (("p", tag) if tag in BLOCKS and tag != "p" else (tag,)) if k in CLOSES]:  # a block ends an open paragraph
+                own, stop = CLOSES[kind]
+                found = self.last(own)
+                if found > self.last(stop):
+                    self.pop(found)
+            closed = m["attrs"].endswith("/")
+            if tag in VOID or closed and tag not in BLOCKS and tag not in RAW or closed and tag == "svg":
+                continue
+            if tag in RAW:  # its content is no markup
+                end = ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            self.start(tag, m["attrs"])
+        self.say(page[at:])
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node > 0:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        return ">".join(reversed(steps))
+
+    def scores(self) -> dict[int, float]:
+        """Of the containers that blocks count for: a block's article or main element, else the nearest ones. One container stands for all of its path."""
+        clean = [b for b in self.blocks if not b.soft] or self.blocks
+        first: dict[int, int] = {}
+        total: dict[int, float] = {}
+        for b in clean:
+            n = max(0, sum(map(len, b.parts)) - 2 * b.links)
+            node, share = (self.home[b.at], 0.0) if self.home[b.at] >= 0 else (b.at, 0.6)
+            weight = 1.0
+            for _ in range(3 if share else 1):
+                if node <= 0:
                     break
-        if tag in CLOSES:
-            own, stop = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in own:
-                    pop(k)
-                    break
-                if stack[k][0] in stop:
-                    break
-        if tag in VOID:
-            continue
-        if tag in RAW:  # its content is no markup
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if m["attrs"].endswith("/") and tag not in BLOCKS:
-            continue
-        name, bad = step(tag, m["attrs"])
-        stack.append((tag, name, bad))
-        noise += bad
-        links += tag == "a"
-    say(page[at:])
-    return out
-
-
-def homes(path: tuple[str, ...]) -> list[tuple[str, float]]:
-    """The containers that a block counts for, as joined paths: its article or main element, else the nearest ones."""
-    for kind in ("article", "main"):
-        for k, s in enumerate(path):
-            if s.split(".")[0] == kind:
-                return [(">".join(path[: k + 1]), 1.0)]
-    return [(">".join(path[: len(path) - up]), 0.6**up) for up in range(min(3, len(path)))]
-
-
-def container_scores(found: list[Block]) -> dict[str, float]:
-    scores: dict[str, float] = {}
-    for b in found:
-        n = sum(map(len, b.parts)) - 2 * b.links
-        for path, share in homes(b.path):
-            scores[path] = scores.get(path, 0.0) + max(0, n) * share
-    return scores
-
-
-def best(scores: dict[str, float]) -> list[tuple[str, float]]:
-    return sorted(((p, s) for p, s in scores.items() if s > 0), key=lambda x: (-x[1], x[0]))[:TOP]
+                known = first.setdefault(self.key[node], node)
+                total[known] = total.get(known, 0.0) + n * weight
+                node, weight = self.parent[node], weight * share
+        return total
 
+    def best(self) -> list[tuple[int, float]]:
+        return sorted(((k, s) for k, s in self.scores().items() if s > 0), key=lambda x: (-x[1], x[0]))[:TOP]
 
-def within(found: list[Block], path: str) -> list[Block]:
-    steps = tuple(path.split(">"))
-    return [b for b in found if b.path[: len(steps)] == steps]
+    def within(self, key: int) -> list[Block]:
+        """The blocks in the outermost containers of a path, but those that a class condemns within them."""
+        base = [-1] * len(self.parent)  # condemned elements around the container of the path, -1 outside
+        for k in range(1, len(base)):
+            up = base[self.parent[k]]
+            base[k] = up if up >= 0 else self.soft[k] if self.key[k] == key else -1
+        return [b for b in self.blocks if base[b.at] == b.soft]
 
 
 def extract(page: str, path: str | None) -> str:
-    found = blocks(page)
-    chosen = within(found, path) if path else []
+    found = Page(page)
+    chosen: list[Block] = []
+    if path:
+        key = 0
+        for x in path.split(">"):
+            key = grown(key, x)
+        chosen = found.within(key)
     if not chosen:
-        own = best(container_scores(found))
-        chosen = within(found, own[0][0]) if own else found
+        own = found.best()
+        chosen = found.within(found.key[own[0][0]]) if own else [b for b in found.blocks if not b.soft]
     return "\n\n".join(t for t in (b.text() for b in chosen) if t)
 
 
@@ -196,11 +247,12 @@ def host(url: Column) -> Column:
 def ballots(batch: pa.RecordBatch) -> pa.RecordBatch:
     hosts, paths, votes = [], [], []
     for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-        found = best(container_scores(blocks(page)))
+        read = Page(page)
+        found = read.best()
         total = sum(s for _, s in found)
-        for p, s in found:
+        for k, s in found:
             hosts.append(h)
-            paths.append(p)
+            paths.append(read.path(k))
             votes.append(int(VOTES * s / total))
     return pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], names=["host", "path", "votes"])
 

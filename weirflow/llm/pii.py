@@ -1,15 +1,21 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions throughout.
 
-Base patterns find e-mail and IP addresses, card and telephone numbers; what they find stays. Generators with
-a high recall propose further spans, overlapping ones too: addresses written out, numbers with other separators
-or without a country code, IPv6. Boosted trees judge those by their form and by the text around them, a
-curve calibrated on examples held back turns margins into probabilities, and a threshold for each kind keeps
-a precision of ``PRECISION`` on them. The trees are fitted on labelled examples that Spark makes from
-templates (``EXAMPLES`` rows) by the very expressions that judge documents, and become part of the query as SQL.
+Base patterns find e-mail and IP addresses, card and telephone numbers; what they find stays. Several generators for each
+kind, with a high recall, propose further spans, overlapping ones too: addresses written out or spaced, defanged
+and dashed numbers, other separators, national forms, IPv6. Boosted trees judge those by their form and by the text around
+them, a curve calibrated on examples held back turns margins into probabilities, and a threshold for each kind keeps
+a precision of ``PRECISION`` on them. Of accepted spans that overlap, the first stays.
+
+The trees are fitted on labelled examples: what the base patterns find in the documents, with the text around it, written
+in other forms (valid finds are examples of personal data, failing ones are not), the candidates that the generators propose
+in the documents as they are (taken as not personal; disguised data are rare), and sentences from templates. A fourth of the finds and
+one form of each kind are held back from the trees and serve the curve and the thresholds. All documents are read,
+and only counts of distinct feature vectors come to the driver, at most 2 ** len(FEATURES) of them and in practice hundreds.
 
 No text is shuffled and no row goes to Python. Defined results: a null text is empty and has no spans;
-positions are code points, ends excluded; each input row gives one row; columns besides the two named ones are
-ignored by ``spans`` and kept by ``redact``.
+positions are code points, ends excluded; each input row gives one row, repeated rows give equal rows; columns besides the two named ones are
+ignored by ``spans`` and kept by ``redact``; an empty table gives an empty result, and the trees then know the templates only; a kind without
+examples that reach the precision accepts nothing.
 """
 
 from __future__ import annotations
@@ -39,19 +45,49 @@ BASE = {
 #: What a text must hold before a pattern is tried.
 GUARD = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 DIGITS = "regexp_replace(x.match, '[^0-9]', '')"
+#: A number up to 255, and the numbers of a match between spaces.
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+QUADS = "trim(regexp_replace(x.match, '[^0-9]+', ' '))"
 VALID = {
     "email": "true",
     "ip": r"x.match rlike '^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$'",
     "card": f"length({DIGITS}) between 12 and 19 and luhn_check({DIGITS})",
     "phone": f"length({DIGITS}) between 9 and 15",
 }
+NAME, LABEL, SEP = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}", r"[\x20./_-]{1,2}"
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[\[({]\x20?(?:at|AT)\x20?[\])}]|\x20(?:at|AT)\x20)\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?|\x20(?:dot|DOT)\x20|\.)[A-Za-z0-9-]{1,63}){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{4}){2}[\x20./_-]{1,2}[0-9]{3,7}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])",
+    "email": (
+        NAME + r"\x20?(?:[\[({]\x20?(?:at|AT|@)\x20?[\])}]|\x20(?:at|AT)\x20)\x20?" + LABEL + r"(?:(?:\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?|\x20(?:dot|DOT)\x20|\.)" + LABEL + "){1,4}",
+        NAME + r"\x20{0,2}@\x20{1,2}" + LABEL + r"(?:\x20{0,2}\.\x20{0,2}" + LABEL + "){1,4}",
+        NAME + r"\x20{1,2}@\x20{0,2}" + LABEL + r"(?:\x20{0,2}\.\x20{0,2}" + LABEL + "){1,4}",
+        r"(?<![A-Za-z0-9])[A-Za-z0-9]{1,64}[_-](?:at|AT)[_-][A-Za-z0-9]{1,63}(?:[_-](?:dot|DOT)[_-][A-Za-z0-9]{1,63}){1,4}",
+    ),
+    "ip": (
+        r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
+        r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:[\[({](?:\.|dot|DOT)[\])}]|\x20(?:dot|DOT)\x20)\x20?[0-9]{1,3}){3}(?![0-9])",
+        r"(?<![0-9.])[0-9]{1,3}(?:\x20?[.]\x20[0-9]{1,3}|\x20[.]\x20?[0-9]{1,3}){3}(?![0-9])",
+        r"(?<![0-9-])[0-9]{1,3}(?:-[0-9]{1,3}){3}(?![0-9-])",
+    ),
+    "card": (
+        r"(?<![0-9])[0-9]{4}(?:" + SEP + "[0-9]{4}){2}" + SEP + "[0-9]{3,7}(?![0-9])",
+        r"(?<![0-9])3[47][0-9]{2}" + SEP + "[0-9]{6}" + SEP + "[0-9]{5}(?![0-9])",
+        r"(?<![0-9])[0-9]{4}(?:[\x20|:;,*]{1,3}[0-9]{4}){3}(?![0-9])",
+    ),
+    "phone": (
+        r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![\x20./-]?[0-9])",
+        r"(?<![0-9+])00[0-9]{1,3}(?:[\x20./_-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
+        r"\+[0-9]{1,3}(?:" + SEP + r"\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
+    ),
+}
+GENERATOR_GUARD = {"email": r"@|(?:\b|_)(?:at|AT)(?:\b|_)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9][\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]{1,3}[\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]", "card": r"[0-9]{4}[\x20./_|:;,*-]{1,3}[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20./_-]{1,2}\(?[0-9]{2}|00[0-9]{8}"}
+
+#: Other forms of what the base patterns find, as SQL of x.match; the last of each kind is held back from the trees.
+FORMS = {
+    "email": ("replace(replace(x.match, '@', ' at '), '.', ' dot ')", "replace(replace(x.match, '@', ' [at] '), '.', ' [dot] ')", "replace(x.match, '@', ' (at) ')", "replace(x.match, '@', ' @ ')", "replace(replace(x.match, '@', ' AT '), '.', ' DOT ')", "replace(replace(x.match, '@', '{at}'), '.', '{dot}')"),
+    "ip": ("replace(x.match, '.', '[.]')", "replace(x.match, '.', ' . ')", "replace(x.match, '.', '(dot)')", "replace(x.match, '.', '-')", "replace(x.match, '.', ' dot ')"),
+    "card": tuple(f"regexp_replace(regexp_replace(x.match, '[^0-9]', ''), '([0-9]{{4}})(?=[0-9]{{3}})', '$1{sep}')" for sep in (".", "/", "_", "  ")),
+    "phone": ("regexp_replace(x.match, '^[+]', '00')", "regexp_replace(x.match, '^[+][0-9]{1,3}[^0-9(]*', '')", "regexp_replace(regexp_replace(x.match, '^[+][0-9]{1,3}[^0-9(]*', ''), '[^0-9()]+', '.')", "regexp_replace(x.match, '[^0-9+()]+', '/')"),
 }
-GENERATOR_GUARD = {"email": r"(?:@|\b(?:at|AT)\b).{1,70}(?:\.|\b(?:dot|DOT)\b)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[\x20./_-]{1,2}[0-9]{4}[\x20./_-]{1,2}[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{3}"}
 
 #: Features by name, SQL of a candidate x (match, before, after).
 FEATURES = {
@@ -74,6 +110,16 @@ FEATURES = {
     "double_colon": "x.match like '%::%'",
     "long_group": "x.match rlike '[0-9A-Fa-f]{3,4}:'",
     "points_only": r"x.match rlike '^[0-9]+(?:\\.[0-9]+)+$'",
+    "slashes": r"x.match rlike '[/_|;,*]'",
+    "dashes": r"x.match rlike '^[0-9]+(?:-[0-9]+)+$'",
+    "four_bytes": rf"{QUADS} rlike '^{BYTE}(?: {BYTE}){{3}}$'",
+    "spaced_at": "x.match like '% @%' or x.match like '%@ %'",
+    "starts_00": "x.match like '00%'",
+    "plus": "x.match like '+%'",
+    "goes_on": r"x.after rlike '^[\\x20./_-]?[0-9]'",
+    "comes_from": r"x.before rlike '[0-9][\\x20./_-]?$'",
+    "colon_before": r"x.before rlike '[:=]\\s*[\\[(<]?$'",
+    "base_before": r"x.before rlike '@[A-Za-z0-9-]+\\.|[+][0-9]'",
 }
 
 #: Labelled examples: # is a digit, ~ the span that a generator should propose; + those that are personal, - those that are not.
@@ -81,8 +127,8 @@ TEMPLATES = {
     "email": "+write to ann##~ (at) mail# dot example dot com soon|+mail: jo.smith##~ [at] host#.org|+contact ann_## at example## dot com|+my e-mail is k##{at}web#{dot}net|+reach me: b.lee## AT corp#.com|"
     "-we looked at example##.txt yesterday|-arrived at gate##.it was late|-meet at noon.then go|-the ratio at step#.end|-look at page##.html|-he sat at home.she left",
     "ip": "+host 2001:db8:##:#:aa:b#:c##:#f is up|+from fe80::1##:ab##:cd#f|+ip 2a0#:6b8::##:#f0|+server address 2001:0db8:85a3:0000:0000:8a2e:0370:####|-at time 1#:2#:4# we met|-ratio 3:4:##|-score 1#:2#:3#|-time ##:##:##|-build ab:##:cd|-case 1:2:3:##",
-    "card": "+card ####.####.####.####|+paid by visa ####/####/####/####|+my credit card ####_####_####_####|+debit ####  ####  ####  ####|-serial ####.####.####.####|-part ####/####/####/####|-order ####_####_####_####|-item ####-####-####-####|-ref ####.####.####.#####|-total ####.####.####.###",
-    "phone": "+call me on ###-###-#### today|+tel: (###) ###-####|+phone ###.###.####|+my mobile is ### ### ####|+fax ###/###-####|+dial 0049 ### #### ####|+reach us at (###) ###-####|-order ###-###-#### came|-version ###.###.####|-isbn ###-####-###|-sum ### ### ####|-part ###/###/####|-invoice ###-###-####|-serial ###.####.####|-page ##/###-###|-total ## #### ####",
+    "card": "+card ####.####.####.####|+paid by visa ####/####/####/####|+my credit card ####_####_####_####|+debit ####  ####  ####  ####|-serial ####.####.####.####|-part ####/####/####/####|-order ####_####_####_####|-item ####-####-####-####|-ref ####.####.####.#####|-then ####.####.####.#### and|-so ####/####/####/#### it|-total ####.####.####.###",
+    "phone": "+call me on ###-###-#### today|+tel: (###) ###-####|+phone ###.###.####|+my mobile is ### ### ####|+fax ###/###-####|+dial 0049 ### #### ####|+reach us at (###) ###-####|-order ###-###-#### came|-version ###.###.####|-isbn ###-####-###|-sum ### ### ####|-part ###/###/####|-invoice ###-###-####|-serial ###.####.####|-page ##/###-###|-total ## #### ####|-then ####.####.####.#### and|-a ###.###.### b|-so ####-####-#### it|-and ####/####/####/#### so|-we ### ### ### ###",
 }
 
 
@@ -109,6 +155,13 @@ def matches(text: str, pattern: str, guard: str, kind: int) -> str:
     return f"case when {text} rlike {literal(guard)} then {whole} else cast(array() as {SPAN}) end"
 
 
+def running_max(values: str, least: str = "0L") -> str:
+    """SQL for the greatest of the values before each place (``least`` at the first), in steps of STRIDE values."""
+    sums = f"aggregate(sequence(0, greatest((size(w) - 1) div {STRIDE}, 0)), array({least}), (a, k) -> concat(a, array(greatest(element_at(a, -1), coalesce(array_max(slice(w, k * {STRIDE} + 1, {STRIDE})), {least})))))"
+    each = f"transform(w, (x, i) -> greatest(m[i div {STRIDE}], coalesce(array_max(slice(w, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE})), {least})))"
+    return let(values, "w", let(sums, "m", each))
+
+
 @dataclass(frozen=True)
 class Model:
     trees: list[boosting.Tree]
@@ -141,30 +194,58 @@ def example_rows(spark: SparkSession) -> DataFrame:
     return spark.range(EXAMPLES).selectExpr("id", f"case {chosen} end as e").selectExpr("e.kind", "e.label", f"pmod(id div {len(cases)}, 4) = 3 as held", "e.text")
 
 
-def fit(spark: SparkSession) -> Model:
-    """Trees, curve and thresholds from the labelled examples; the driver gets their distinct feature vectors only."""
-    kinds = " ".join(f"when kind = {i} then {matches('text', GENERATORS[k], GENERATOR_GUARD[k], i)}" for i, k in enumerate(KINDS))
+def proposed(kind: int) -> str:
+    """SQL for the candidates of all generators of a kind in ``text``."""
+    name = KINDS[kind]
+    return "concat(" + ", ".join(matches("text", g, GENERATOR_GUARD[name], kind) for g in GENERATORS[name]) + ")"
+
+
+def document_rows(docs: DataFrame) -> DataFrame:
+    """label, held and f (features) of what the documents themselves teach."""
+    every = []
+    for i, k in enumerate(KINDS):
+        x = f"named_struct('kind', x.kind, 'match', {{}}, 'before', x.before, 'after', x.after)"
+        fits = literal("^(?:" + "|".join(GENERATORS[k]) + ")$")
+        forms = ", ".join(f"named_struct('x', {x.format(f)}, 'label', if({VALID[k]}, 1, 0), 'held', {str(n + 1 == len(FORMS[k])).lower()} or pmod(xxhash64(x.match), 4) = 3)" for n, f in enumerate(FORMS[k]))
+        every.append(f"filter(flatten(transform({matches('text', BASE[k], GUARD[k], i)}, x -> array({forms}))), y -> y.x.match rlike {fits})")
+        natural = f"filter({proposed(i)}, x -> not x.match rlike {literal(BASE[k])})"
+        every.append(f"transform({natural}, x -> named_struct('x', {x.format('x.match')}, 'label', 0, 'held', pmod(xxhash64(x.match), 4) = 3))")
+    some = "text rlike '[0-9@]|(?:\\\\b|_)(?:at|AT)(?:\\\\b|_)'"
+    return docs.where(some).selectExpr(f"explode(concat({', '.join(every)})) as e").selectExpr("e.label", "e.held", f"element_at(transform(array(e.x), x -> {features()}), 1) as f")
+
+
+def fit(spark: SparkSession, docs: DataFrame | None = None) -> Model:
+    """Trees, curve and thresholds from the labelled examples of templates and, if they are given, of documents (column ``text``)."""
+    kinds = " ".join(f"when kind = {i} then {proposed(i)}" for i in range(len(KINDS)))
     found = example_rows(spark).selectExpr("label", "held", f"explode(transform(case {kinds} end, x -> {features()})) as f")
+    if docs is not None:
+        found = found.unionByName(document_rows(docs.select(F.col("text").cast("string").alias("text"))))
     counted = found.groupBy("held", "f").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).collect()
     rows = sorted((tuple(r["f"]), float(r["p"]), float(r["q"]), r["held"]) for r in counted)
     trees = boosting.fit([r[:3] for r in rows if not r[3]])
     back = [(boosting.margin(trees, x), p, q, x) for x, p, q, held in rows if held]
     slope, bias = boosting.calibrate([b[:3] for b in back])
-    limits = tuple(max(0.5, boosting.threshold([(boosting.sigmoid(slope * m + bias), p, q) for m, p, q, x in back if x[k]], PRECISION)) for k in range(len(KINDS)))
+    limits = tuple(boosting.threshold([(boosting.sigmoid(slope * m + bias), p, q) for m, p, q, x in back if x[k]], PRECISION) for k in range(len(KINDS)))
     return Model(trees, slope, bias, limits)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, base and found: arrays of (start, kind, end), kinds by number, sorted; ``found`` holds the base spans too."""
     bare = "transform({}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    some = "text rlike '[0-9@]|\\\\b(?:at|AT)\\\\b'"
+    some = "text rlike '[0-9@]|(?:\\\\b|_)(?:at|AT)(?:\\\\b|_)'"
     base = "concat(" + ", ".join(f"filter({matches('text', BASE[k], GUARD[k], i)}, x -> {VALID[k]})" for i, k in enumerate(KINDS)) + ")"
-    more = "concat(" + ", ".join(f"filter({matches('text', GENERATORS[k], GENERATOR_GUARD[k], i)}, x -> {let(features(), 'f', model.sql('f'))})" for i, k in enumerate(KINDS)) + ")"
+    more = "concat(" + ", ".join(f"filter({proposed(i)}, x -> {let(features(), 'f', model.sql('f'))})" for i in range(len(KINDS))) + ")"
     empty = f"cast(array() as {SPAN})"
     rows = keyed_text(docs, id_col, text_col).selectExpr("doc_id", "text", f"case when {some} then {base} else {empty} end as base", f"case when {some} then {more} else {empty} end as more")
     rows = rows.selectExpr("doc_id", "text", f"array_sort({bare.format('base')}) as base", f"array_sort({bare.format('more')}) as more")
-    free = "filter(more, (x, i) -> not exists(base, y -> y.start < x.end and x.start < y.end) and not exists(slice(more, 1, i), y -> x.start < y.end and y.start < x.end))"
-    return rows.selectExpr("doc_id", "text", "base", f"if(size(more) = 0, base, array_sort(concat(base, {free}))) as found")
+    # all spans in a row, base ones (0) before others (1) that begin where they do
+    row = "array_sort(concat(transform(base, x -> named_struct('start', x.start, 'more', 0, 'kind', x.kind, 'end', x.end)), transform(more, x -> named_struct('start', x.start, 'more', 1, 'kind', x.kind, 'end', x.end))))"
+    behind = running_max("transform(r, x -> if(x.more = 0, x.end, 0L))")
+    ahead = f"reverse({running_max('reverse(transform(r, x -> if(x.more = 0, -x.start, -9223372036854775807L)))', '-9223372036854775807L')})"
+    others = running_max("transform(r, x -> if(x.more = 1, x.end, 0L))")
+    free = let(behind, "b", let(ahead, "a", let(others, "o", "filter(r, (x, i) -> x.more = 0 or (b[i] <= x.start and -a[i] >= x.end and o[i] <= x.start))")))
+    merged = let(row, "r", bare.format(free))
+    return rows.selectExpr("doc_id", "text", "base", f"if(size(more) = 0, base, {merged}) as found")
 
 
 def listed(column: str) -> str:
@@ -174,7 +255,7 @@ def listed(column: str) -> str:
 
 def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The columns of the query."""
-    found = spans(docs, model or fit(docs.sparkSession))
+    found = spans(docs, model or fit(docs.sparkSession, docs))
     counts = [f"cast(size(filter(base, x -> x.kind = {i})) as bigint) as n_{k}" for i, k in enumerate(KINDS)]
     return found.selectExpr("doc_id", *counts, f"sha2({listed('base')}, 256) as base_sha256", f"{listed('found')} as spans")
 
@@ -182,11 +263,11 @@ def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span, overlapping ones as one, replaced by the name of its first kind in angle brackets. Texts without spans, null ones among them, stay as they are."""
     wide = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    found = spans(wide.withColumnRenamed("_text", "text"), model or fit(docs.sparkSession), "_row", "text").withColumnRenamed("doc_id", "_row")
-    apart = "aggregate(found, cast(array() as array<struct<start: bigint, kind: int, end: bigint>>), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'kind', element_at(a, -1).kind, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"
+    found = spans(wide.withColumnRenamed("_text", "text"), model or fit(docs.sparkSession, docs.select(F.col(text_col).cast("string").alias("text"))), "_row", "text").withColumnRenamed("doc_id", "_row")
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
-    # each part is cut from behind the span before it
-    parts = "transform(a, (x, i) -> concat(substring(text, cast(if(i = 0, 0, a[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, a[i - 1].end) as int)), " + names + "[x.kind]))"
-    clean = let(apart, "a", f"concat(array_join({parts}, ''), substring(text, cast(element_at(a, -1).end + 1 as int)))")
+    # m is the end of what the spans before cover; a span that begins within it is part of it
+    parts = f"transform(found, (x, i) -> if(x.start < m[i], '', concat(substring(text, cast(m[i] + 1 as int), cast(x.start - m[i] as int)), {names}[x.kind])))"
+    rest = "substring(text, cast(array_max(transform(found, x -> x.end)) + 1 as int))"
+    clean = let(running_max("transform(found, x -> x.end)"), "m", f"concat(array_join({parts}, ''), {rest})")
     rows = found.selectExpr("_row", f"if(size(found) = 0, _row.`{text_col}`, {clean}) as _clean")
     return rows.select(*[F.col("_clean").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
