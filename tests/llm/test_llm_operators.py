@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 import time
 import zlib
 
@@ -506,6 +507,21 @@ def test_compression_classifier(spark, odd, none):
     assert {r["score"] for r in cc.score(odd, cc.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_compression_classifier_reads_whole_texts(spark):
+    """What tells the labels apart stands far behind the start of each text, and an id repeats."""
+    rng = random.Random(15)
+    filler = " ".join(rng.choice(WORDS) for _ in range(12_000))
+    noise = lambda: " ".join("".join(rng.choice("#$%&|qxz") for _ in range(7)) for _ in range(4000))
+    rows = [(i, filler + (text(rng, 6000) if i % 2 else noise())) for i in range(60)]
+    rows += [(1, rows[1][1])] * 50 + [(3, text(rng, 50))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id int, quality int")
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("y", F.lit(5)).withColumn("half", F.lit("x"))
+    got = cc.score(docs, cc.fit(docs, labels)).collect()
+    assert len(got) == len(rows)
+    held = [r for r in got if r["held_out"]]
+    assert sum((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in held) >= 0.95 * len(held)
+
+
 # 9
 
 
@@ -544,6 +560,33 @@ def test_random_strings(spark):
     assert secrets.redact(spark.createDataFrame(rows[:1], "doc_id int, text string")).first()["text"] == "the key is <SECRET> here"
 
 
+def test_random_strings_planted():
+    rng = random.Random(14)
+    signs = {"mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + string.digits, "letters": string.ascii_letters}
+    frames = ["the key is {} here", "see com/services/webhooks/incoming/notifications/{} now", "my_production_service_{}", "key-{}\n"]
+    for name, of in signs.items():
+        hit = 0
+        for k in range(200):
+            key = "".join(rng.choice(of) for _ in range(rng.choice([16, 20, 24, 40])))
+            t = frames[k % 4].format(key)
+            at = t.index(key)
+            hit += any(k_ == 3 and a < at + len(key) and at < b for a, k_, b in secrets.all_spans(t, secrets.VOCABULARY)[1])
+        assert hit >= 190, (name, hit)
+    with open(random.__file__) as f:
+        code = f.read()
+    assert [code[a:b] for a, _, b in secrets.all_spans(code, secrets.VOCABULARY)[1]] == []
+    clean = "Donaudampfschifffahrtsgesellschaft internationalization_of_applications2 release-2024-01-15-candidate-12 com.example.SomeVeryLongClassName zzzzzzzzzzzzzzzzzzzzzzzz1 0x0000000000000000ff user_profile_image_url_https_v2 A1B2C3D4-E5F6-A7B8-C9D0-E1F2A3B4C5D6 " + "d41d8cd98f00b204e9800998ecf8427e".upper()
+    assert not secrets.all_spans(clean, secrets.VOCABULARY)[1]
+
+
+def test_secrets_of_long_texts(none):
+    began = time.perf_counter()
+    t = ("token: abcdef12 AKIA" + "B1" * 10 + " k9Xq2ZpL7vRt4WmN8sYb ") * 20_000
+    base, every = secrets.all_spans(t, secrets.VOCABULARY)
+    assert len(base) == 40_000 and len(every) == 60_000 and time.perf_counter() - began < 20
+    assert secrets.scan(none).count() == 0
+
+
 # 10
 
 

@@ -5,17 +5,19 @@ blocks and each is compressed with either; the difference of the compressed size
 which dictionary knows it better, and a logistic curve fitted on other labelled rows turns it into a
 probability of label 1.
 
-Fitting reads a bounded sample of labelled rows (``SAMPLE`` of each label for the dictionaries and as many
-for the curve, chosen by a hash of the id, of each at most ``SAMPLE_BYTES``); scoring reads whole texts.
+Fitting reads the whole texts of a bounded sample of labelled ids (2 * ``SAMPLE`` of each label, chosen by a hash of the id): half of them
+are cut into blocks in the tasks, and of the different blocks of either label the ``BLOCKS`` with the least hashes, from
+wherever in the texts, become its dictionary; of the other half the differences of at most 4 * ``SAMPLE`` different texts, chosen
+likewise, fit the curve. So the driver gets bounded blocks and numbers, no text, however often an id repeats. Scoring reads whole texts.
 Defined results: a null or empty text has difference 0 and gets the curve's value there; labels that are null
 are not used; with labels of one kind only, or none, every text gets the share of label 1 (0.5 if there are
-no labels); each input row gives one row; other columns are ignored.
+no labels); each input row gives one row, also where ids repeat with different texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.arrow import id_type, keyed_text, map_slices
+from weirflow.llm.arrow import id_type, keyed_text, map_slices, slices
 
 SAMPLE = 1500
-SAMPLE_BYTES = 65_536
 BLOCK = 1024
+#: Blocks that a dictionary is built from.
+BLOCKS = 6000
 DICTIONARY = 112_640
 LEVEL = 3
 THRESHOLD = 0.7
@@ -63,18 +66,40 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def build_dictionary(texts: list[str]) -> bytes:
+def build_dictionary(blocks: list[bytes]) -> bytes:
     import zstandard
 
-    blocks = [x[i : i + BLOCK] for x in (t.encode()[:SAMPLE_BYTES] for t in texts) for i in range(0, len(x), BLOCK)]
-    random.Random(0).shuffle(blocks)
-    blocks = blocks[:6000]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: the text itself serves
         return b"".join(blocks)[-DICTIONARY:]
 
 
+def short_hash(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True)
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h (hash) and block of the blocks of each text."""
+    for batch in batches:
+        for text in batch.column("text"):
+            raw = text.as_py().encode("utf-8", "surrogatepass")
+            parts = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+            for a in range(0, len(parts), 4096):
+                own = parts[a : a + 4096]
+                yield pa.record_batch([pa.array([short_hash(x) for x in own], pa.int64()), pa.array(own, pa.binary())], names=["h", "block"])
+
+
+def measured(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """y, h (hash) and x (difference) of each text."""
+    good, bad = shared.value
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = part.column("text").to_pylist()
+            hashes = [short_hash(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.record_batch([part.column("y"), pa.array(hashes, pa.int64()), pa.array([difference(t, good, bad) for t in texts], pa.float64())], names=["y", "h", "x"])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and bias of a logistic curve by Newton steps with a small penalty; x is scaled to unit spread."""
     spread = float(x.std()) or 1.0
@@ -91,7 +116,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows that are not held out; the driver gets at most 4 * ``sample`` texts."""
+    """Learns from labelled rows that are not held out."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out("_id"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     total = sum(counts.values())
@@ -99,23 +124,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = min(max(counts.get(1, 0) / total, 1e-6), 1 - 1e-6) if total else 0.5
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
     order = F.xxhash64(F.col("_id").cast("string"))
-    chosen = None
+    ids = []
     for y in (0, 1):
         part = marks.where(F.col("y") == y).dropDuplicates(["_id"]).orderBy(order, "_id").limit(2 * sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "y", "text").collect()  # 2 * sample ids of each label at most
-    rows = sorted({(r["_id"], r["y"], r["text"]) for r in rows}, key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
-    of = {y: [r[2] for r in rows if r[1] == y] for y in (0, 1)}
-    half = {y: max(1, len(t) // 2) for y, t in of.items()}
-    good, bad = (build_dictionary(of[y][: half[y]]) for y in (1, 0))
-    rest = [(y, t) for y in (0, 1) for t in of[y][half[y] :] or of[y]]
-    if len({y for y, _ in rest}) < 2:
+        ids += part.select("_id", "y", F.pmod(F.xxhash64(F.lit("half"), F.col("_id").cast("string")), F.lit(2)).alias("half")).collect()
+    spark = docs.sparkSession
+    chosen = F.broadcast(spark.createDataFrame(ids, f"_id {id_type(labels, id_col)}, y int, half int"))  # 4 * sample ids at most
+    texts = keyed_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id"))
+    dictionaries = []
+    for y in (1, 0):
+        blocks = texts.where(f"y = {y} and half = 0").select("text").mapInArrow(cut, "h long, block binary").dropDuplicates(["h"])
+        dictionaries.append(build_dictionary([bytes(r["block"]) for r in blocks.orderBy("h").limit(BLOCKS).collect()]))
+    shared = spark.sparkContext.broadcast(tuple(dictionaries))
+    points = texts.where("half = 1").select("y", "text").mapInArrow(partial(measured, shared), "y int, h long, x double").dropDuplicates(["y", "h"])
+    points = points.orderBy("h", "y").limit(4 * sample).collect()
+    good, bad = dictionaries
+    if len({r["y"] for r in points}) < 2:
         share = min(max(counts[1] / total, 1e-6), 1 - 1e-6)
         return Model(good, bad, 0.0, float(np.log(share / (1 - share))))
-    x = np.array([difference(t, good, bad) for _, t in rest])
-    y = np.array([k for k, _ in rest], float)
-    share = np.where(y == 1, counts[1] / total / max(1, y.sum()), counts[0] / total / max(1, (1 - y).sum()))
+    x = np.array([r["x"] for r in points])
+    y = np.array([r["y"] for r in points], float)
+    share = np.where(y == 1, counts[1] / total / y.sum(), counts[0] / total / (1 - y).sum())
     return Model(good, bad, *fit_curve(x, y, share * len(y)))
 
 

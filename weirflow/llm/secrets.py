@@ -1,13 +1,14 @@
 """Secret scans by token efficiency.
 
-Patterns find assignments, access keys and runs of hexadecimal digits. Beside them, any long string of key
-characters that mixes letters and digits is a candidate: words take few tokens of a byte-level vocabulary
-for their characters, random strings take many, so a candidate with few characters for each token is a
-secret, unless it has the form of a known digest or identifier (a UUID, a commit or checksum, a
-version, a date, a path or an address).
+Patterns find assignments, access keys and runs of hexadecimal digits. Beside them, any run of ``LEAST`` key
+characters or more is looked at: words take few tokens of a byte-level vocabulary for their characters, random strings
+take many, so a string with few characters for each token is a secret, unless it has the form of a known
+digest or identifier (a UUID, a checksum, a number, a date). Runs are cut where parts of them are words or numbers (paths, names with
+underscores), so that a key in a path is judged by itself. Strings of letters only count if they mix the cases; lower-case letters
+alone are not told from prose.
 
 Defined results: a null text is empty; an empty text gives no spans; positions are code points, ends
-excluded; each input row gives one row, repeated rows give equal rows; other columns are ignored.
+excluded; each input row gives one row, repeated rows give equal rows; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import base64
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,18 +34,21 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Runs of key characters long enough to hold a key.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Characters of the shortest string that is judged.
+LEAST = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Parts of a run that are words or numbers.
+PART = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"[A-Z]?[a-z]{3,}[0-9]{0,2}|[A-Z]{3,}[0-9]{0,2}|(?:[A-Z]?[a-z]{2,}){2,}|[0-9]{1,8}")
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"  # digests
-    r"|[0-9_/=+-]+"  # dates, numbers and rules
-    r"|(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)*[A-Za-z]+[0-9]{0,4}"  # names and paths made of words
-    r"|[0-9a-z]+(?:-[0-9a-z]+){4,})"  # slugs
+    r"|[0-9_/=+-]+)"  # dates, numbers and rules
 )
-#: Characters for each token below which a candidate counts as random, and the least entropy of its characters in bits.
+#: Characters for each token below which a string counts as random, with digits and of letters only; and the least entropy of its characters in bits.
 RATIO = 2.2
-ENTROPY = 3.0
+LETTERS = 1.9
+ENTROPY = 2.8
 
 
 @lru_cache(maxsize=2)
@@ -60,9 +66,40 @@ def entropy(x: str) -> float:
 
 
 def is_random(x: str, vocabulary: str, ratio: float = RATIO) -> bool:
-    if not (any("0" <= c <= "9" for c in x) and any(c.isalpha() for c in x)) or KNOWN.fullmatch(x):
+    if len(x) < LEAST or KNOWN.fullmatch(x) or entropy(x) < ENTROPY:
         return False
-    return entropy(x) >= ENTROPY and len(x) < ratio * len(encoder(vocabulary).encode_ordinary(x))
+    if not any("0" <= c <= "9" for c in x):
+        if sum(a.islower() and b.isupper() for a, b in zip(x, x[1:], strict=False)) < 2:
+            return False
+        ratio = ratio * LETTERS / RATIO
+    elif not any(c.isalpha() for c in x):
+        return False
+    return len(x) < ratio * len(encoder(vocabulary).encode_ordinary(x))
+
+
+def apart(run: str) -> list[tuple[int, int]]:
+    """The stretches of a run between parts that are words or numbers, separators at their ends left out."""
+    out: list[list[int]] = []
+    open_ = False
+    for m in PART.finditer(run):
+        if WORD.fullmatch(m[0]):
+            open_ = False
+        elif open_:
+            out[-1][1] = m.end()
+        else:
+            out.append([m.start(), m.end()])
+            open_ = True
+    return [(a, b) for a, b in out]
+
+
+def random_spans(run: str, vocabulary: str, ratio: float) -> list[tuple[int, int]]:
+    """The random strings of a run of key characters; the whole run, with the signs that fill it up, if nothing else is in it."""
+    if KNOWN.fullmatch(run):
+        return []
+    found = [(a, b) for a, b in apart(run) if is_random(run[a:b], vocabulary, ratio)]
+    if len(found) == 1 and not run[: found[0][0]].strip("+/=_-") and not run[found[0][1] :].strip("+/=_-"):
+        return [(0, len(run))]
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,10 +113,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, vocabulary: str, ratio: float = RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those with the random strings that no base span covers."""
     base = base_spans(text)
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # the end of what the base spans so far cover
     more = []
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and is_random(m[0], vocabulary, ratio):
-            more.append((m.start(), 3, m.end()))
+        before = bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start():
+            continue
+        more += [(m.start() + a, 3, m.start() + b) for a, b in random_spans(m[0], vocabulary, ratio)]
     return base, sorted(base + more)
 
 
