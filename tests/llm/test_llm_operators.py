@@ -1,7 +1,10 @@
 """The training-text operators against brute force, and their defined results for odd rows."""
 
 import base64
+import collections
+import dataclasses
 import hashlib
+import math
 import random
 import re
 import string
@@ -194,6 +197,16 @@ def contamination(docs, items):
     return out
 
 
+def test_decontamination_of_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 30)
+    rng = random.Random(31)
+    items = [(1, text(rng, 500)), (1, text(rng, 500)), (2, text(rng, 41)), (3, "x")]
+    docs = [(k, " ".join([*text(rng, 5).split(), *items[k % 3][1].split()[a : a + 12], "end"])) for k, a in enumerate(range(0, 480, 7))] + [(7, None), (7, "x")] * 3
+    got = [tuple(r) for r in decontaminate.digest(decontaminate.contamination(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), block_chars=700)).collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(contamination(docs, items), key=key)
+
+
 @pytest.mark.parametrize("block", [10_000_000, 200])
 def test_decontamination(spark, block):
     rng = random.Random(3)
@@ -406,7 +419,7 @@ def test_masked_lm(spark, odd, none):
         return " ".join(out)
 
     train = spark.createDataFrame([(i, made(200)) for i in range(400)], "doc_id int, text string").repartition(2)
-    net = masked_lm.train(train, rounds=3)
+    net = masked_lm.train(train)
     test = spark.createDataFrame([(0, made(300)), (1, text(rng, 300)), (2, "unseen strings only here " * 30)], "doc_id int, text string")
     got = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.score(test, net).collect()}
     assert got[0] > got[1] > got[2] and got[0] > -3.1  # -3.1: nothing but the frequency of 22 words
@@ -415,6 +428,60 @@ def test_masked_lm(spark, odd, none):
     assert masked_lm.score(none, masked_lm.train(none)).count() == 0
 
 
+def test_masked_lm_beats_unigrams_on_held_out_text(spark):
+    rng = random.Random(16)
+    rare = [f"rare{i}" for i in range(3000)]
+    after = {w: rng.choice(WORDS) for w in WORDS}
+
+    def made(n):
+        out = [rng.choice(WORDS)]
+        while len(out) < n:
+            out.append(rng.choice(rare) if rng.random() < 0.1 else after.get(out[-1], WORDS[0]) if rng.random() < 0.8 else rng.choice(WORDS))
+        return " ".join(out)
+
+    train, held = [made(200) for _ in range(300)], [made(200) for _ in range(40)]
+    docs = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id int, text string").repartition(3)
+    net = masked_lm.train(docs(train))
+    counts = collections.Counter(" ".join(train).split())
+    total = sum(counts.values())
+    unigram = [math.log(counts.get(w, 0.5) / total) for t in held for w in t.split()]
+    got = masked_lm.score(docs(held), net).collect()
+    assert sum(r["log_likelihood"] for r in got) / sum(r["n_tokens"] for r in got) > sum(unigram) / len(unigram) + 0.2
+
+
+def test_masked_lm_joins_counts(spark, monkeypatch):
+    """Counts that the tasks have and counts that are joined give the same scores."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 4000}" for _ in range(60))) for i in range(80)] + [(5, "w1 never seen w2"), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(2)
+    monkeypatch.setattr(masked_lm, "HEAD", 10**6)
+    net = masked_lm.train(docs.where("doc_id < 70"), rounds=1)
+    want = sorted(masked_lm.score(docs, net).select("doc_id", "log_likelihood").collect())
+    table = masked_lm.word_counts(docs.where("doc_id < 70"))
+    keep = np.flatnonzero(net.counts >= np.sort(net.counts)[-800])
+    less = dataclasses.replace(net, head=net.head[keep], counts=net.counts[keep], table=table)
+    got = sorted(masked_lm.score(docs, less).select("doc_id", "log_likelihood").collect())
+    assert len(keep) < len(net.head) and np.allclose([r[1] for r in want], [r[1] for r in got], atol=1e-6)
+
+
+def test_masked_lm_probabilities_by_force():
+    rng = np.random.default_rng(2)
+    net = masked_lm.fresh([])
+    tokens, texts = rng.integers(0, masked_lm.VOCABULARY, 40), np.repeat([0, 1], 20)
+    w = net.weights
+    got = masked_lm.log_probabilities(w, tokens, masked_lm.contexts(tokens, texts))
+    for i in range(40):
+        state = np.zeros(masked_lm.WIDTH)
+        for p, step in enumerate((-2, -1, 1, 2)):
+            j = i + step
+            state += w["place"][p] * w["embed"][tokens[j] if 0 <= j < 40 and texts[j] == texts[i] else masked_lm.VOCABULARY]
+        state = np.tanh(state)
+        k, inner = divmod(int(tokens[i]), masked_lm.CLASSES)
+        share = lambda z, at: z[at] - math.log(sum(math.exp(x) for x in z))
+        want = share(w["classes"] @ state + w["class_bias"], k) + share(w["inner"][k] @ state + w["inner_bias"][k], inner)
+        assert abs(got[i] - want) < 1e-3
+
+
 # 6
 
 
@@ -467,6 +534,7 @@ def test_sentencepiece(spark, odd, none):
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(odd)).collect()
     assert {r["doc_id"]: r["text"] for r in back if r["doc_id"] == 9} == {9: "lorem ipsum " * 60_000}
     assert sentencepiece_codec.digest(none).count() == 0
+    assert not sentencepiece_codec.digest(spark.createDataFrame([(1, "a▁b")], "doc_id int, text string")).first()["round_trip"]
 
 
 def test_streaming_commits_within_a_window():

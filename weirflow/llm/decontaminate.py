@@ -5,7 +5,8 @@ the k-gram hashes of a window only the minimum is kept as a fingerprint, for ite
 k + w - 1 = WINDOW; so any shared window shares a fingerprint. Documents' fingerprints are joined with the
 items', hits are extended to the windows around them, and each window is compared word by word.
 
-Items go to the executors in blocks of a bounded size; each block is a pass over the documents that
+Long items are cut in the tasks into pieces of ``PIECE`` words that overlap by a window less a word, so that they hold the same windows, and
+repeated pieces count once. Pieces go to the executors in blocks of a bounded size; each block is a pass over the documents that
 shuffles no text. One block holds far more than the usual benchmark, and then nothing is shuffled at all.
 
 Defined results: a null text has no words; an item with a null id or without words is left out; rows that
@@ -15,6 +16,8 @@ besides the two that are named are ignored; with an empty benchmark nothing is h
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -23,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.arrow import id_type, keyed_text, map_slices
+from weirflow.llm.arrow import id_type, keyed_text, map_slices, shared_dir
 from weirflow.llm.wordhash import LOWER_ALNUM, NONE, U, gram_hashes, joined, word_hashes, word_spans
 
 WINDOW = 10
 GRAM = 5
 #: Characters of benchmark text in a block; its index takes some 30 bytes a character on each Python worker.
 BLOCK_CHARS = 2_000_000
+PIECE = 2000
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
 
 
 @dataclass
@@ -151,24 +157,37 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each item in pieces that together have its windows."""
+    for batch in batches:
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = WORD.findall(text.translate(UPPER))
+            cut = [" ".join(words[a : a + PIECE + WINDOW - 1]) for a in range(0, max(1, len(words) - WINDOW + 1), PIECE)]
+            yield pa.record_batch([pa.array([item] * len(cut)), pa.array(cut)], names=["item", "text"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans of words hit (word numbers, ends included) and items, sorted."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = items.mapInArrow(pieces, "item string, text string").where("text <> ''").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + int(chars) // block_chars
     source = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
     schema = f"doc_id {id_type(docs, id_col)}, key long, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
     parts = []
     for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in own.toLocalIterator()]))
         parts.append(map_slices(source, partial(search, index), schema))
     if blocks == 1:
         return parts[0].drop("key")
-    found = parts[0].where("size(items) > 0")
+    shared_dir(spark)
+    parts[0] = parts[0].checkpoint()
+    one = lambda part: part.where("size(items) > 0").dropDuplicates(["doc_id", "key"])  # noqa: E731  # so that a group has a row for each block at most
+    found = one(parts[0])
     for part in parts[1:]:
-        found = found.unionByName(part.where("size(items) > 0"))
+        found = found.unionByName(one(part))
     found = found.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined_spans = F.expr(
         "aggregate(spans, cast(array() as array<struct<first: bigint, last: bigint>>), (a, x) -> if(size(a) > 0 and x.first <= element_at(a, -1).last + 1, "

@@ -4,21 +4,25 @@ Every token is predicted from the ``WINDOW`` tokens on either side, itself left
 each neighbour's embedding is summed, squashed and read by a softmax of two levels (a class of tokens, then the
 token in it). The score of a document is the sum of the logarithms of these conditional probabilities.
 
-The vocabulary is counted over all documents, and the network is trained on all of them in numpy: in each
-round every task starts from the same weights, takes gradient steps over its whole share of the corpus and
+The most frequent words are tokens of the network; all others fall into hash buckets, and the probability of such a word is that of its bucket times its share of
+it. The shares come from the counts of all words of the corpus, a table that grows with it and stays in Spark: the counts of the
+``HEAD`` most frequent words go to the tasks, those of all others are joined to the words of each document. A
+word that the corpus lacks gets a part of what its bucket leaves for words seen once.
+
+The network is trained in numpy on all documents, each once, in ``ROUNDS`` parts by a hash of the text: in each
+part every task starts from the same weights, takes gradient steps over its documents of that part and
 returns its weights, which Spark averages by the tokens they saw. Only counts of words and weights are shuffled. The
 driver holds the network, whose size is fixed.
 
-Tokens are the most frequent words, and hash buckets for all others. Defined results: a null text and one
-without words have no tokens, a score of 0 and no mean; each input row gives one row; with an empty
-corpus all words fall into the buckets and the untrained network scores them; other columns are ignored. Scores can differ
-in their last digits with the partitions that the training saw.
+Defined results: a null text and one without words have no tokens, a score of 0 and no mean; each input row gives one row, repeated rows equal ones; with an empty
+corpus all words are unseen words of equal buckets and the untrained network scores them; words of equal counts are ordered by hash; other columns are ignored. Scores differ
+with the partitions that the training saw (README).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.arrow import id_type, keyed_text, map_slices, slices
+from weirflow.llm.arrow import id_type, keyed_text, map_slices, shared_dir, slices
 from weirflow.llm.wordhash import NOT_SPACE, U, joined, word_hashes, word_spans
 
 WINDOW = 2
@@ -34,8 +38,12 @@ CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
 BUCKETS = 256
 WIDTH = 16
-ROUNDS = 1
+ROUNDS = 4
+#: Most frequent words whose counts go to every task.
+HEAD = 100_000
 BATCH = 8192
+#: Tokens of a step where a task has few.
+LEAST_BATCH = 512
 RATE = 0.15
 #: Distinct words of a task that are counted at once before they go to the shuffle.
 COUNTED = 400_000
@@ -70,19 +78,51 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Hashes of the most frequent words of the whole corpus, equal counts by hash."""
-    counts = keyed_text(docs, id_col, text_col).select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()]
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """word (hash) and n of every word of the corpus."""
+    return keyed_text(docs, id_col, text_col).select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Network:
-    """Weights by name, and the words that have tokens of their own, sorted by hash, with their token numbers."""
+    """Weights by name; the words that have tokens of their own, sorted by hash, with their token numbers; and of the HEAD most frequent words hashes, sorted, and counts.
+
+    ``held``, ``kinds`` and ``single`` tell of each bucket how often its words occur, how many there are and how many occur once.
+    """
 
     weights: dict[str, np.ndarray]
     words: np.ndarray
     number: np.ndarray
+    head: np.ndarray
+    counts: np.ndarray
+    held: np.ndarray
+    kinds: np.ndarray
+    single: np.ndarray
+    table: DataFrame | None = None
+    table_used: bool = False
+
+    def shares(self, tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of each word's share of its bucket (0 of a token of its own), and whether only the table of all counts knows it."""
+        out = np.zeros(len(tokens))
+        bucket = tokens - (VOCABULARY - BUCKETS)
+        rare = np.flatnonzero(bucket >= 0)
+        known = np.zeros(len(tokens), bool)
+        if len(self.head):
+            at = np.searchsorted(self.head, hashes[rare])
+            at[at == len(self.head)] = 0
+            same = self.head[at] == hashes[rare]
+            known[rare[same]] = True
+            b = bucket[rare[same]]
+            out[rare[same]] = np.log(self.counts[at[same]] / (self.held + self.single)[b])
+        unknown = rare[~known[rare]]
+        out[unknown] = self.unseen()[bucket[unknown]]
+        away = np.zeros(len(tokens), bool)
+        away[unknown] = True
+        return out, away
+
+    def unseen(self) -> np.ndarray:
+        """Of each bucket the logarithm of the share of a word that the corpus lacks."""
+        return np.log(self.single / (self.held + self.single) / (self.kinds + 1))
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         out = (hashes % U(BUCKETS)).astype(np.int64) + (VOCABULARY - BUCKETS)
@@ -94,16 +134,24 @@ class Network:
         return out
 
 
-def fresh(words: list[int]) -> Network:
-    """A network with small random weights; tokens are numbered by frequency, so that classes hold tokens of like frequency."""
+def fresh(words: list[int], counts: Sequence[int] = (), buckets: dict[int, tuple[int, int, int]] | None = None) -> Network:
+    """A network for words by falling frequency, with small random weights; tokens are numbered by frequency, so that classes hold tokens of like frequency."""
     rng = np.random.default_rng(0)
     w = {
         "embed": rng.normal(0, 0.3, (VOCABULARY + 1, WIDTH)), "place": np.ones((2 * WINDOW, WIDTH)) / np.sqrt(2 * WINDOW),
         "classes": rng.normal(0, 0.1, (CLASSES, WIDTH)), "class_bias": np.zeros(CLASSES), "inner": rng.normal(0, 0.1, (CLASSES, CLASSES, WIDTH)), "inner_bias": np.zeros((CLASSES, CLASSES)),
     }
-    h = np.array(words, np.int64).view(U)
-    order = np.argsort(h)
-    return Network({k: v.astype(np.float32) for k, v in w.items()}, h[order], order.astype(np.int64))
+    every = np.array(words, np.int64).view(U)
+    h = every[: VOCABULARY - BUCKETS]
+    order, by_hash = np.argsort(h), np.argsort(every)
+    of = [(buckets or {}).get(b, (0, 0, 0)) for b in range(BUCKETS)]
+    held, kinds, single = (np.array([x[j] for x in of], float) for j in range(3))
+    # an untrained network gives each token its share of the corpus
+    own = np.zeros(VOCABULARY - BUCKETS)
+    own[: len(h)] = counts[: len(h)]
+    often = (np.concatenate([own, held]) + 1).reshape(CLASSES, CLASSES)
+    w["class_bias"], w["inner_bias"] = np.log(often.sum(1) / often.sum()), np.log(often / often.sum(1, keepdims=True))
+    return Network({k: v.astype(np.float32) for k, v in w.items()}, h[order], order.astype(np.int64), every[by_hash], np.array(counts, float)[by_hash], held, kinds, np.maximum(single, 1))
 
 
 def contexts(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -197,8 +245,9 @@ def trained(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             tokens = net.tokens(hashes)
             around = contexts(tokens, text)
             order = np.random.default_rng(len(tokens)).permutation(len(tokens))
-            for a in range(0, len(tokens), BATCH):
-                at = order[a : a + BATCH]
+            size = min(BATCH, max(LEAST_BATCH, len(tokens) // 8))
+            for a in range(0, len(tokens), size):
+                at = order[a : a + size]
                 own.batch(tokens[at], around[at])
             seen += len(tokens)
     if seen:
@@ -225,35 +274,65 @@ WEIGHTS = "name string, row int, seen long, values array<double>"
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Network:
     spark = docs.sparkSession
-    net = fresh(vocabulary(docs, id_col, text_col))
+    shared_dir(spark)
+    table = word_counts(docs, id_col, text_col).checkpoint()
+    head = table.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    own = [r["word"] for r in head[: VOCABULARY - BUCKETS]]
+    # hashes are unsigned in numpy
+    bucket = F.expr(f"cast(pmod(pmod(word, {BUCKETS}) + {BUCKETS}, {BUCKETS}) as int)").alias("bucket")
+    rare = table.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word long")), "word", "left_anti")
+    buckets = {r["bucket"]: (r["n"], r["kinds"], r["single"]) for r in rare.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).collect()}
+    net = fresh([r["word"] for r in head], [r["n"] for r in head], buckets)
     source = keyed_text(docs, id_col, text_col).select("text")
-    for _ in range(rounds):
+    for k in range(rounds):
         shared = spark.sparkContext.broadcast(net)
-        parts = source.mapInArrow(partial(trained, shared), WEIGHTS)
+        part = source.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        parts = part.mapInArrow(partial(trained, shared), WEIGHTS)
         # rows of the same weights meet by a hash of name and row: every task sums a part of the network over all shares
         sums = parts.repartition("name", "row").mapInArrow(summed, WEIGHTS)
-        new = {k: np.zeros((len(v), v[0].size if v.ndim > 1 else 1)) for k, v in net.weights.items()}
+        new = {n: np.zeros((len(v), v[0].size if v.ndim > 1 else 1)) for n, v in net.weights.items()}
         some = False
         for r in sums.toLocalIterator():
             new[r["name"]][r["row"]] = np.array(r["values"]) / r["seen"]
             some = True
         if some:
-            net = Network({k: new[k].reshape(v.shape).astype(np.float32) for k, v in net.weights.items()}, net.words, net.number)
+            net = replace(net, weights={n: new[n].reshape(v.shape).astype(np.float32) for n, v in net.weights.items()})
         shared.unpersist()
+    net.table = table if len(head) == HEAD else None
     return net
 
 
 def scored(shared, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, n_tokens, log-likelihood, and the words whose counts the tasks don't have: taken as unseen so far."""
     net: Network = shared.value
     hashes, text = tokens_of(batch.column("text"))
     tokens = net.tokens(hashes)
     n = np.bincount(text, minlength=batch.num_rows).astype(np.int64)
-    total = np.bincount(text, log_probabilities(net.weights, tokens, contexts(tokens, text)), minlength=batch.num_rows) if len(tokens) else np.zeros(batch.num_rows)
-    mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-    return pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+    total, away = np.zeros(batch.num_rows), np.zeros(0, bool)
+    if len(tokens):
+        share, away = net.shares(tokens, hashes)
+        total = np.bincount(text, log_probabilities(net.weights, tokens, contexts(tokens, text)) + share, minlength=batch.num_rows)
+    if net.table_used:
+        offsets = np.zeros(batch.num_rows + 1, np.int32)
+        np.cumsum(np.bincount(text[away], minlength=batch.num_rows) if len(away) else np.zeros(batch.num_rows), out=offsets[1:])
+        words = pa.array(hashes[away].view(np.int64) if len(away) else np.zeros(0, np.int64))
+    else:
+        offsets, words = np.zeros(batch.num_rows + 1, np.int32), pa.array([], pa.int64())
+    return pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), words)], names=["doc_id", "n_tokens", "log_likelihood", "words"])
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood and its mean for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-    return map_slices(keyed_text(docs, id_col, text_col), partial(scored, shared), f"doc_id {id_type(docs, id_col)}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(replace(net, table=None, table_used=net.table is not None))
+    rows = map_slices(keyed_text(docs, id_col, text_col), partial(scored, shared), f"doc_id {id_type(docs, id_col)}, n_tokens long, log_likelihood double, words array<long>")
+    if net.table is not None:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()  # numbers that stay
+        unseen = ", ".join(f"{x:.12f}D" for x in net.unseen())
+        total = ", ".join(f"{x:.1f}D" for x in net.held + net.single)
+        bucket = f"cast(pmod(pmod(word, {BUCKETS}) + {BUCKETS}, {BUCKETS}) as int)"
+        words = rows.select("_row", F.explode("words").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("k"))
+        gain = words.join(net.table, "word").selectExpr("_row", f"k * (ln(n / array({total})[{bucket}]) - array({unseen})[{bucket}]) as gain")
+        gain = gain.groupBy("_row").agg(F.sum("gain").alias("gain"))
+        rows = rows.join(gain, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0)))
+    return rows.select("doc_id", "n_tokens", "log_likelihood", F.expr("if(n_tokens > 0, log_likelihood / n_tokens, null)").alias("mean_log_likelihood"))
