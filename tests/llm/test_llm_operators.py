@@ -452,13 +452,15 @@ def test_masked_lm_beats_unigrams_on_held_out_text(spark):
 def test_masked_lm_joins_counts(spark, monkeypatch):
     """Counts that the tasks have and counts that are joined give the same scores."""
     rng = random.Random(17)
-    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 4000}" for _ in range(60))) for i in range(80)] + [(5, "w1 never seen w2"), (6, None), (6, "")]
+    rows = [(i, " ".join(f"w{int(rng.random() ** 3 * 4000)}" for _ in range(200))) for i in range(80)] + [(5, "w1 never seen w2"), (6, None), (6, "")]
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(2)
     monkeypatch.setattr(masked_lm, "HEAD", 10**6)
     net = masked_lm.train(docs.where("doc_id < 70"), rounds=1)
     want = sorted(masked_lm.score(docs, net).select("doc_id", "log_likelihood").collect())
     table = masked_lm.word_counts(docs.where("doc_id < 70"))
     keep = np.flatnonzero(net.counts >= np.sort(net.counts)[-800])
+    some, whole = masked_lm.most_frequent(table, 800)
+    assert not whole and 0 < len(some) <= 800 and min(n for _, n in some) >= max(r["n"] for r in table.collect() if r["word"] not in dict(some))
     less = dataclasses.replace(net, head=net.head[keep], counts=net.counts[keep], table=table)
     got = sorted(masked_lm.score(docs, less).select("doc_id", "log_likelihood").collect())
     assert len(keep) < len(net.head) and np.allclose([r[1] for r in want], [r[1] for r in got], atol=1e-6)

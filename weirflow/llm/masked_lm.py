@@ -83,6 +83,23 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed_text(docs, id_col, text_col).select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(table: DataFrame, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Words and counts from a count on above which there are ``most`` words at most, and whether these are all words.
+
+    The count is found from how many words there are by magnitude of their counts, so that no task sends more than is kept.
+    """
+    size = F.floor(F.ln("n") * 64)
+    sizes = sorted(((r["size"], r["words"]) for r in table.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    held, least = 0, None
+    for s, words in sizes:
+        if held + words > most:
+            break
+        held, least = held + words, s
+    if least is None:
+        return [], not sizes
+    return [(r["word"], r["n"]) for r in table.where(size >= least).collect()], least == sizes[-1][0]
+
+
 @dataclass
 class Network:
     """Weights by name; the words that have tokens of their own, sorted by hash, with their token numbers; and of the HEAD most frequent words hashes, sorted, and counts.
@@ -276,13 +293,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     spark = docs.sparkSession
     shared_dir(spark)
     table = word_counts(docs, id_col, text_col).checkpoint()
-    head = table.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    own = [r["word"] for r in head[: VOCABULARY - BUCKETS]]
+    first = table.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
+    own = [r["word"] for r in first]
+    names = set(own)
+    rest, whole = most_frequent(table, HEAD)
+    head = [(r["word"], r["n"]) for r in first] + [(w, n) for w, n in rest if w not in names]
     # hashes are unsigned in numpy
     bucket = F.expr(f"cast(pmod(pmod(word, {BUCKETS}) + {BUCKETS}, {BUCKETS}) as int)").alias("bucket")
     rare = table.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word long")), "word", "left_anti")
     buckets = {r["bucket"]: (r["n"], r["kinds"], r["single"]) for r in rare.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).collect()}
-    net = fresh([r["word"] for r in head], [r["n"] for r in head], buckets)
+    net = fresh([w for w, _ in head], [n for _, n in head], buckets)
     source = keyed_text(docs, id_col, text_col).select("text")
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net)
@@ -298,7 +318,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         if some:
             net = replace(net, weights={n: new[n].reshape(v.shape).astype(np.float32) for n, v in net.weights.items()})
         shared.unpersist()
-    net.table = table if len(head) == HEAD else None
+    net.table = None if whole else table
     return net
 
 
