@@ -1,6 +1,7 @@
 """Cases that the tables do not hold."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from weirflow.operators import joins as J
 from weirflow.operators import loads as L
 from weirflow.operators import rows as R
 from weirflow.quality import classify as C
+from weirflow.quality import reconcile as Q
 from weirflow.sources import files
 from weirflow.streaming import changes as S
 from weirflow.streaming import evolution as E
@@ -80,7 +82,7 @@ def test_long_chains_are_walked_to_their_end(spark):
 
 def test_sequence_over_ties_and_nulls(spark):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else i // 3) for i in range(300)], "id int, o int")
-    got = sorted(r["s"] for r in A.sequence(df, "s", "o", ["id"], ranges=11).collect())
+    got = sorted(r["s"] for r in A.sequence(df, "s", "o", ["id"], parts=11).collect())
     assert got == list(range(1, 301))
 
 
@@ -198,9 +200,13 @@ def test_change_stream(spark, tmp_path):
     spark.createDataFrame([(1, 1, "c", "a"), (1, 3, "u", "b"), (1, 2, "u", "x"), (2, 1, "c", "q"), (2, 2, "d", None), (3, 1, "c", "z")], "k int, seq int, op string, v string").write.parquet(src)
     stream = spark.readStream.schema("k int, seq int, op string, v string").parquet(src)
     S.keep_target(stream, out, str(tmp_path / "cp"), ["k"], ["seq"], "op").awaitTermination(120)
-    assert rows(spark.read.parquet(out).select("k", "seq", "v")) == [(1, 3, "b"), (3, 1, "z")]
+    kept = spark.read.parquet(out)
+    assert rows(S.current(kept).select("k", "seq", "v")) == [(1, 3, "b"), (3, 1, "z")]
+    stale = spark.createDataFrame([(2, 1, "u", "again"), (9, 4, "d", None), (9, 3, "u", "late")], "k int, seq int, op string, v string")
+    after = S.apply_changes(kept, stale, ["k"], ["seq"], "op", tombstone="_deleted")
+    assert rows(S.current(after).select("k", "seq", "v")) == [(1, 3, "b"), (3, 1, "z")] and after.count() == 4
     late = spark.createDataFrame([(1, 2, "u", "old"), (3, 5, "d", None)], "k int, seq int, op string, v string")
-    assert rows(S.apply_changes(spark.read.parquet(out), late, ["k"], ["seq"], "op").select("k", "v")) == [(1, "b")]
+    assert rows(S.apply_changes(S.current(kept), late, ["k"], ["seq"], "op").select("k", "v")) == [(1, "b")]
 
 
 def test_schema_evolution():
@@ -212,8 +218,79 @@ def test_schema_evolution():
 
 
 def test_secrets_and_graph(spark):
-    df = spark.createDataFrame([(1, "password = 'Sommer$Fall2024' token"), (2, "pwd=${DB_PWD}"), (3, "password: changeme"), (4, "jdbc://u:s3cretpw@h/db"), (5, None)], "id int, t string")
+    df = spark.createDataFrame([(1, "db password: \"kite-93-Harbour\" rest"), (2, "pwd=${DB_PWD}"), (3, "password: changeme"), (4, "jdbc://u:s3cretpw@h/db"), (5, None)], "id int, t string")
     assert rows(C.secrets(df, "id", "t").select("id", "type")) == [(1, "password"), (4, "connection_string_password")]
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
     got = rows(G.reach(e, spark.createDataFrame([("a",)], "node string")).select("node", "depth"))
     assert got == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
+def test_saves_are_put_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    L.save(spark.range(3), path)
+    os.rename(path, path + ".old-x")  # a save that died between its renames
+    assert L.recover(spark, path) and spark.read.parquet(path).count() == 3 and not L.recover(spark, path)
+    L.save(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    L.save(spark.range(1), path, "append")
+    assert spark.read.parquet(path).count() == 3
+    L.save(spark.range(2).toDF("x"), str(tmp_path / "csv"), format="csv")
+    assert spark.read.csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_statements_and_tables(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType(), False, {"comment": "it's the key"}), T.StructField("a b", T.DecimalType(9, 2))])
+    sql = types.create_table("made", schema, comment="rows")
+    assert sql == "CREATE TABLE `made` (`id` BIGINT NOT NULL COMMENT 'it\\'s the key', `a b` DECIMAL(9,2)) USING parquet COMMENT 'rows'"
+    done = L.with_statements(spark, lambda: spark.sql("INSERT INTO made VALUES (1, 2.5)"), ["DROP TABLE IF EXISTS made", sql], ["CREATE OR REPLACE TEMPORARY VIEW seen AS SELECT * FROM made"])
+    assert done is not None and spark.table("seen").count() == 1
+    spark.sql("DROP TABLE made")
+    with pytest.warns(UserWarning, match="without keys"):
+        assert rows(L.merge(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(7, "b")], "k int, v string"), [])) == [(7, "b")]
+
+
+def test_numbers_that_were_wrong(spark):
+    one = spark.range(1)
+    got = one.select(f.truncate(F.expr("-0.29BD"), 2).cast("string").alias("a"), f.truncate(F.expr("1234.5D"), -2).cast("string").alias("b"), f.to_integer(F.lit("-9.99")).alias("c"), f.truncate(F.expr("cast(null as double)")).alias("d")).first()
+    assert got["a"] == "-0.29" and float(got["b"]) == 1200 and got["c"] == -9 and got["d"] is None
+    many = spark.createDataFrame([(float(i),) for i in range(1, 201)], "v double")
+    assert many.agg(A.nearest_rank("v", 1).alias("p")).first()["p"] == 2.0
+    with pytest.raises(Exception, match="stop here"):
+        one.select(f.error("stop here")).collect()
+    assert W.window_column("session", "ts", "10 minutes", gap="5 minutes") is not None
+
+
+def test_sequences_of_shared_values(spark):
+    df = spark.createDataFrame([(None if i % 3 else 1, i) for i in range(300)], "o int, id int")
+    got = {r["id"]: r["s"] for r in A.sequence(df, "s", "o", ["id"], start=10, step=2, parts=7).collect()}
+    want = sorted(range(300), key=lambda i: (0 if i % 3 else 1, i))
+    assert got == {i: 10 + 2 * k for k, i in enumerate(want)}
+    assert A.sequence(df.limit(0), "s", "o", ["id"]).count() == 0
+
+
+def test_records_of_one_key(spark):
+    df = spark.createDataFrame([(1, "aa", "x", 1), (1, None, "y", 2), (1, "b", "y", 3), (2, None, None, 1)], "k int, a string, b string, t int")
+    got = A.survivors(df, ["k"], {"a": ("longest", "a"), "b": ("most_frequent", "b"), "t": ("latest", "t")})
+    assert rows(got) == [(1, "aa", "y", 3), (2, None, None, 1)]
+    v = A.mapping_variables(df.limit(0), {"m": 3, "c": 1}, {"m": ("max", "t"), "c": ("count", "a")}).first()
+    assert (v["m"], v["c"]) == (3, 1)
+
+
+def test_names_and_dummies(spark):
+    names = {"CustomerEmail": "customer_email", "KNA1_STRAS": "kna1_stras", "XMLParser": "xml_parser", "first name": "first_name", "HTTPServerID2": "http_server_id2", "__x__": "x", "": ""}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", C.normal_name(F.col("n")).alias("m")).collect()
+    assert {r["n"]: r["m"] for r in got} == names
+    values = {"your-key-here": True, "****": True, "XXXX": True, "Changeme": True, "${DB}": True, "k9!secret": False, "a*b": False, "yes": False}
+    got = spark.createDataFrame([(k,) for k in values], "v string").select("v", C.outside(F.col("v")).alias("o")).collect()
+    assert {r["v"]: r["o"] for r in got} == values
+
+
+def test_other_sources(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<rs><r><id>1</id><n>x</n></r><r><id>2</id></r></rs>")
+    assert rows(files.read_xml(spark, str(tmp_path / "a.xml"), "r").select("id", "n")) == [(1, "x"), (2, None)]
+    spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "id int, d string").write.parquet(str(tmp_path / "t.parquet"))
+    entry = {"name": "t", "columns": {"id": "NUMBER(10)", "d": "DATE"}, "incremental_column": "d"}
+    first = files.read_manifest_table(spark, entry, str(tmp_path))
+    assert first.count() == 2 and first.schema["d"].dataType == T.DateType()
+    assert files.read_manifest_table(spark, entry, str(tmp_path), first.filter("id = 1")).count() == 1
+    assert Q.schema_differences(first, first.withColumnRenamed("id", "key")) == [("id", "missing"), ("key", "unexpected")]

@@ -24,7 +24,7 @@ def lit(x: object) -> Column:
 # Names of functions that mean the same in Spark.
 SAME = {
     "ABS": "abs", "ACOS": "acos", "ASCII": "ascii", "ASIN": "asin", "ATAN": "atan", "AVG": "avg", "CEIL": "ceil", "CHR": "chr", "CHRCODE": "ascii", "CONCAT": "concat", "COS": "cos", "COSH": "cosh", "COUNT": "count", "CRC32": "crc32",
-    "ENC_BASE64": "base64", "EXP": "exp", "FLOOR": "floor", "GREATEST": "greatest", "INITCAP": "initcap", "INSTR": "instr", "ISNULL": "isnull", "LAST_DAY": "last_day", "LEAST": "least", "LENGTH": "length", "LN": "ln", "LOG": "log", "LOWER": "lower",
+    "DEC_BASE64": "unbase64", "ENC_BASE64": "base64", "EXP": "exp", "FLOOR": "floor", "GREATEST": "greatest", "INITCAP": "initcap", "INSTR": "instr", "ISNULL": "isnull", "LAST_DAY": "last_day", "LEAST": "least", "LENGTH": "length", "LN": "ln", "LOG": "log", "LOWER": "lower",
     "LPAD": "lpad", "LTRIM": "ltrim", "MAX": "max", "MD5": "md5", "MEDIAN": "median", "MIN": "min", "MOD": "mod", "NVL": "coalesce", "NVL2": "nvl2", "POWER": "power", "RAND": "rand", "REG_EXTRACT": "regexp_extract", "REG_MATCH": "regexp_like",
     "REG_REPLACE": "regexp_replace", "REVERSE": "reverse", "ROUND": "round", "RPAD": "rpad", "RTRIM": "rtrim", "SIGN": "sign", "SIN": "sin", "SINH": "sinh", "SOUNDEX": "soundex", "SQRT": "sqrt", "STDDEV": "stddev_samp", "SUBSTR": "substr", "SUM": "sum",
     "SYSDATE": "current_timestamp", "SYSTIMESTAMP": "current_timestamp", "GETDATE": "current_timestamp", "TAN": "tan", "TANH": "tanh", "TRIM": "trim", "UPPER": "upper", "VARIANCE": "var_samp", "ZEROIFNULL": "zeroifnull", "NULLIFZERO": "nullifzero",
@@ -160,12 +160,13 @@ def mask(x: Value, keep_last: int = 0, fill: str = "X") -> Column:
 
 
 def truncate(x: Value, places: int = 0) -> Column:
-    """TRUNC of a number, towards zero."""
+    """TRUNC of a number, towards zero, in decimal arithmetic: 0.29 to two places is 0.29, and decimals keep all digits.
+
+    Whole numbers of doubles are bigints; doubles are taken to ``places`` as decimals of 15 digits on either side of the point.
+    """
     c = col(x)
-    if places == 0:
-        return F.sign(c) * F.floor(F.abs(c))
-    scale = F.lit(10.0**places)
-    return F.sign(c) * F.floor(F.abs(c) * scale) / scale
+    down, up = (F.floor(c), F.ceil(c)) if places == 0 else (F.floor(c, F.lit(places)), F.ceil(c, F.lit(places)))
+    return F.when(c >= 0, down).otherwise(up)
 
 
 def to_decimal(x: Value, scale: int = 6, strict: bool = False) -> Column:
@@ -188,6 +189,19 @@ def random_between(low: int, high: int) -> Column:
     return (F.floor(F.rand() * (high - low + 1)) + low).cast("long")
 
 
+# Errors and the session
+
+
+def error(message: Value) -> Column:
+    """ERROR and ABORT: fails the query where it is evaluated; rows that are only to be skipped are rejects."""
+    return F.raise_error(message if isinstance(message, Column) else F.lit(message))
+
+
+def session_start(at: object) -> Column:
+    """SESSSTARTTIME: the time that the caller took when the session began, the same for all rows and retries."""
+    return F.lit(at).cast("timestamp")
+
+
 # Dates
 
 # Parts of date masks, longest first, and what Spark calls them.

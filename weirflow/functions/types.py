@@ -68,3 +68,18 @@ def check_fit(source: T.StructType, target: dict[str, Canonical]) -> list[tuple[
         elif t.name in SPARK and s.simpleString() != spark_type(t) and not (t.name == "FIXED_STRING" and s.typeName() == "string"):
             out.append((name, "implicit_conversion"))
     return out
+
+
+def create_table(name: str, schema: T.StructType, using: str = "parquet", partition_by: tuple[str, ...] = (), comment: str | None = None) -> str:
+    """CREATE TABLE for a schema: names quoted, NOT NULL and comments of the fields kept."""
+    quoted = lambda x: ".".join("`" + p.replace("`", "``") + "`" for p in x.split("."))
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    fields = []
+    for f in schema:
+        field = f"{quoted(f.name) if '.' not in f.name else '`' + f.name + '`'} {f.dataType.simpleString().upper()}"
+        field += "" if f.nullable else " NOT NULL"
+        fields.append(field + (f" COMMENT {text(f.metadata['comment'])}" if "comment" in f.metadata else ""))
+    out = f"CREATE TABLE {quoted(name)} ({', '.join(fields)}) USING {using}"
+    if partition_by:
+        out += f" PARTITIONED BY ({', '.join('`' + c.replace('`', '``') + '`' for c in partition_by)})"
+    return out + (f" COMMENT {text(comment)}" if comment else "")

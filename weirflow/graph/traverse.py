@@ -7,9 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+from weirflow.shared import materialised as _cut
 
 
 def reach(edges: DataFrame, start: DataFrame, deepest: int | None = None) -> DataFrame:
@@ -61,7 +59,7 @@ def collapsed(edges: DataFrame, owner: DataFrame) -> DataFrame:
 
 
 def repeated(items: DataFrame, name: str, text: str) -> DataFrame:
-    """Groups of items whose text is the same but for case and white space: fingerprint, n_items and their names."""
+    """Groups of items whose text is the same but for case and white space: fingerprint, n_items and their names, which the result holds in one row."""
     norm = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
     return items.groupBy(F.md5(norm).alias("fingerprint")).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set(name)), ",").alias("names")).filter("n_items > 1")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate as accumulate_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.rows import Expr, as_column
+from weirflow.shared import materialised
 
 
 def aggregate(df: DataFrame, keys: Sequence[str] | Mapping[str, Expr], aggregates: Mapping[str, Expr], having: Expr | None = None) -> DataFrame:
@@ -32,12 +34,12 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Expr], descend
 
 
 def percentile(x: Expr, p: float) -> Column:
-    """PERCENTILE with p in 0..1 or 0..100, interpolated."""
-    return F.percentile(as_column(x), p / 100 if p > 1 else p)
+    """PERCENTILE with p as a share below 1 or in percent from 1 on, interpolated."""
+    return F.percentile(as_column(x), p / 100 if p >= 1 else p)
 
 
 def nearest_rank(x: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p / 100 if p > 1 else p}) WITHIN GROUP (ORDER BY {x})")
+    return F.expr(f"percentile_disc({p / 100 if p >= 1 else p}) WITHIN GROUP (ORDER BY {x})")
 
 
 def first_value(x: Expr, condition: Expr | None = None, order: Expr | None = None) -> Column:
@@ -122,26 +124,67 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Expr], ports:
     return df.withColumns(made)
 
 
-def sequence(df: DataFrame, name: str, order: str, ties: Sequence[str] = (), start: int = 1, step: int = 1, cycle: int | None = None, ranges: int = 200) -> DataFrame:
-    """SEQUENCE: start, start + step, ... in the declared order, which ``order`` (a number or time) and ``ties`` make unique.
+def sequence(df: DataFrame, name: str, order: str, ties: Sequence[str] = (), start: int = 1, step: int = 1, cycle: int | None = None, parts: int | None = None) -> DataFrame:
+    """SEQUENCE: start, start + step, ... in the declared order, which ``order`` and ``ties`` make unique.
 
-    Not one global window: rows are cut into ranges at quantiles of ``order``, numbered within each, and moved on by the
-    counts of the ranges before, of which there are ``ranges`` at most. ``cycle`` begins anew after so many values.
+    Rows are dealt out by ranges of the whole order (``parts`` of them, by default as many as the session shuffles to), sorted and numbered within each, and moved on by
+    the counts of the ranges before. The input is read once. A value of ``order`` that very many rows share is split by the ties. ``cycle`` begins anew after so many values.
     """
-    value = F.expr(f"cast({order} as double)") if df.schema[order].dataType.typeName() in NUMBERS else F.expr(f"cast(cast({order} as timestamp) as double)")
-    cuts = df.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)), F.lit(-1)) if cuts else F.lit(0)
-    rows = df.withColumn("_part", F.when(value.isNull(), -1).otherwise(part))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_part").alias("_p"), "_before")
-    w = Window.partitionBy("_part").orderBy(order, *ties)
-    at = F.row_number().over(w) + F.col("_before") - 1
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [order, *ties]
+    rows = materialised(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each range
+    before = dict(zip([p for p, _ in counts], accumulate_counts([k for _, k in counts]), strict=True))
+    moves = df.sparkSession.createDataFrame(list(before.items()), "_p long, _before long")
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
     at = at if cycle is None else F.pmod(at, F.lit(cycle))
-    return rows.join(F.broadcast(counts), F.col("_part") == F.col("_p")).withColumn(name, (at * step + start).cast("long")).select(*df.columns, name)
+    return rows.join(F.broadcast(moves), part == F.col("_p")).select(*df.columns, (at * step + start).cast("long").alias(name))
 
 
-NUMBERS = frozenset(("byte", "short", "integer", "long", "float", "double", "decimal"))
+def accumulate_counts(counts: Sequence[int]) -> list[int]:
+    """How much stands before each."""
+    return [0, *accumulate_(counts)][: len(counts)]
+
+
+def survivors(df: DataFrame, keys: Sequence[str], columns: Mapping[str, tuple[str, Expr]]) -> DataFrame:
+    """MERGE of records to one for each key. columns: name -> (rule, expression): of the values that are not null the one with the greatest (latest) or
+    least (earliest) expression, or the longest or most frequent text by (longest, most_frequent), where the expression is the column itself; ties by the least value."""
+    out = []
+    for name, (rule, e) in columns.items():
+        c, by = F.col(name), as_column(e)
+        if rule in ("latest", "earliest"):
+            pick = (F.max_by if rule == "latest" else F.min_by)(F.when(c.isNotNull(), c), F.when(c.isNotNull(), by))
+        elif rule == "longest":
+            pick = F.min_by(c, F.when(c.isNotNull(), F.struct(-F.length(c), c)))
+        elif rule == "most_frequent":
+            pick = F.mode(c, True)
+        else:
+            raise ValueError(f"no such rule: {rule}")
+        out.append(pick.alias(name))
+    return df.groupBy(*keys).agg(*out)
+
+
+def mapping_variables(df: DataFrame, start: Mapping[str, object], ports: Mapping[str, tuple[str, Expr]], order: Expr | None = None) -> DataFrame:
+    """One row with the variables as a session leaves them. ports: name -> (max, min, count or set, expression); start: what they begin with.
+
+    count adds 1 for each insert and takes 1 for each delete (the expression is the row's action); set keeps the last value that is not null in the declared order.
+    """
+    out = []
+    for name, (kind, e) in ports.items():
+        v, first = as_column(e), F.lit(start[name])
+        if kind in ("max", "min"):
+            end = (F.greatest if kind == "max" else F.least)((F.max if kind == "max" else F.min)(v), first)
+        elif kind == "count":
+            end = first + F.coalesce(F.sum(F.when(v == "INSERT", 1).when(v == "DELETE", -1).otherwise(0)), F.lit(0))
+        elif kind == "set":
+            if order is None:
+                raise ValueError("a variable that is set needs a declared order")
+            end = F.coalesce(F.max_by(v, F.when(v.isNotNull(), as_column(order))), first)
+        else:
+            raise ValueError(f"no such kind: {kind}")
+        out.append(end.alias(name))
+    return df.agg(*out)
 
 
 def accumulate(state: DataFrame, fresh: DataFrame, keys: Sequence[str], merges: Mapping[str, str]) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.rows import Expr, as_column
+from weirflow.shared import materialised
 
 HOW = {"inner": "inner", "normal": "inner", "left": "left", "master outer": "left", "right": "right", "detail outer": "right", "full": "full", "full outer": "full"}
 
@@ -99,7 +101,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str
 def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence[str] = (), level: str = "level", deepest: int | None = None) -> DataFrame:
     """CONNECT BY: rows from the start rows down, with their level (``deepest`` at most, if given) and the path of keys.
 
-    One join a level, cut by a checkpoint where the session has a folder for it. A key that a path holds already
+    One join a level, cut by a checkpoint. A key that a path holds already
     is not entered again, so cycles end.
     """
     rows = df.select(key, parent, *carry)
@@ -109,13 +111,34 @@ def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence
         up = front.select(F.col(key).alias("_up"), F.col("path").alias("_path"))
         front = rows.join(up, F.col(parent) == F.col("_up")).filter(~F.array_contains("_path", F.col(key).cast("string")))
         front = front.select(key, parent, *carry, F.lit(depth).alias(level), F.concat("_path", F.array(F.col(key).cast("string"))).alias("path"))
-        front = front.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else front.cache()
+        front = materialised(front)
         if front.isEmpty():
             break
         out = out.unionByName(front)
     return out.withColumn("path", F.array_join("path", "/"))
 
 
+def dynamic_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], order: Sequence[Expr], columns: Sequence[str], flag: str = "new_lookup_row") -> tuple[DataFrame, DataFrame]:
+    """LOOKUP with a cache that rows add to: the rows with what the table holds for their keys, and the table afterwards.
+
+    Of a key that the table lacks, the first row in the declared order is added (``flag`` 1) and later ones see its values
+    (``flag`` 0). Keys are equal if both are null. The first rows come from an aggregate with map-side minima, so a hot key is no hot task.
+    """
+    if not order:
+        raise ValueError("a dynamic lookup needs a declared order")
+    rank = F.struct(*[as_column(o).alias(f"o{i}") for i, o in enumerate(order)])
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(rank.alias("rank"), F.struct(*columns).alias("row"))).alias("_first"))
+    held = table.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.struct(*columns).alias("_held"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(a(i, k)).eqNullSafe(F.col(b(i, k))) for i, k in enumerate(keys)])
+    known = first.join(held, same(lambda i, _: f"_k{i}", lambda i, _: f"_h{i}"), "left")
+    seen = df.join(known, same(lambda _, k: k, lambda i, _: f"_k{i}"))
+    value = F.coalesce("_held", "_first.row")
+    rest = [c for c in df.columns if c not in set(columns)]
+    rows = seen.select(*rest, *[value.getField(c).alias(c) for c in columns], (F.col("_held").isNull() & (rank == F.col("_first.rank"))).cast("int").alias(flag))
+    added = known.where("_held is null").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col("_first.row").getField(c).alias(c) for c in columns])
+    return rows, table.select(*keys, *columns).unionByName(added)
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, block: tuple[Expr, Expr], left_text: str, right_text: str, most: int) -> DataFrame:
     """MATCH: pairs whose texts are at most ``most`` edits apart among those that share a blocking key, with the distance."""
     l = left.withColumn("_block", as_column(block[0]))  # noqa: E741

@@ -7,9 +7,10 @@ target and then moves, so that a plan may read what it replaces.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.operators.rows import Expr, as_column
@@ -33,9 +34,13 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], action: str
     """MERGE: matched rows are deleted, else updated, and unmatched ones inserted, each where its condition allows.
 
     Conditions see source columns as s.<name> and target columns as t.<name>. Instead, ``action`` names a column of
-    the source with INSERT, UPDATE, DELETE or REJECT. ``columns`` limits what an update changes (keys never change).
+    the source with INSERT, UPDATE, DELETE or REJECT. Without keys nothing can match, so the target is rebuilt from the source, with a warning. ``columns`` limits what an update changes (keys never change).
     """
     names = target.columns
+    if not keys:
+        warnings.warn("a merge without keys rebuilds the target from the source", stacklevel=2)
+        rows = source if action is None else source.filter(F.col(action).isin("INSERT", "UPDATE"))
+        return rows.select(*[F.col(c) if c in source.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in names])
     src = check_unique(source, keys)
     t = target.select(F.struct(*names).alias("t"), *[F.col(k).alias(f"_t_{k}") for k in keys])
     s = src.select(F.struct(*src.columns).alias("s"), *[F.col(k).alias(f"_s_{k}") for k in keys])
@@ -52,6 +57,27 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], action: str
     return both.filter(~gone & (here | added)).select(*new)
 
 
+def update_rows(df: DataFrame, changes: Mapping[str, Expr], where: Expr) -> DataFrame:
+    """UPDATE ... SET ... WHERE: rows for which the condition is not true stay as they are; right sides see the old values."""
+    hit = F.coalesce(as_column(where), F.lit(False))
+    return df.select(*[F.when(hit, as_column(changes[c]).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in df.columns])
+
+
+def delete_rows(df: DataFrame, where: Expr) -> DataFrame:
+    """DELETE WHERE: rows for which the condition is true go; unknown ones stay."""
+    return df.filter(~F.coalesce(as_column(where), F.lit(False)))
+
+
+def with_statements(spark: SparkSession, load: Callable[[], object], before: Sequence[str] = (), after: Sequence[str] = ()) -> object:
+    """A load between SQL statements; those behind it run only if it succeeds."""
+    for statement in before:
+        spark.sql(statement)
+    done = load()
+    for statement in after:
+        spark.sql(statement)
+    return done
+
+
 def delete_insert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All target rows whose key arrives go, and all that arrives is added, repeated keys too."""
     arriving = source.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
@@ -120,8 +146,9 @@ def rejects(df: DataFrame, action: str = "row_action") -> tuple[DataFrame, DataF
 def save(df: DataFrame, path: str, mode: str = "full", format: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """Writes a load: full (replaces; the plan may read ``path`` itself) or append.
 
-    A full load is written beside the target and moved into its place by the file system that holds it; a reader sees
-    the old or the new content, and a run that dies leaves the old.
+    A full load is written beside the target and moved into its place in two renames. A run that dies between them leaves
+    the old content as ``<path>.old-...`` only; the next save, or ``recover``, puts it back. Where renames copy (object stores) readers can
+    see neither for that long; write to a table format there.
     """
     writer = lambda p, m: df.write.mode(m).partitionBy(*partition_by).format(format).save(p)
     if mode == "append":
@@ -130,14 +157,31 @@ def save(df: DataFrame, path: str, mode: str = "full", format: str = "parquet",
     if mode != "full":
         raise ValueError("mode is full or append")
     spark = df.sparkSession
+    recover(spark, path)
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     writer(new, "error")
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(place(path)):
-        fs.rename(place(path), place(old))
+    place, fs = _files(spark, path)
+    there = fs.exists(place(path))
+    if there and not fs.rename(place(path), place(old)):
+        raise OSError(f"{path} could not be moved to {old}; the new content is {new}")
     if not fs.rename(place(new), place(path)):
+        if there:
+            fs.rename(place(old), place(path))
         raise OSError(f"{new} could not be moved to {path}")
-    fs.delete(place(old), True)
+    if there:
+        fs.delete(place(old), True)
     spark.catalog.refreshByPath(path)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return place, place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back what a save that died between its renames has left beside ``path``; whether there was anything."""
+    place, fs = _files(spark, path)
+    if fs.exists(place(path)):
+        return False
+    left = fs.globStatus(place(f"{path}.old-*"))
+    return bool(left) and fs.rename(left[0].getPath(), place(path))

@@ -139,6 +139,37 @@ def normalize(df: DataFrame, groups: Mapping[str, Sequence[str]], keep_columns:
     return df.select(*keep_columns, F.explode(rows).alias("_r")).select(*keep_columns, f"_r.{occurrence}", *[f"_r.{out}" for out in groups])
 
 
+def normalize_keyed(df: DataFrame, groups: Mapping[str, Sequence[str]], keep_columns: Sequence[str], order: Sequence[str], generated: str = "gk", start: int = 1, occurrence: str = "gcid") -> DataFrame:
+    """NORMALIZER with a generated key: a number for each input row in the declared order, shared by its occurrences."""
+    from weirflow.operators.aggregates import sequence
+
+    keyed = sequence(df, generated, order[0], order[1:], start)
+    return normalize(keyed, groups, [*keep_columns, generated], occurrence)
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[Expr] = ()) -> DataFrame:
+    """ROWNUM <= n: any n rows, taken before they are sorted."""
+    out = df.limit(n)
+    return out.orderBy(*[as_column(o) for o in order]) if order else out
+
+
+def parse_fields(df: DataFrame, column: str, pattern: str, names: Sequence[str], rejected: str | None = None) -> DataFrame:
+    """PARSER: the groups of a pattern that fits the whole text as columns, null where it does not; ``rejected`` names a flag for those."""
+    fits = F.coalesce(F.col(column).rlike(f"^(?:{pattern})$"), F.lit(False))
+    out = df.withColumns({n: F.when(fits, F.regexp_extract(column, f"^(?:{pattern})$", i)) for i, n in enumerate(names, 1)})
+    return out.withColumn(rejected, ~fits) if rejected else out
+
+
+def parse_xml(df: DataFrame, column: str, schema: str, into: str = "parsed") -> DataFrame:
+    """XML_PARSER: a text column as a struct, null where it is no XML."""
+    return df.withColumn(into, F.from_xml(F.col(column), schema, {"mode": "PERMISSIVE"}))
+
+
+def render_xml(df: DataFrame, columns: Sequence[str], row_tag: str, into: str = "xml") -> DataFrame:
+    """XML_GENERATOR: columns of each row as an XML text."""
+    return df.withColumn(into, F.to_xml(F.struct(*columns), {"rowTag": row_tag}))
+
+
 def denormalize(df: DataFrame, keys: Sequence[str], pivot: str, values: Sequence[object], aggregates: Mapping[str, str]) -> DataFrame:
     """Pivot with declared values, so that no pass is needed to find them; columns are <value>_<name>. aggregates: name -> SQL."""
     aggs = [F.expr(f"{a} FILTER (WHERE {pivot} = {_literal(v)})").alias(f"{v}_{name}") for v in values for name, a in aggregates.items()]

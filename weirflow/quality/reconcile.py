@@ -46,7 +46,7 @@ def row_text(columns: Sequence[str | Column]) -> Column:
 def fingerprint(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """row_count and the sum over rows of the first eight hexadecimal digits of their MD5; no order needed."""
     part = F.conv(F.substring(F.md5(row_text(columns)), 1, 8), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("row_count"), F.sum(part).cast("long").alias("md5_fingerprint"))
+    return df.agg(F.count("*").alias("row_count"), F.sum(part).cast("decimal(38,0)").alias("md5_fingerprint"))
 
 
 def fast_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -45,15 +45,15 @@ def datediff_elapsed(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, trunc(l_extendedprice)::BIGINT AS whole, round(cast(l_extendedprice AS DECIMAL(18,2)), 1) AS r1, abs(l_linenumber - 4) AS a, l_linenumber % 3 AS m, ceil(l_discount * 10)::BIGINT AS c, floor(l_discount * 10)::BIGINT AS fl, sign(l_linenumber - 3)::INTEGER AS s,
-round(pow(l_linenumber, 2), 3) AS p, round(sqrt(l_quantity), 6) AS sq, round(ln(l_quantity), 6) AS lnq, try_cast(CASE WHEN l_linenumber = 1 THEN 'x' ELSE l_linenumber::VARCHAR || '.75' END AS DECIMAL(38,6)) AS dec, CASE WHEN l_linenumber <> 1 THEN l_linenumber END AS cut FROM lineitem""")
+round(pow(l_linenumber, 2), 3) AS p, round(sqrt(l_quantity), 6) AS sq, round(ln(l_quantity), 6) AS lnq, 0.29::DECIMAL(5,2) AS cents, 12345678901234567.89::DECIMAL(20,2) AS big, 9007199254740993 AS wide, trunc(l_extendedprice * 100 + 0.001) / 100.0 AS two, -3::BIGINT AS below, try_cast(CASE WHEN l_linenumber = 1 THEN 'x' ELSE l_linenumber::VARCHAR || '.75' END AS DECIMAL(38,6)) AS dec, CASE WHEN l_linenumber <> 1 THEN l_linenumber END AS cut FROM lineitem""")
 def fn_math(t: Tables) -> DataFrame:
     text = F.expr("case when l_linenumber = 1 then 'x' else concat(l_linenumber, '.75') end")
-    return t.lineitem.select("l_orderkey", "l_linenumber", f.truncate("l_extendedprice").cast("long").alias("whole"), F.round(F.expr("cast(l_extendedprice as decimal(18,2))"), 1).alias("r1"), F.expr("abs(l_linenumber - 4)").alias("a"), F.expr("l_linenumber % 3").alias("m"), F.expr("ceil(l_discount * 10)").alias("c"), F.expr("floor(l_discount * 10)").alias("fl"), F.expr("cast(sign(l_linenumber - 3) as int)").alias("s"), F.round(F.pow("l_linenumber", F.lit(2)), 3).alias("p"), F.round(F.sqrt("l_quantity"), 6).alias("sq"), F.round(F.ln("l_quantity"), 6).alias("lnq"), f.to_decimal(text).alias("dec"), f.to_integer(text).alias("cut"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", f.truncate("l_extendedprice").cast("long").alias("whole"), F.round(F.expr("cast(l_extendedprice as decimal(18,2))"), 1).alias("r1"), F.expr("abs(l_linenumber - 4)").alias("a"), F.expr("l_linenumber % 3").alias("m"), F.expr("ceil(l_discount * 10)").alias("c"), F.expr("floor(l_discount * 10)").alias("fl"), F.expr("cast(sign(l_linenumber - 3) as int)").alias("s"), F.round(F.pow("l_linenumber", F.lit(2)), 3).alias("p"), F.round(F.sqrt("l_quantity"), 6).alias("sq"), F.round(F.ln("l_quantity"), 6).alias("lnq"), f.truncate(F.lit(0.29), 2).cast("decimal(5,2)").alias("cents"), f.truncate(F.expr("12345678901234567.891BD"), 2).cast("decimal(20,2)").alias("big"), f.to_integer(F.lit("9007199254740993"), kind="bigint").alias("wide"), f.truncate("l_extendedprice", 2).cast("double").alias("two"), f.truncate(F.lit(-3.7)).alias("below"), f.to_decimal(text).alias("dec"), f.to_integer(text).alias("cut"))
 
 
-@query("SELECT o_orderkey, md5(o_orderstatus) AS m, sha256(o_orderpriority) AS s, upper(md5(o_orderpriority)) AS h, 'XX' AS x FROM orders")
+@query("SELECT o_orderkey, md5(o_orderstatus) AS m, sha256(o_orderpriority) AS s, upper(md5(o_orderpriority)) AS h, regexp_replace(left(o_orderpriority, length(o_orderpriority) - 2), '[A-Za-z0-9]', 'X', 'g') || right(o_orderpriority, 2) AS x, base64(encode(o_orderpriority)) AS b64, decode(from_base64(base64(encode(o_orderpriority)))) AS back FROM orders")
 def fn_hash(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.md5("o_orderstatus").alias("m"), F.sha2("o_orderpriority", 256).alias("s"), f.standard_hash("o_orderpriority", "MD5").alias("h"), f.mask(F.substring("o_orderpriority", 3, 2)).alias("x"))
+    return t.orders.select("o_orderkey", F.md5("o_orderstatus").alias("m"), F.sha2("o_orderpriority", 256).alias("s"), f.standard_hash("o_orderpriority", "MD5").alias("h"), f.mask("o_orderpriority", 2).alias("x"), F.base64(F.encode("o_orderpriority", "UTF-8")).alias("b64"), F.decode(F.unbase64(F.base64(F.encode("o_orderpriority", "UTF-8"))), "UTF-8").alias("back"))
 
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(event_type, '^p') THEN 1 ELSE 0 END AS p, regexp_extract(event_type, '([a-z])([a-z]*)', 2) AS rest, coalesce(nullif(instr(event_type, 'i'), 0), 0)::INTEGER AS at FROM events""")
@@ -73,9 +73,9 @@ def fn_array(t: Tables) -> DataFrame:
     return x.select("l_orderkey", F.size("numbers").cast("long").alias("n"), "numbers", f.array_element("numbers", 1).alias("first"))
 
 
-@query("SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 50")
+@query("SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings")
 def fn_flatten_rows(t: Tables) -> DataFrame:
-    return t.embeddings.filter("vec_id < 50").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "x", (F.col("i") + 1).cast("long").alias("i"))
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "x", (F.col("i") + 1).cast("long").alias("i"))
 
 
 @query("SELECT o_orderkey, sha256('=' || o_custkey || chr(31) || CASE WHEN o_orderstatus = 'P' THEN '~' ELSE '=' || o_orderstatus END) AS key FROM orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ def segment_revenue(t: Tables) -> DataFrame:
 @query("""SELECT n_name, sum(cast(l_extendedprice AS DECIMAL(18,2)) * (1 - cast(l_discount AS DECIMAL(18,2)))) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
 JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def join_chain_revenue(t: Tables) -> DataFrame:
-    x = J.join(t.lineitem, t.orders, [("l_orderkey", "o_orderkey")])
-    x = J.join(J.join(x, t.customer, [("o_custkey", "c_custkey")]), t.nation, [("c_nationkey", "n_nationkey")])
-    return A.aggregate(x, ["n_name"], {"revenue": f"sum({REVENUE})"})
+    # lines are summed by order before anything is joined, and orders by customer
+    lines = A.aggregate(t.lineitem, ["l_orderkey"], {"revenue": f"sum({REVENUE})"})
+    bought = A.aggregate(J.join(lines, t.orders.select("o_orderkey", "o_custkey"), [("l_orderkey", "o_orderkey")]), ["o_custkey"], {"revenue": "sum(revenue)"})
+    x = J.join(J.join(bought, t.customer.select("c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")]), t.nation.select("n_nationkey", "n_name"), [("c_nationkey", "n_nationkey")])
+    return A.aggregate(x, ["n_name"], {"revenue": "sum(revenue)"})
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE nullif(o_orderstatus, 'O') <> 'F'")
@@ -64,9 +68,9 @@ def stateful_variables(t: Tables) -> DataFrame:
     return x.select("o_custkey", "o_orderkey", "previous_order", "running_total", "running_count")
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id % 3 = 0 AND event_id < 500)")
+@query("SELECT event_id, user_id, value FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10')")
 def incremental_watermark(t: Tables) -> DataFrame:
-    held = t.events.filter("event_id % 3 = 0 and event_id < 500")
+    held = t.events.filter("event_type = 'signup' and ts < timestamp_ntz'2024-01-10 00:00:00'")
     return R.newer_than(t.events, "ts", held).select("event_id", "user_id", "value")
 
 
@@ -76,27 +80,27 @@ def sql_with_parameters(t: Tables) -> DataFrame:
 
 
 def _few(t: Tables, name: str) -> DataFrame:
-    return t.orders.filter("o_orderkey % 5 < 3").select("o_orderkey", "o_custkey", F.lit(name).alias("tag"))
+    return t.orders.select("o_orderkey", "o_custkey", F.lit(name).alias("tag"))
 
 
-FEW = "(SELECT o_orderkey, o_custkey, 'x' AS tag FROM orders WHERE o_orderkey % 5 < 3)"
-PART = "(SELECT c_custkey, c_name, 'y' AS tag FROM customer WHERE c_custkey % 4 <> 1)"
+FEW = "(SELECT o_orderkey, o_custkey, 'x' AS tag FROM orders)"
+PART = "(SELECT c_custkey, c_name, 'y' AS tag FROM customer WHERE c_mktsegment <> 'BUILDING')"
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
 
     @query(f"SELECT o_orderkey, o_custkey, o.tag AS tag, c_custkey, c_name, c.tag AS r_tag FROM {FEW} o {_sql} {PART} c ON o_custkey = c_custkey", name=f"join_{_how}")
     def _join(t: Tables, how: str = _how) -> DataFrame:
-        return J.join(_few(t, "x"), t.customer.filter("c_custkey % 4 <> 1").select("c_custkey", "c_name", F.lit("y").alias("tag")), [("o_custkey", "c_custkey")], how)
+        return J.join(_few(t, "x"), t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", F.lit("y").alias("tag")), [("o_custkey", "c_custkey")], how)
 
 
 @query(f"SELECT coalesce(o.k, c.k) AS k, o_orderkey, c_name FROM (SELECT o_orderkey, o_custkey AS k FROM {FEW}) o FULL JOIN (SELECT c_custkey AS k, c_name FROM {PART}) c ON o.k = c.k")
 def join_using_full(t: Tables) -> DataFrame:
-    return J.join(_few(t, "x").select("o_orderkey", F.col("o_custkey").alias("k")), t.customer.filter("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("k"), "c_name"), ["k"], "full").select("k", "o_orderkey", "c_name")
+    return J.join(_few(t, "x").select("o_orderkey", F.col("o_custkey").alias("k")), t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"), "c_name"), ["k"], "full").select("k", "o_orderkey", "c_name")
 
 
-@query("SELECT o_orderkey, o_totalprice, c_name FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, o_totalprice, c_name FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def join_master_outer(t: Tables) -> DataFrame:
-    return J.join(t.orders.select("o_orderkey", "o_totalprice", "o_custkey"), t.customer.filter("c_custkey % 2 = 0").select("c_custkey", "c_name"), [("o_custkey", "c_custkey")], "Master Outer").select("o_orderkey", "o_totalprice", "c_name")
+    return J.join(t.orders.select("o_orderkey", "o_totalprice", "o_custkey"), t.customer.filter("c_acctbal > 0").select("c_custkey", "c_name"), [("o_custkey", "c_custkey")], "Master Outer").select("o_orderkey", "o_totalprice", "c_name")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -197,23 +201,17 @@ def dedup_keep_first(t: Tables) -> DataFrame:
     return A.first_row(t.events.select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@query("SELECT event_type, count(*) AS used_rows, sum(cast(value AS DECIMAL(18,4))) AS used, max(value) AS greatest, arg_max(value, (ts, value)) AS last, count(DISTINCT coalesce(CASE WHEN user_id % 7 <> 0 THEN user_id END::VARCHAR, 'missing')) AS distinct_values FROM events WHERE ts >= (SELECT min(ts) FROM events) AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
+@query("SELECT event_type, sum(cast(value AS DECIMAL(18,4))) AS used, max(cast(value AS DECIMAL(18,4))) AS greatest, arg_max(cast(value AS DECIMAL(18,4)), (ts, value)) AS last, count(DISTINCT coalesce(CASE WHEN user_id % 7 <> 0 THEN user_id END::VARCHAR, 'missing')) AS distinct_values FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1")
 def metering_sum_distinct_last(t: Tables) -> DataFrame:
-    import datetime
-
-    e = t.events.withColumn("who", F.expr("case when user_id % 7 <> 0 then user_id end")).withColumn("amount", F.expr("cast(value as decimal(18,4))"))
-    x = A.metered(e, ["event_type"], "value", "ts", datetime.datetime(1970, 1, 1), datetime.datetime(2024, 1, 20), distinct="who").drop("used")
-    s = e.filter("ts < timestamp_ntz'2024-01-20 00:00:00'").groupBy("event_type").agg(F.count("*").alias("used_rows"), F.sum("amount").alias("used"))
-    return x.join(s, "event_type").select("event_type", "used_rows", "used", "greatest", "last", "distinct_values")
+    e = t.events.withColumn("who", F.expr("case when user_id % 7 <> 0 then user_id end")).withColumn("value", F.expr("cast(value as decimal(18,4))"))
+    return A.metered(e, ["event_type"], "value", "ts", datetime.datetime(1970, 1, 1), datetime.datetime(2024, 1, 20), distinct="who")
 
 
-@query("""SELECT coalesce(e.user_id, a.user_id) AS user_id, coalesce(e.n, 0) + coalesce(a.d, 0) AS used FROM (SELECT user_id, sum(event_id) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1) e
-FULL JOIN (SELECT user_id, sum(-1 * event_id) AS d FROM events WHERE event_id % 5 = 0 GROUP BY 1) a ON e.user_id = a.user_id""")
+@query("""SELECT coalesce(e.user_id, a.user_id) AS user_id, coalesce(e.n, 0) + coalesce(a.d, 0) AS used FROM (SELECT user_id, sum(event_id) AS n FROM events WHERE event_type <> 'purchase' GROUP BY 1) e
+FULL JOIN (SELECT user_id, sum(-1 * event_id) AS d FROM events WHERE event_type = 'purchase' GROUP BY 1) a ON e.user_id = a.user_id""")
 def metering_adjustments(t: Tables) -> DataFrame:
-    import datetime
-
-    e = t.events.filter("event_id % 2 = 0")
-    a = t.events.filter("event_id % 5 = 0").select("user_id", "ts", (-F.col("event_id")).alias("delta"))
+    e = t.events.filter("event_type <> 'purchase'")
+    a = t.events.filter("event_type = 'purchase'").select("user_id", "ts", (-F.col("event_id")).alias("delta"))
     return A.metered(e, ["user_id"], "event_id", "ts", datetime.datetime(1970, 1, 1), datetime.datetime(2100, 1, 1), adjustments=a).select("user_id", "used")
 
 
@@ -332,13 +330,82 @@ def agg_incremental(t: Tables) -> DataFrame:
     return A.accumulate(part("l_orderkey % 3 = 0"), part("l_orderkey % 3 <> 0"), ["l_returnflag"], {"n": "sum", "top": "max"})
 
 
-@query("""SELECT event_type, count(*) AS n_runs, count(*) FILTER (WHERE NOT user_id % 9 <> 0) * 100.0 / count(*) AS failure_rate, median(value) AS median_duration, quantile_disc(value, 0.95) AS p95,
+@query("""SELECT event_type, count(*) AS n_runs, count(*) FILTER (WHERE NOT user_id % 9 <> 0) * 100.0 / count(*) AS failure_rate, round(avg(value), 6) AS mean_duration, median(value) AS median_duration, quantile_disc(value, 0.95) AS p95,
 count(*) FILTER (WHERE NOT user_id % 9 <> 0) * 100.0 / count(*) <= 11 AND quantile_disc(value, 0.95) <= 40 AS met FROM events GROUP BY 1""")
 def run_health(t: Tables) -> DataFrame:
-    return A.health(t.events, ["event_type"], "user_id % 9 <> 0", "value", slow=40, failing=11).drop("mean_duration")
+    return A.health(t.events, ["event_type"], "user_id % 9 <> 0", "value", slow=40, failing=11).withColumn("mean_duration", F.round("mean_duration", 6))
 
 
 @query("SELECT a.n_name AS n_name, b.n_name AS other, levenshtein(a.n_name, b.n_name)::INTEGER AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 6")
 def fuzzy_match(t: Tables) -> DataFrame:
     other = t.nation.selectExpr("n_nationkey as k2", "n_name as other", "n_regionkey as r2")
     return J.fuzzy_match(t.nation, other, ("n_regionkey", "r2"), "n_name", "other", 6).filter("n_nationkey < k2").select("n_name", "other", "distance")
+
+
+@query("""WITH f AS (SELECT o_custkey, arg_min((o_orderkey, o_totalprice), (o_orderdate, o_orderkey)) AS r FROM orders GROUP BY 1), t AS (SELECT c_custkey, c_nationkey AS key, c_acctbal AS price FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT o_orderkey, o.o_custkey AS o_custkey, coalesce(t.price, f.r[2]) AS price, CASE WHEN t.c_custkey IS NULL AND f.r[1] = o_orderkey THEN 1 ELSE 0 END AS new_lookup_row FROM orders o JOIN f ON o.o_custkey = f.o_custkey LEFT JOIN t ON t.c_custkey = o.o_custkey""")
+def lookup_dynamic(t: Tables) -> DataFrame:
+    held = t.customer.filter("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey as o_custkey", "c_acctbal as price")
+    rows = t.orders.selectExpr("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice as price")
+    return J.dynamic_lookup(rows, held, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["price"])[0].select("o_orderkey", "o_custkey", "price", "new_lookup_row")
+
+
+@query("""SELECT c_custkey AS o_custkey, c_acctbal AS price FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL
+SELECT o_custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1""")
+def lookup_dynamic_table(t: Tables) -> DataFrame:
+    held = t.customer.filter("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey as o_custkey", "c_acctbal as price")
+    return J.dynamic_lookup(t.orders.selectExpr("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice as price"), held, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["price"])[1]
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS gk FROM orders) SELECT o_orderkey, gk, 1 AS gcid, o_orderstatus AS label FROM k UNION ALL SELECT o_orderkey, gk, 2, o_orderpriority FROM k""")
+def normalizer_generated_key(t: Tables) -> DataFrame:
+    return R.normalize_keyed(t.orders, {"label": ["o_orderstatus", "o_orderpriority"]}, ["o_orderkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT least(25, count(*)) AS n, true AS of_orders FROM orders")
+def rownum_before_sort(t: Tables) -> DataFrame:
+    some = R.first_rows(t.orders, 25, ["o_totalprice"])
+    return some.join(t.orders.select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left").agg(F.count("*").alias("n"), F.bool_and(F.col("k").isNotNull()).alias("of_orders"))
+
+
+@query("SELECT r_name AS name, nullif(split_part(n_name, '_', 1), '') AS head, regexp_matches(n_name, '^([A-Za-z]+)_?([0-9]*)$') AS fits FROM nation JOIN region ON n_regionkey = r_regionkey")
+def parser_fields(t: Tables) -> DataFrame:
+    x = J.join(t.nation, t.region, [("n_regionkey", "r_regionkey")])
+    return R.parse_fields(x, "n_name", "([A-Za-z]+)_?([0-9]*)", ["head", "tail"], "rejected").select(F.col("r_name").alias("name"), F.coalesce("head", F.nullif(F.split_part("n_name", F.lit("_"), F.lit(1)), F.lit(""))).alias("head"), (~F.col("rejected")).alias("fits"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_size AS size FROM part")
+def xml_round_trip(t: Tables) -> DataFrame:
+    x = R.render_xml(t.part, ["p_partkey", "p_brand", "p_size"], "part")
+    return R.parse_xml(x.select("xml"), "xml", "p_partkey bigint, p_brand string, p_size int").select("parsed.p_partkey", F.col("parsed.p_brand").alias("brand"), F.col("parsed.p_size").alias("size"))
+
+
+@query("""SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1""")
+def merge_survivors(t: Tables) -> DataFrame:
+    return A.survivors(t.events, ["user_id"], {"value": ("latest", "struct(ts, event_id)"), "event_type": ("earliest", "struct(ts, event_id)")})
+
+
+@query("""SELECT greatest(max(o_totalprice), 100.0) AS top, least(min(o_orderkey), 5) AS low, 7 + count(*) FILTER (WHERE o_orderstatus = 'F') - count(*) FILTER (WHERE o_orderstatus = 'P') AS n, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS last FROM orders""")
+def mapping_variables(t: Tables) -> DataFrame:
+    act = "case o_orderstatus when 'F' then 'INSERT' when 'P' then 'DELETE' else 'UPDATE' end"
+    return A.mapping_variables(t.orders, {"top": 100.0, "low": 5, "n": 7, "last": ""}, {"top": ("max", "o_totalprice"), "low": ("min", "o_orderkey"), "n": ("count", act), "last": ("set", "o_orderpriority")}, "struct(o_orderdate, o_orderkey)")
+
+
+@query("SELECT a.n_name AS n_name, b.r_name AS r_name FROM nation a JOIN region b ON a.n_nationkey > b.r_regionkey * 4")
+def join_non_equi(t: Tables) -> DataFrame:
+    return J.join(t.nation, t.region, [], condition="n_nationkey > r_regionkey * 4").select("n_name", "r_name")
+
+
+@query("""SELECT c_custkey, o_orderkey AS order_key FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) o ON o_custkey = c_custkey AND rn <= 1""")
+def outer_apply_top(t: Tables) -> DataFrame:
+    return J.top_per_row(t.customer.select("c_custkey"), t.orders, [("c_custkey", "o_custkey")], ["o_totalprice", "o_orderkey"], 1, {"order_key": "o_orderkey"}, outer=True)
+
+
+@query("SELECT o_custkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_except_all(t: Tables) -> DataFrame:
+    return t.orders.select("o_custkey", "o_orderstatus").exceptAll(t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderstatus"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderpriority ILIKE '%high%' AND regexp_matches(o_orderpriority, '^[0-9]-')")
+def filter_predicates(t: Tables) -> DataFrame:
+    return R.keep(t.orders, "o_orderstatus in ('F', 'P') and o_totalprice between 1000 and 200000 and o_orderpriority ilike '%high%' and o_orderpriority rlike '^[0-9]-'").select("o_orderkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ KINDS = ("tumbling", "hopping", "sliding", "session", "global")
 
 
 def window_column(kind: str, time: str, size: str | None = None, slide: str | None = None, gap: str | None = None) -> Column | None:
-    """The window of a row; None for the global one."""
+    """The window of a row; None for the global one. A session ends after the longer of gap and size."""
     if kind == "tumbling":
         return F.window(time, size)
     if kind in ("hopping", "sliding"):
@@ -23,7 +24,7 @@ def window_column(kind: str, time: str, size: str | None = None, slide: str | No
             raise ValueError(f"a {kind} window needs a slide")
         return F.window(time, size, slide)
     if kind == "session":
-        return F.session_window(time, gap or size)
+        return F.session_window(time, max((x for x in (gap, size) if x), key=pd.Timedelta))
     if kind == "global":
         return None
     raise ValueError(f"no such window: {kind}; there are {', '.join(KINDS)}")
