@@ -79,7 +79,8 @@ GENERATORS = {
         r"\+[0-9]{1,3}(?:" + SEP + r"\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
     ),
 }
-GENERATOR_GUARD = {"email": r"@|(?:\b|_)(?:at|AT)(?:\b|_)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9][\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]{1,3}[\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]", "card": r"[0-9]{4}[\x20./_|:;,*-]{1,3}[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20./_-]{1,2}\(?[0-9]{2}|00[0-9]{8}"}
+# What every match of a kind's generators holds; for e-mail a written-out or spaced sign, and behind a bare "at" a name with a dot.
+GENERATOR_GUARD = {"email": r"@\x20|\x20@|[\[({]\x20?(?:at|AT|@)\x20?[\])}]|[_-](?:at|AT)[_-]|\x20(?:at|AT)\x20{1,2}[A-Za-z0-9-]{1,63}(?:\x20?[\[({]|\x20(?:dot|DOT)\x20|\.[A-Za-z0-9-])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9][\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]{1,3}[\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]", "card": r"[0-9]{4}[\x20./_|:;,*-]{1,3}[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20./_-]{1,2}\(?[0-9]{2}|00[0-9]{8}"}
 
 #: Other forms of what the base patterns find, as SQL of x.match; the last of each kind is held back from the trees.
 FORMS = {
