@@ -184,15 +184,10 @@ def features(x: str = "x") -> str:
 def example_rows(spark: SparkSession) -> DataFrame:
     """kind, label, held and text of the labelled examples."""
     cases = [(kind, t[0] == "+", t[1:].replace("~", "")) for kind, all_ in enumerate(TEMPLATES.values()) for t in all_.split("|")]
-    exprs = []
-    for kind, label, text in cases:
-        parts, k = [], 0
-        for c in text:
-            parts.append(f"cast(pmod(xxhash64(id, {k}), 10) as string)" if c == "#" else literal(c))
-            k += 1
-        exprs.append(f"named_struct('kind', {kind}, 'label', {int(label)}, 'text', concat({', '.join(parts)}))")
-    chosen = " ".join(f"when pmod(id, {len(cases)}) = {i} then {e}" for i, e in enumerate(exprs))
-    return spark.range(EXAMPLES).selectExpr("id", f"case {chosen} end as e").selectExpr("e.kind", "e.label", f"pmod(id div {len(cases)}, 4) = 3 as held", "e.text")
+    table = ", ".join(f"named_struct('kind', {kind}, 'label', {int(label)}, 'text', {literal(text)})" for kind, label, text in cases)
+    filled = "array_join(transform(split(e.text, ''), (c, k) -> if(c = '#', cast(pmod(xxhash64(id, k), 10) as string), c)), '')"
+    rows = spark.range(EXAMPLES).selectExpr("id", f"element_at(array({table}), cast(pmod(id, {len(cases)}) as int) + 1) as e")
+    return rows.selectExpr("e.kind", "e.label", f"pmod(id div {len(cases)}, 4) = 3 as held", f"{filled} as text")
 
 
 def proposed(kind: int) -> str:
