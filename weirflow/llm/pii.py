@@ -44,6 +44,8 @@ BASE = {
 }
 #: What a text must hold before a pattern is tried.
 GUARD = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+#: What a text with any match of any pattern holds: a digit, the sign, or "at" that no letter or digit touches.
+SOME = "text rlike '[0-9@]|(?:at|AT)(?![A-Za-z0-9])(?<![A-Za-z0-9]..)'"
 DIGITS = "regexp_replace(x.match, '[^0-9]', '')"
 #: A number up to 255, and the numbers of a match between spaces.
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -79,8 +81,8 @@ GENERATORS = {
         r"\+[0-9]{1,3}(?:" + SEP + r"\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
     ),
 }
-# What every match of a kind's generators holds; for e-mail a written-out or spaced sign, and behind a bare "at" a name with a dot.
-GENERATOR_GUARD = {"email": r"@\x20|\x20@|[\[({]\x20?(?:at|AT|@)\x20?[\])}]|[_-](?:at|AT)[_-]|\x20(?:at|AT)\x20{1,2}[A-Za-z0-9-]{1,63}(?:\x20?[\[({]|\x20(?:dot|DOT)\x20|\.[A-Za-z0-9-])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9][\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]{1,3}[\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]", "card": r"[0-9]{4}[\x20./_|:;,*-]{1,3}[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20./_-]{1,2}\(?[0-9]{2}|00[0-9]{8}"}
+# What every match of a kind's generators holds, tried once for all of them; for e-mail a written-out or spaced sign, and behind a bare "at" a name with a dot.
+GENERATOR_GUARD = {"email": r"(?=[\x20@\[({_-])(?:@\x20|\x20@|[\[({]\x20?(?:at|AT|@)\x20?[\])}]|[_-](?:at|AT)[_-]|\x20(?:at|AT)\x20{1,2}[A-Za-z0-9-]{1,63}(?:\x20?[\[({]|\x20(?:dot|DOT)\x20|\.[A-Za-z0-9-]))", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9][\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]{1,3}[\x20\[({]{0,2}(?:[.-]|dot|DOT)[\x20\])}]{0,2}[0-9]", "card": r"[0-9]{4}[\x20./_|:;,*-]{1,3}[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20./_-]{1,2}\(?[0-9]{2}|00[0-9]{8}"}
 
 #: Other forms of what the base patterns find, as SQL of x.match; the last of each kind is held back from the trees.
 FORMS = {
@@ -147,13 +149,21 @@ SPAN = "array<struct<start: bigint, kind: int, end: bigint, match: string, befor
 
 def matches(text: str, pattern: str, guard: str, kind: int) -> str:
     """SQL for all matches with their places and surroundings; the guard keeps other texts from being cut up."""
+    return guarded(text, guard, cut(text, pattern, kind))
+
+
+def guarded(text: str, guard: str, found: str) -> str:
+    return f"case when {text} rlike {literal(guard)} then {found} else cast(array() as {SPAN}) end"
+
+
+def cut(text: str, pattern: str, kind: int) -> str:
+    """SQL for all matches with their places and surroundings."""
     rx = literal(pattern)
     start = f"o[i div {STRIDE}] + aggregate(slice(w, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE}), 0L, (a, y) -> a + y) + length(s.p[i])"
     each = let(start, "b", f"named_struct('start', b, 'kind', {kind}, 'end', b + length(x), 'match', x, 'before', right(s.p[i], 40), 'after', left(s.p[i + 1], 2))")
     sums = f"aggregate(sequence(1, (size(w) - 1) div {STRIDE} + 1), array(0L), (a, k) -> concat(a, array(element_at(a, -1) + aggregate(slice(w, (k - 1) * {STRIDE} + 1, {STRIDE}), 0L, (c, y) -> c + y))))"
     body = let("transform(s.m, (x, i) -> cast(length(s.p[i]) + length(x) as bigint))", "w", let(sums, "o", f"transform(s.m, (x, i) -> {each})"))
-    whole = let(f"named_struct('m', regexp_extract_all({text}, {rx}, 0), 'p', split({text}, {rx}, -1))", "s", f"if(size(s.m) = 0, cast(array() as {SPAN}), {body})")
-    return f"case when {text} rlike {literal(guard)} then {whole} else cast(array() as {SPAN}) end"
+    return let(f"named_struct('m', regexp_extract_all({text}, {rx}, 0), 'p', split({text}, {rx}, -1))", "s", f"if(size(s.m) = 0, cast(array() as {SPAN}), {body})")
 
 
 def running_max(values: str, least: str = "0L") -> str:
@@ -193,7 +203,7 @@ def example_rows(spark: SparkSession) -> DataFrame:
 def proposed(kind: int) -> str:
     """SQL for the candidates of all generators of a kind in ``text``."""
     name = KINDS[kind]
-    return "concat(" + ", ".join(matches("text", g, GENERATOR_GUARD[name], kind) for g in GENERATORS[name]) + ")"
+    return guarded("text", GENERATOR_GUARD[name], "concat(" + ", ".join(cut("text", g, kind) for g in GENERATORS[name]) + ")")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
@@ -206,8 +216,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
         every.append(f"filter(flatten(transform({matches('text', BASE[k], GUARD[k], i)}, x -> array({forms}))), y -> y.x.match rlike {fits})")
         natural = f"filter({proposed(i)}, x -> not x.match rlike {literal(BASE[k])})"
         every.append(f"transform({natural}, x -> named_struct('x', {x.format('x.match')}, 'label', 0, 'held', pmod(xxhash64(x.match), 4) = 3))")
-    some = "text rlike '[0-9@]|(?:\\\\b|_)(?:at|AT)(?:\\\\b|_)'"
-    return docs.where(some).selectExpr(f"explode(concat({', '.join(every)})) as e").selectExpr("e.label", "e.held", f"element_at(transform(array(e.x), x -> {features()}), 1) as f")
+    return docs.where(SOME).selectExpr(f"explode(concat({', '.join(every)})) as e").selectExpr("e.label", "e.held", f"element_at(transform(array(e.x), x -> {features()}), 1) as f")
 
 
 def fit(spark: SparkSession, docs: DataFrame | None = None) -> Model:
@@ -228,11 +237,10 @@ def fit(spark: SparkSession, docs: DataFrame | None = None) -> Model:
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, base and found: arrays of (start, kind, end), kinds by number, sorted; ``found`` holds the base spans too."""
     bare = "transform({}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    some = "text rlike '[0-9@]|(?:\\\\b|_)(?:at|AT)(?:\\\\b|_)'"
     base = "concat(" + ", ".join(f"filter({matches('text', BASE[k], GUARD[k], i)}, x -> {VALID[k]})" for i, k in enumerate(KINDS)) + ")"
     more = "concat(" + ", ".join(f"filter({proposed(i)}, x -> {let(features(), 'f', model.sql('f'))})" for i in range(len(KINDS))) + ")"
     empty = f"cast(array() as {SPAN})"
-    rows = keyed_text(docs, id_col, text_col).selectExpr("doc_id", "text", f"case when {some} then {base} else {empty} end as base", f"case when {some} then {more} else {empty} end as more")
+    rows = keyed_text(docs, id_col, text_col).selectExpr("doc_id", "text", f"case when {SOME} then {base} else {empty} end as base", f"case when {SOME} then {more} else {empty} end as more")
     rows = rows.selectExpr("doc_id", "text", f"array_sort({bare.format('base')}) as base", f"array_sort({bare.format('more')}) as more")
     # all spans in a row, base ones (0) before others (1) that begin where they do
     row = "array_sort(concat(transform(base, x -> named_struct('start', x.start, 'more', 0, 'kind', x.kind, 'end', x.end)), transform(more, x -> named_struct('start', x.start, 'more', 1, 'kind', x.kind, 'end', x.end))))"
