@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import compression_classifier, decontaminate, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, warc
+from weirflow.llm import compression_classifier, decontaminate, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
     "op10_html_main_text": op10_html_main_text,
+    "op11_simhash": op11_simhash,
 }
 
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op3_decontamination": decontaminate.oracle(), "op6_warc_converter": warc.oracle()}
