@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import compression_classifier, decontaminate, hard_negatives, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, simhash, warc
+from weirflow.llm import alignment, compression_classifier, decontaminate, hard_negatives, html_extract, masked_lm, order_minhash, pii, quality_rules, secrets, sentencepiece_codec, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_html_main_text": op10_html_main_text,
     "op11_simhash": op11_simhash,
+    "op12_token_alignment": op12_token_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
