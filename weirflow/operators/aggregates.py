@@ -8,6 +8,7 @@ from itertools import accumulate as accumulate_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.operators.order import Order, rank_key, sort_columns
 from weirflow.operators.rows import Expr, as_column
 from weirflow.shared import materialised
 
@@ -19,14 +20,14 @@ def aggregate(df: DataFrame, keys: Sequence[str] | Mapping[str, Expr], aggregate
     return out if having is None else out.filter(as_column(having))
 
 
-def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Expr], descending: bool = False) -> DataFrame:
+def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Expr | Order], descending: bool = False) -> DataFrame:
     """The first row of each group by a declared order (dedup; a group-by without aggregates).
 
     An aggregate with map-side minima over whole rows: no sort of a group, so hot keys cost no more than others.
     """
     if not order:
         raise ValueError("keeping the first row needs a declared order")
-    by = F.struct(*[as_column(o).alias(f"o{i}") for i, o in enumerate(order)])
+    by = rank_key(df, order)
     pick = F.max_by if descending else F.min_by
     rest = [c for c in df.columns if c not in set(keys)]
     out = df.groupBy(*keys).agg(pick(F.struct(*rest), by).alias("_row"))
@@ -90,15 +91,15 @@ def finalised(fresh: DataFrame, frozen: DataFrame, keys: Sequence[str], values:
 RANKS = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
 
 
-def top(df: DataFrame, n: int, order: Sequence[Expr], keys: Sequence[str] = (), kind: str = "rank", position: str | None = None) -> DataFrame:
+def top(df: DataFrame, n: int, order: Sequence[Expr | Order], keys: Sequence[str] = (), kind: str = "rank", position: str | None = None) -> DataFrame:
     """RANK: the first n of each group. rank keeps ties and may give more than n; row_number needs an order without ties.
 
     Spark limits groups before the shuffle (WindowGroupLimit); a global row_number is an ordered limit in each task first.
     """
     name = position or "_rank"
-    w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order])
+    w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
     if not keys and kind == "row_number":
-        df = df.orderBy(*[as_column(o) for o in order]).limit(n)
+        df = df.orderBy(*sort_columns(order)).limit(n)
     out = df.withColumn(name, RANKS[kind]().over(w)).filter(F.col(name) <= n)
     return out if position else out.drop(name)
 
@@ -108,15 +109,15 @@ def qualify(df: DataFrame, windows: Mapping[str, Expr], condition: Expr) -> Data
     return df.withColumns({k: as_column(e) for k, e in windows.items()}).filter(as_column(condition)).drop(*windows)
 
 
-def moving(df: DataFrame, keys: Sequence[str], order: Sequence[Expr], rows: int, ports: Mapping[str, tuple[str, str]]) -> DataFrame:
+def moving(df: DataFrame, keys: Sequence[str], order: Sequence[Expr | Order], rows: int, ports: Mapping[str, tuple[str, str]]) -> DataFrame:
     """MOVINGSUM, MOVINGAVG, ...: over the last ``rows`` rows. ports: name -> (function, column)."""
-    w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order]).rowsBetween(1 - rows, 0)
+    w = Window.partitionBy(*keys).orderBy(*sort_columns(order)).rowsBetween(1 - rows, 0)
     return df.withColumns({name: getattr(F, f)(c).over(w) for name, (f, c) in ports.items()})
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Expr], ports: Mapping[str, tuple[str, str, int]]) -> DataFrame:
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Expr | Order], ports: Mapping[str, tuple[str, str, int]]) -> DataFrame:
     """LAG, LEAD, NTILE, FIRST_VALUE, LAST_VALUE. ports: name -> (function, column, offset or number of tiles)."""
-    w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order])
+    w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     made = {}
     for name, (f, c, n) in ports.items():
@@ -124,14 +125,14 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Expr], ports:
     return df.withColumns(made)
 
 
-def sequence(df: DataFrame, name: str, order: str, ties: Sequence[str] = (), start: int = 1, step: int = 1, cycle: int | None = None, parts: int | None = None) -> DataFrame:
+def sequence(df: DataFrame, name: str, order: Expr | Order, ties: Sequence[Expr | Order] = (), start: int = 1, step: int = 1, cycle: int | None = None, parts: int | None = None) -> DataFrame:
     """SEQUENCE: start, start + step, ... in the declared order, which ``order`` and ``ties`` make unique.
 
     Rows are dealt out by ranges of the whole order (``parts`` of them, by default as many as the session shuffles to), sorted and numbered within each, and moved on by
-    the counts of the ranges before. The input is read once. A value of ``order`` that very many rows share is split by the ties. ``cycle`` begins anew after so many values.
+    the counts of the ranges before. The ranges come from a sample, so the input is read twice. A value of ``order`` that very many rows share is split by the ties. ``cycle`` begins anew after so many values.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [order, *ties]
+    keys = sort_columns([order, *ties])
     rows = materialised(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each range

@@ -9,6 +9,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.operators.order import Order, rank_key, sort_columns
 from weirflow.operators.rows import Expr, as_column
 from weirflow.shared import materialised
 
@@ -61,7 +62,7 @@ def _equal(on: Sequence[tuple[str, str]]) -> Column:
     return test
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], returns: Mapping[str, str], match: str = "first", order: Sequence[Expr] = (), source_filter: Expr | None = None) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], returns: Mapping[str, str], match: str = "first", order: Sequence[Expr | Order] = (), source_filter: Expr | None = None) -> DataFrame:
     """LOOKUP: every input row with the columns that the table returns for its keys, null where there is none.
 
     match: first, last or any single row by the declared order (any needs none), or all rows. returns: output -> table column.
@@ -75,27 +76,38 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], retur
     else:
         if match in ("first", "last") and not order:
             raise ValueError("first and last need a declared order")
-        by = F.struct(*[as_column(o).alias(f"_o{i}") for i, o in enumerate(order)] or [F.lit(0)])
+        by = rank_key(table, order)
         pick = F.max_by if match == "last" else F.min_by
         right = table.groupBy(*keys).agg(pick(values, by).alias("_v"))
     return df.join(right, _equal(on), "left").select(*df.columns, *[F.col("_v").getField(n).alias(n) for n in returns])
 
 
-def top_per_row(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], order: Sequence[Expr], n: int, returns: Mapping[str, str], outer: bool = False) -> DataFrame:
-    """CROSS APPLY (outer: OUTER APPLY) of the first n rows of the table for each row's keys."""
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(on))]).orderBy(*[F.col(f"_o{i}") for i in range(len(order))])
-    right = table.select(*[F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(on)], *[as_column(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(name) for name, c in returns.items()])
-    right = right.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
+def top_per_row(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], order: Sequence[Expr | Order], n: int, returns: Mapping[str, str], outer: bool = False) -> DataFrame:
+    """CROSS APPLY (outer: OUTER APPLY) of the first n rows of the table for each row's keys. Spark keeps the first n of a key in each task before it shuffles."""
+    w = Window.partitionBy(*[F.col(b) for _, b in on]).orderBy(*sort_columns(order))
+    right = table.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
+    right = right.select(*[F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(on)], *[F.col(c).alias(name) for name, c in returns.items()])
     return df.join(right, _equal(on), "left" if outer else "inner").select(*df.columns, *returns)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, returns: Sequence[str]) -> DataFrame:
-    """Each left row with the latest right row of its keys at or before its time: one shuffle of both by the keys, no range join."""
-    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*returns)).schema[0].dataType).alias("_r"))  # noqa: E741
-    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.struct(*returns).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    return out.select("_l.*", *[F.col("_r").getField(c).alias(c) for c in returns])
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, returns: Sequence[str], ties: Sequence[Expr | Order] = (), ranges: int | None = None) -> DataFrame:
+    """Each left row with the latest right row of its keys at or before its time: one shuffle of both by the keys, no range join.
+
+    Of right rows of one time the last by ``ties``, an order over the right columns, counts. Without keys, or with ``ranges`` because a key holds a large share of the rows,
+    both sides' rows are dealt out by ranges of the order instead (``scan``). Null times come first, and a row with one sees those of the other side only.
+    """
+    tie = rank_key(right, ties)
+    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*returns)).schema[0].dataType).alias("_r"), F.lit(None).cast(right.select(tie).schema[0].dataType).alias("_tie_of"))  # noqa: E741
+    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.struct(*returns).alias("_r"), tie.alias("_tie_of"))
+    both = l.unionByName(r)
+    if keys and not ranges:
+        w = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie_of").rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w))
+    else:
+        from weirflow.operators.scan import scan
+
+        out = scan(both, ["_t", "_side", "_tie_of"], keys, ranges, _last=("last", "_r"))
+    return out.filter("_side = 1").select("_l.*", *[F.col("_last").getField(c).alias(c) for c in returns])
 
 
 def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence[str] = (), level: str = "level", deepest: int | None = None) -> DataFrame:
@@ -118,24 +130,30 @@ def hierarchy(df: DataFrame, key: str, parent: str, start: Expr, carry: Sequence
     return out.withColumn("path", F.array_join("path", "/"))
 
 
-def dynamic_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], order: Sequence[Expr], columns: Sequence[str], flag: str = "new_lookup_row") -> tuple[DataFrame, DataFrame]:
+def dynamic_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], order: Sequence[Expr | Order], columns: Sequence[str], flag: str = "new_lookup_row") -> tuple[DataFrame, DataFrame]:
     """LOOKUP with a cache that rows add to: the rows with what the table holds for their keys, and the table afterwards.
 
     Of a key that the table lacks, the first row in the declared order is added (``flag`` 1) and later ones see its values
-    (``flag`` 0). Keys are equal if both are null. The first rows come from an aggregate with map-side minima, so a hot key is no hot task.
+    (``flag`` 0). Of rows of equal rank the least row as a whole is the first, and of equal rows any single one. Keys are equal if both are null. The first rows come
+    from an aggregate with map-side minima, so a hot key is no hot task.
     """
     if not order:
         raise ValueError("a dynamic lookup needs a declared order")
-    rank = F.struct(*[as_column(o).alias(f"o{i}") for i, o in enumerate(order)])
-    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(rank.alias("rank"), F.struct(*columns).alias("row"))).alias("_first"))
+    row = F.struct(*df.columns)
+    at = F.struct(rank_key(df, order).alias("rank"), row.alias("row"))
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(at).getField("row").alias("_first"))
     held = table.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.struct(*columns).alias("_held"))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(a(i, k)).eqNullSafe(F.col(b(i, k))) for i, k in enumerate(keys)])
     known = first.join(held, same(lambda i, _: f"_k{i}", lambda i, _: f"_h{i}"), "left")
     seen = df.join(known, same(lambda _, k: k, lambda i, _: f"_k{i}"))
-    value = F.coalesce("_held", "_first.row")
+    adds = F.col("_held").isNull() & row.eqNullSafe(F.col("_first"))
     rest = [c for c in df.columns if c not in set(columns)]
-    rows = seen.select(*rest, *[value.getField(c).alias(c) for c in columns], (F.col("_held").isNull() & (rank == F.col("_first.rank"))).cast("int").alias(flag))
-    added = known.where("_held is null").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col("_first.row").getField(c).alias(c) for c in columns])
+    shown = lambda rows, new: rows.select(*rest, *[F.coalesce(F.col("_held").getField(c), F.when(F.col("_held").isNull(), F.col("_first").getField(c))).alias(c) for c in columns], new.cast("int").alias(flag))
+    # equal rows that all come first: counted, and one of them adds
+    equal = seen.filter(adds).groupBy(*df.columns, "_held", "_first").agg(F.count("*").alias("_n"))
+    equal = equal.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    rows = shown(seen.filter(~adds), F.lit(0)).unionByName(shown(equal, F.col("_copy") == 1))
+    added = known.where("_held is null").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col("_first").getField(c).alias(c) for c in columns])
     return rows, table.select(*keys, *columns).unionByName(added)
 
 

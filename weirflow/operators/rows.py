@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Expr = str | Column
+from weirflow.operators.order import Expr, Order, sort_columns
 
 
 def as_column(x: Expr) -> Column:
@@ -31,16 +31,20 @@ def with_variables(df: DataFrame, variables: Mapping[str, Expr], outputs: Mappin
     return project(df, outputs)
 
 
-def running(df: DataFrame, order: Sequence[Expr], keys: Sequence[str] = (), **ports: tuple[str, Expr]) -> DataFrame:
-    """Stateful variables in a declared order. ports: name=(kind, expression); kinds previous, sum, count, min, max.
+def running(df: DataFrame, order: Sequence[Expr | Order], keys: Sequence[str] = (), ranges: int | None = None, **ports: tuple[str, Expr]) -> DataFrame:
+    """Stateful variables in a declared order. ports: name=(kind, expression); kinds previous, sum, count, min, max, last (of the values that are not null).
 
-    Without keys the order is global, and so is the task; state the keys wherever the source has them.
+    With keys, windows over them. Without, or where ``ranges`` are given because a key holds a large share of the rows, the order is cut into ranges (``scan``).
     """
     if not order:
         raise ValueError("a stateful port needs a declared order")
-    w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order])
+    if not keys or ranges:
+        from weirflow.operators.scan import scan
+
+        return scan(df, order, keys, ranges, **ports)
+    w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
     frame = w.rowsBetween(Window.unboundedPreceding, 0)
-    kinds = {"previous": lambda e: F.lag(e).over(w), "sum": lambda e: F.sum(e).over(frame), "count": lambda e: F.count(e).over(frame), "min": lambda e: F.min(e).over(frame), "max": lambda e: F.max(e).over(frame)}
+    kinds = {"previous": lambda e: F.lag(e).over(w), "sum": lambda e: F.sum(e).over(frame), "count": lambda e: F.count(e).over(frame), "min": lambda e: F.min(e).over(frame), "max": lambda e: F.max(e).over(frame), "last": lambda e: F.last(e, ignorenulls=True).over(frame)}
     return df.withColumns({name: kinds[kind](as_column(e)) for name, (kind, e) in ports.items()})
 
 
@@ -147,10 +151,10 @@ def normalize_keyed(df: DataFrame, groups: Mapping[str, Sequence[str]], keep_col
     return normalize(keyed, groups, [*keep_columns, generated], occurrence)
 
 
-def first_rows(df: DataFrame, n: int, order: Sequence[Expr] = ()) -> DataFrame:
+def first_rows(df: DataFrame, n: int, order: Sequence[Expr | Order] = ()) -> DataFrame:
     """ROWNUM <= n: any n rows, taken before they are sorted."""
     out = df.limit(n)
-    return out.orderBy(*[as_column(o) for o in order]) if order else out
+    return out.orderBy(*sort_columns(order)) if order else out
 
 
 def parse_fields(df: DataFrame, column: str, pattern: str, names: Sequence[str], rejected: str | None = None) -> DataFrame:
