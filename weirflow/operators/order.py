@@ -85,15 +85,21 @@ def sort_columns(xs: Expr | Order | Sequence[Expr | Order]) -> list[Column]:
     return [o.sort() for o in orders(xs)]
 
 
-def rank_key(df: DataFrame, xs: Expr | Order | Sequence[Expr | Order]) -> Column:
-    """A struct that is less the earlier a row comes in the declared order, for min_by, max_by and comparisons; never null."""
+def rank_key(df: DataFrame, xs: Expr | Order | Sequence[Expr | Order], plain: bool = False) -> Column:
+    """A struct that is less the earlier a row comes in the declared order, for min_by, max_by and comparisons; never null. ``plain``: times as microseconds."""
     fields = []
     for i, o in enumerate(orders(xs)):
         lead = o.column.isNull() if not o.nulls_lead else o.column.isNotNull()
-        fields += [lead.alias(f"n{i}"), (_falling(o.column, df.select(o.column.alias("c")).schema["c"].dataType) if o.descending else o.column).alias(f"o{i}")]
+        kind = df.select(o.column.alias("c")).schema["c"].dataType
+        key = _falling(o.column, kind) if o.descending else _micros(o.column, kind) if plain and isinstance(kind, T.TimestampType | T.TimestampNTZType) else o.column
+        fields += [lead.alias(f"n{i}"), key.alias(f"o{i}")]
     return F.struct(*fields) if fields else F.struct(F.lit(0).alias("o"))
 
 
+def _micros(c: Column, kind: T.DataType) -> Column:
+    return F.unix_micros(c) if isinstance(kind, T.TimestampType) else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+
+
 def _falling(c: Column, kind: T.DataType) -> Column:
     """A value that falls as ``c`` rises.
 
@@ -109,10 +115,8 @@ def _falling(c: Column, kind: T.DataType) -> Column:
         return -c
     if isinstance(kind, T.DateType):
         return -F.unix_date(c)
-    if isinstance(kind, T.TimestampType):
-        return F.bitwise_not(F.unix_micros(c))
-    if isinstance(kind, T.TimestampNTZType):
-        return F.bitwise_not(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c))
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return F.bitwise_not(_micros(c, kind))
     if isinstance(kind, T.StringType | T.BinaryType):
         return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
     if isinstance(kind, T.NullType):

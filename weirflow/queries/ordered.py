@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from weirflow.operators import joins as J
 from weirflow.operators import rows as R
 from weirflow.operators.order import desc
 from weirflow.queries.registry import Tables, query
+from weirflow.shared import checkpoint_folder
+from weirflow.streaming import stateful as SS
 
 # Declared orders
 
@@ -117,3 +122,32 @@ def join_overlapping_spans(t: Tables) -> DataFrame:
     side = lambda kind, p: s.where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{p}_of"), F.col("a").alias(f"{p}_a"), F.col("b").alias(f"{p}_b"))
     pairs = B.overlapping(side("error", "errors"), side("signup", "signups"), ("errors_a", "errors_b"), ("signups_a", "signups_b"), width=60_000_000)
     return pairs.groupBy("errors_of", "signups_of").agg(F.count("*").alias("n_overlaps"))
+
+
+# Streams that remember earlier rows
+
+
+def _through_a_stream(t: Tables, name: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table read as a stream to its end, and what the stream wrote."""
+    table = getattr(t, name)
+    folder = f"{checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    stream = made(t.spark.readStream.schema(table.schema).parquet(f"{t.sf_dir}/{name}.parque[t]"))  # a pattern, as a stream's plain path must be a folder
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query("""SELECT event_id, user_id, count(nullif(event_type, 'view')) OVER w AS n, max(value) OVER w AS most, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS bought, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS before
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS UNBOUNDED PRECEDING)""")
+def stream_running_state(t: Tables) -> DataFrame:
+    ports = {"n": ("count", "nullif(event_type, 'view')"), "most": ("max", "value"), "bought": ("last", "case when event_type = 'purchase' then event_id end"), "before": ("previous", "event_type")}
+    made = lambda e: SS.running(e.select("event_id", "user_id", "ts", "event_type", "value"), ["ts desc", "event_id"], ["user_id"], **ports)
+    return _through_a_stream(t, "events", made).select("event_id", "user_id", *ports)
+
+
+@query("""SELECT event_id, user_id, CASE WHEN user_id % 5 = 0 THEN -user_id ELSE first_value(value) OVER w END AS value, (user_id % 5 <> 0 AND event_id = first_value(event_id) OVER w)::INTEGER AS new_lookup_row FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def stream_dynamic_lookup_state(t: Tables) -> DataFrame:
+    """Users divisible by five are held from the start."""
+    held = t.events.where("user_id % 5 = 0").selectExpr("user_id", "cast(-user_id as double) as value").distinct()
+    made = lambda e: SS.dynamic_lookup(e.select("event_id", "user_id", "ts", "value"), held, ["user_id"], ["ts", "event_id"], ["value"])
+    return _through_a_stream(t, "events", made).select("event_id", "user_id", "value", "new_lookup_row")
