@@ -7,8 +7,9 @@ them, a curve calibrated on examples held back turns margins into probabilities,
 a precision of ``PRECISION`` on them. Of accepted spans that overlap, the first stays.
 
 The trees are fitted on labelled examples: what the base patterns find in the documents, with the text around it, written
-in other forms (valid finds are examples of personal data, failing ones are not), the candidates that the generators propose
-in the documents as they are (taken as not personal; disguised data are rare), and sentences from templates. A fourth of the finds and
+in other forms (valid finds are examples of personal data, failing ones are not), those candidates that the generators propose
+in the documents as they are and that a check of their kind refutes (``REFUTED``: not personal, whatever they look like), and sentences from templates. Candidates that no check
+refutes can be personal data in disguise; they have no label and teach nothing, so what is found does not hang on how much of it the table holds. A fourth of the finds and
 one form of each kind are held back from the trees and serve the curve and the thresholds. All documents are read,
 and only counts of distinct feature vectors come to the driver, at most 2 ** len(FEATURES) of them and in practice hundreds.
 
@@ -56,6 +57,13 @@ VALID = {
     "card": f"length({DIGITS}) between 12 and 19 and luhn_check({DIGITS})",
     "phone": f"length({DIGITS}) between 9 and 15",
 }
+#: What shows that a candidate x is none of its kind: a last label that is no top-level domain, numbers that are no address, a wrong check digit, or digits too few, too many or going on beyond it.
+REFUTED = {
+    "email": r"not x.match rlike '(?i)(?:\\.|dot[\\])}]? ?|[_-]dot[_-]|\\. {0,2})(?:com|org|net|edu|gov|io|info|eu|[a-z]{2})$'",
+    "ip": rf"not ({QUADS} rlike '^{BYTE}(?: {BYTE}){{3}}$' or x.match like '%::%' or size(split(x.match, ':')) = 8)",
+    "card": f"not (length({DIGITS}) between 12 and 19 and luhn_check({DIGITS}))",
+    "phone": rf"not length({DIGITS}) between 9 and 15 or x.after rlike '^[\\x20./_-]?[0-9]' or x.before rlike '[0-9][\\x20./_-]?$'",
+}
 NAME, LABEL, SEP = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}", r"[\x20./_-]{1,2}"
 GENERATORS = {
     "email": (
@@ -214,7 +222,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
         fits = literal("^(?:" + "|".join(GENERATORS[k]) + ")$")
         forms = ", ".join(f"named_struct('x', {x.format(f)}, 'label', if({VALID[k]}, 1, 0), 'held', {str(n + 1 == len(FORMS[k])).lower()} or pmod(xxhash64(x.match), 4) = 3)" for n, f in enumerate(FORMS[k]))
         every.append(f"filter(flatten(transform({matches('text', BASE[k], GUARD[k], i)}, x -> array({forms}))), y -> y.x.match rlike {fits})")
-        natural = f"filter({proposed(i)}, x -> not x.match rlike {literal(BASE[k])})"
+        natural = f"filter({proposed(i)}, x -> not x.match rlike {literal(BASE[k])} and ({REFUTED[k]}))"
         every.append(f"transform({natural}, x -> named_struct('x', {x.format('x.match')}, 'label', 0, 'held', pmod(xxhash64(x.match), 4) = 3))")
     return docs.where(SOME).selectExpr(f"explode(concat({', '.join(every)})) as e").selectExpr("e.label", "e.held", f"element_at(transform(array(e.x), x -> {features()}), 1) as f")
 
