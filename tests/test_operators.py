@@ -210,11 +210,36 @@ def test_change_stream(spark, tmp_path):
 
 
 def test_schema_evolution():
-    old = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType()), T.StructField("c", T.StringType())])
-    new = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("d", T.StringType())])
-    got = E.compare(old, new, "BACKWARD")
-    assert got.added == ("d",) and got.removed == ("c",) and got.breaking == ("field c removed", "field b type double -> string")
-    assert E.compare(old, old).breaking == ()
+    nested = lambda *f: T.StructType([T.StructField(n, t, z) for n, t, z in f])
+    old = nested(("a", T.IntegerType(), True), ("b", T.DoubleType(), True), ("c", T.StringType(), True), ("s", nested(("x", T.LongType(), True), ("y", T.DateType(), False)), True))
+    new = nested(("a", T.LongType(), True), ("b", T.StringType(), True), ("d", T.StringType(), False), ("s", nested(("x", T.LongType(), False), ("y", T.DateType(), True)), True))
+    got = [(d.field, d.kind) for d in E.differences(old, new)]
+    assert got == [("a", "widened"), ("b", "retyped"), ("c", "removed"), ("d", "added, required"), ("s.x", "required"), ("s.y", "optional")]
+    assert [d.field for d in E.breaking(E.differences(old, new))] == ["b", "c", "s.x"]
+    assert [d.field for d in E.breaking(E.differences(old, new), "forward")] == ["b", "s.x"]
+    assert E.breaking(E.differences(old, new), "NONE") == [d for d in E.differences(old, new) if d.kind in ("retyped", "required")]
+    assert E.differences(old, old) == []
+    with pytest.raises(ValueError):
+        E.breaking([], "SIDEWAYS")
+
+
+def test_rows_that_were_wrong(spark, tmp_path):
+    """Quoted line breaks, null keys of a merge, and text that is no XML."""
+    p = tmp_path / "q.csv"
+    p.write_text('id,note\n1,"two\nlines, ""quoted"""\n2,plain\n', encoding="utf-8")
+    assert rows(files.read_delimited(spark, str(p))) == [(1, 'two\nlines, "quoted"'), (2, "plain")]
+    (tmp_path / "r.csv").write_text('id,note\n1,"a ""b"" c"\n', encoding="utf-8")
+    assert rows(files.read_delimited(spark, str(tmp_path / "r.csv"))) == [(1, 'a "b" c')]
+    t = spark.createDataFrame([(1, "a"), (None, "t")], "k int, v string")
+    s = spark.createDataFrame([(1, "b"), (None, "x"), (None, "y")], "k int, v string")
+    assert sorted(map(repr, rows_of(L.merge(t, s, ["k"])))) == sorted(map(repr, [(1, "b"), (None, "t"), (None, "x"), (None, "y")]))
+    texts = spark.createDataFrame([("<r><a>1</a></r>",), ("hello",), ("<r><a>",), ("",), (None,)], "x string")
+    got = {r["x"]: r["parsed"] for r in R.parse_xml(texts, "x", "a int").collect()}
+    assert got["<r><a>1</a></r>"]["a"] == 1 and [got[k] for k in ("hello", "<r><a>", "", None)] == [None] * 4
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
 
 
 def test_secrets_and_graph(spark):

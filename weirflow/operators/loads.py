@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,17 @@ def _match(keys: Sequence[str], left: str = "", right: str = "_s_") -> Column:
 
 
 def check_unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The source with one row for each key, or an error when the plan runs: a merge must not match a row twice."""
-    one = source.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*source.columns)).alias("_row"))
+    """The source with one row for each key, or an error when the plan runs: a merge must not match a row twice. Rows with a null in their key match nothing and stay, however many."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    one = source.where(whole).groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*source.columns)).alias("_row"))
     sure = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several source rows have the key "), F.to_json(F.struct(*keys))))).otherwise(F.col("_row"))
-    return one.select(sure.alias("_row")).select("_row.*")
+    return one.select(sure.alias("_row")).select("_row.*").unionByName(source.where(~whole))
 
 
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], action: str | None = None, delete: Expr | None = None, update: Expr | None = None, insert: Expr | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """MERGE: matched rows are deleted, else updated, and unmatched ones inserted, each where its condition allows.
 
-    Conditions see source columns as s.<name> and target columns as t.<name>. Instead, ``action`` names a column of
+    A null in a key matches nothing: such source rows are unmatched ones, and such target rows stay. Conditions see source columns as s.<name> and target columns as t.<name>. Instead, ``action`` names a column of
     the source with INSERT, UPDATE, DELETE or REJECT. Without keys nothing can match, so the target is rebuilt from the source, with a warning. ``columns`` limits what an update changes (keys never change).
     """
     names = target.columns

@@ -165,8 +165,12 @@ def parse_fields(df: DataFrame, column: str, pattern: str, names: Sequence[str],
 
 
 def parse_xml(df: DataFrame, column: str, schema: str, into: str = "parsed") -> DataFrame:
-    """XML_PARSER: a text column as a struct, null where it is no XML."""
-    return df.withColumn(into, F.from_xml(F.col(column), schema, {"mode": "PERMISSIVE"}))
+    """XML_PARSER: a text column as a struct, null where it is no XML or does not fit the schema."""
+    read = F.from_xml(F.col(column), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    fields = [f.name for f in df.select(F.from_xml(F.col(column), schema).alias("x")).schema["x"].dataType]
+    out = df.withColumn("_xml", read)
+    good = F.col("_xml").isNotNull() & F.col("_xml._bad").isNull()
+    return out.withColumn(into, F.when(good, F.struct(*[F.col("_xml").getField(f).alias(f) for f in fields]))).drop("_xml")
 
 
 def render_xml(df: DataFrame, columns: Sequence[str], row_tag: str, into: str = "xml") -> DataFrame:

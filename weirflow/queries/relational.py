@@ -368,10 +368,11 @@ def rownum_before_sort(t: Tables) -> DataFrame:
     return some.join(t.orders.select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left").agg(F.count("*").alias("n"), F.bool_and(F.col("k").isNotNull()).alias("of_orders"))
 
 
-@query("SELECT r_name AS name, nullif(split_part(n_name, '_', 1), '') AS head, regexp_matches(n_name, '^([A-Za-z]+)_?([0-9]*)$') AS fits FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""SELECT p_partkey, CASE WHEN fits THEN regexp_extract(p_brand, '^Brand#([1-3])([0-9])$', 1) END AS head, CASE WHEN fits THEN regexp_extract(p_brand, '^Brand#([1-3])([0-9])$', 2) END AS tail, NOT fits AS rejected
+FROM (SELECT *, regexp_full_match(p_brand, 'Brand#[1-3][0-9]') AS fits FROM part)""")
 def parser_fields(t: Tables) -> DataFrame:
-    x = J.join(t.nation, t.region, [("n_regionkey", "r_regionkey")])
-    return R.parse_fields(x, "n_name", "([A-Za-z]+)_?([0-9]*)", ["head", "tail"], "rejected").select(F.col("r_name").alias("name"), F.coalesce("head", F.nullif(F.split_part("n_name", F.lit("_"), F.lit(1)), F.lit(""))).alias("head"), (~F.col("rejected")).alias("fits"))
+    """Brands of one digit do not fit."""
+    return R.parse_fields(t.part, "p_brand", "Brand#([1-3])([0-9])", ["head", "tail"], "rejected").select("p_partkey", "head", "tail", "rejected")
 
 
 @query("SELECT p_partkey, p_brand AS brand, p_size AS size FROM part")

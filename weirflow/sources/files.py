@@ -45,17 +45,20 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).try_cast(CASTS[types[c]]) if types.get(c, "STRING") != "STRING" else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, infer: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, infer: bool = True, line_breaks: bool | None = None) -> DataFrame:
     """CSV, TSV or text with a header; the delimiter by the suffix, or a tab if the first line has one and no comma.
 
-    Byte order marks and blank lines are skipped, short rows are filled with null.
+    Byte order marks and blank lines are skipped, short rows are filled with null. ``line_breaks``: whether quoted values can hold some; a file is then one task, else Spark
+    splits it. By default a pass over the lines tells: only a record that goes on in the next line has a line with an odd number of quotes.
     """
     if delimiter is None:
         delimiter = next((d for s, d in DELIMITERS.items() if path.lower().endswith(s)), None)
     if delimiter is None:
         first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
         delimiter = "\t" if first and "\t" in first[0][0] and "," not in first[0][0] else ","
-    df = spark.read.csv(path, header=True, sep=delimiter, mode="PERMISSIVE", inferSchema=False, enforceSchema=False, quote='"', escape='"')
+    if line_breaks is None:
+        line_breaks = not spark.read.text(path).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1").isEmpty()
+    df = spark.read.csv(path, header=True, sep=delimiter, mode="PERMISSIVE", inferSchema=False, enforceSchema=False, quote='"', escape='"', multiLine=line_breaks)
     df = df.toDF(*clean_names([c.lstrip("﻿") for c in df.columns])).dropna(how="all")
     return typed(df, infer_types(df)) if infer else df
 
