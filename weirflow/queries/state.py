@@ -1,4 +1,4 @@
-"""Queries of mergeable state, exact percentiles, versioned tables, and keys and references that are found from rows."""
+"""Queries of mergeable state, exact percentiles, versioned tables, keys and references that are found from rows, texts within a distance, and cycles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.graph import cycles as CY
+from weirflow.operators import edits as ED
 from weirflow.operators import quantiles as Q
 from weirflow.operators import sketches as K
 from weirflow.operators import versions as V
@@ -135,3 +137,41 @@ def discovered_references(t: Tables) -> DataFrame:
     tables = {name: getattr(t, name) for name in SCHEMAS}
     found = D.references(tables, [(name, c) for name, cs in REFERRING.items() for c in cs])
     return t.spark.createDataFrame(found, "table_name string, column_name string, key_table string, key_column string")
+
+
+# Texts within a distance, and cycles
+
+
+@query("SELECT a.c_custkey AS customer, b.c_custkey AS other, 1 AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND levenshtein(a.c_name, b.c_name) = 1")
+def edits_customers(t: Tables) -> DataFrame:
+    """Names of one beginning that differ in a character."""
+    a = t.customer.selectExpr("c_custkey as customer", "c_name as name")
+    b = t.customer.selectExpr("c_custkey as other", "c_name as other_name")
+    return ED.similar_rows(a, b, "name", "other_name", 1).where("customer < other").select("customer", "other", "distance")
+
+
+@query("SELECT a.p_name AS left_text, b.p_name AS right_text, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON levenshtein(a.p_name, b.p_name) <= 3")
+def edits_parts(t: Tables) -> DataFrame:
+    p = t.part.select(F.col("p_name").alias("text"))
+    return ED.similar_texts(p, p, 3)
+
+
+HOPS = "(SELECT s_suppkey AS source, o_custkey % (SELECT count(*) FROM supplier) AS target FROM supplier JOIN orders ON o_orderkey = s_suppkey)"
+SCC = f"""WITH RECURSIVE e AS {HOPS}, n AS (SELECT source AS node FROM e UNION SELECT target FROM e), r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.target FROM r JOIN e ON r.b = e.source),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)"""
+
+
+def _hops(t: Tables) -> DataFrame:
+    """Each supplier leads to one that the order of its number names."""
+    n = t.supplier.count()
+    return t.supplier.join(t.orders, F.col("o_orderkey") == F.col("s_suppkey")).selectExpr("s_suppkey as source", f"o_custkey % {n} as target")
+
+
+@query(f"{SCC} SELECT node, component FROM c")
+def graph_strong_components(t: Tables) -> DataFrame:
+    return CY.components(_hops(t))
+
+
+@query(f"{SCC} SELECT c.component, count(DISTINCT node) AS n_nodes, (SELECT count(*) FROM e JOIN c p ON e.source = p.node JOIN c q ON e.target = q.node WHERE p.component = c.component AND q.component = c.component) AS n_edges FROM c GROUP BY 1 HAVING n_edges > 0")
+def graph_cycles(t: Tables) -> DataFrame:
+    return CY.cycles(_hops(t))
