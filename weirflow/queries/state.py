@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.graph import cycles as CY
+from weirflow.graph import paths as PA
 from weirflow.operators import edits as ED
 from weirflow.operators import quantiles as Q
 from weirflow.operators import sketches as K
@@ -175,3 +176,17 @@ def graph_strong_components(t: Tables) -> DataFrame:
 @query(f"{SCC} SELECT c.component, count(DISTINCT node) AS n_nodes, (SELECT count(*) FROM e JOIN c p ON e.source = p.node JOIN c q ON e.target = q.node WHERE p.component = c.component AND q.component = c.component) AS n_edges FROM c GROUP BY 1 HAVING n_edges > 0")
 def graph_cycles(t: Tables) -> DataFrame:
     return CY.cycles(_hops(t))
+
+
+STEPS = """(SELECT 's' || s_suppkey AS source, 'n' || s_nationkey AS target, CASE WHEN s_acctbal < 0 THEN 'coarse' ELSE 'passthrough' END AS kind FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'expression' FROM nation UNION ALL SELECT 'n' || n_nationkey, 'world', 'coarse' FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world', 'passthrough' FROM region)"""
+
+
+@query(f"""WITH RECURSIVE e AS {STEPS}, w AS (SELECT source AS origin, target AS node, 1 AS steps, source || '>' || target AS path, CASE kind WHEN 'passthrough' THEN 0 WHEN 'expression' THEN 1 ELSE 2 END AS k, CASE kind WHEN 'passthrough' THEN 1e0 WHEN 'expression' THEN 9e-1 ELSE 5e-1 END AS c FROM e WHERE source LIKE 's%'
+UNION ALL SELECT origin, target, steps + 1, path || '>' || target, greatest(k, CASE kind WHEN 'passthrough' THEN 0 WHEN 'expression' THEN 1 ELSE 2 END), c * CASE kind WHEN 'passthrough' THEN 1e0 WHEN 'expression' THEN 9e-1 ELSE 5e-1 END FROM w JOIN e ON node = source)
+SELECT origin, node, steps::INTEGER AS steps, path, ['passthrough', 'expression', 'coarse'][k + 1] AS kind, round(c::DOUBLE, 6) AS confidence FROM w""")
+def lineage_ways(t: Tables) -> DataFrame:
+    """From each supplier to the world: by its nation, or by the nation's region."""
+    e = t.supplier.selectExpr("concat('s', s_suppkey) as source", "concat('n', s_nationkey) as target", "if(s_acctbal < 0, 'coarse', 'passthrough') as kind")
+    n = t.nation.selectExpr("concat('n', n_nationkey) as source", "explode(map(concat('r', n_regionkey), 'expression', 'world', 'coarse')) as (target, kind)")
+    r = t.region.selectExpr("concat('r', r_regionkey) as source", "'world' as target", "'passthrough' as kind")
+    return PA.ways(e.unionByName(n).unionByName(r), t.supplier.selectExpr("concat('s', s_suppkey) as node"))
