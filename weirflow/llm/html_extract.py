@@ -7,7 +7,8 @@ element uses its own best container. Menus, headers, footers, sidebars, notices,
 styles and comments are left out: by their tag or role, or by a whole class or id that names one (``sidebar``,
 ``site-footer``, ``share-buttons``; not ``has-sidebar``, ``share-price`` or ``related-work``). A class never condemns html, body,
 main or article, nor what the extracted container lies in, and a header within an article or main element is part of it. If a page has no
-text outside elements that a class or a form condemns, these count as any others.
+text outside elements that a class or a form condemns, these count as any others. A condemned element within a paragraph takes its own words only. Ids name headings and paragraphs as targets of links and
+condemn none. A first heading that stands before the extracted text, beside its container within a common element, belongs to it.
 
 Parsing is linear in the page: open elements are found by their tag, and a container carries a hash of its path, so
 neither stray end tags nor deep nesting is searched or copied. Only the paths that a page votes for become strings.
@@ -53,18 +54,21 @@ CONTAINERS = frozenset("article body center div main section td".split())
 #: Elements that are never part of the article, by tag or role.
 NOISE_TAGS = frozenset("nav header footer aside button dialog menu head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+#: Elements that no id condemns.
+TARGETS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Elements that no class condemns.
 SAFE = frozenset("html body main article".split())
 #: A class or id that names something else than the article: one of these words, alone or with words that only say where or what of it.
 NOISE = re.compile(
-    r"(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary|blog|reader|user|post|article|cookie|gdpr|legal|mobile|sticky)[-_]+)?"
+    r"(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary|blog|reader|user|post|article|cookie|gdpr|legal|mobile|sticky|social|google|email)[-_]+)?"
     r"(?:ads?|adverts?|advertisements?|banner|breadcrumbs?|comments?|commentlist|comment-respond|respond|replies|cookies?|consent|copyright|disclaimer|disqus|footer|foot|masthead|menu|nav|navbar|navigation|newsletter|"
     r"notices?|alert|pager|pagination|popup|promos?|promoted|related|recommended|recommendations|search|share|sharing|sidebar|skip-link|social|sponsors?|sponsored|subscribe|signup|login|modal|tags|toolbar|topbar|widgets?)"
-    r"(?:[-_]+(?:list|area|section|wrapper|wrap|container|box|block|bar|banner|slot|unit|links?|buttons?|icons?|menu|nav|inner|top|bottom|left|right|main|primary|secondary|form|threads?|items?|posts|articles|stories|media|text|holder|panel|body|content))*[-_]*[0-9]*"
+    r"(?:[-_]+(?:list|area|section|wrapper|wrap|container|box|block|bar|banner|slot|unit|links?|buttons?|icons?|menu|nav|inner|top|bottom|left|right|main|primary|secondary|form|threads?|items?|posts|articles|stories|media|text|holder|panel|body|content|signup|share|default|fixed|light|dark|label|title|heading))*[-_]*[0-9]*"
+    r"|author[-_]+(?:box|bio|card|info|panel|widget)[-_]*[0-9]*"
 )
 HEADER = re.compile(r"(?:(?:site|page|global|main|top|blog)[-_]+)?header(?:[-_]+(?:wrapper|wrap|container|inner|area|bar|top|main|nav))*[-_]*[0-9]*")
 #: What a start tag closes when it is the innermost of its kind, and where looking for it stops.
-CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "option": (("option",), ("select",)), "p": (("p",), tuple(CONTAINERS))}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "option": (("option",), ("select",)), "p": (("p",), (*CONTAINERS, *NOISE_TAGS))}
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 PRIME = (1 << 61) - 1
 
@@ -89,15 +93,22 @@ def names_noise(names: list[str], pattern: re.Pattern = NOISE) -> bool:
 
 
 class Block:
-    """A run of text: its container, how many elements around it are condemned by a class, and how much of it is link text."""
+    """Runs of text with how many elements around each are condemned by a class and whether it is link text; the block's container and tag."""
 
-    __slots__ = ("at", "links", "parts", "soft")
+    __slots__ = ("at", "runs", "tag")
 
-    def __init__(self, at: int, soft: int):
-        self.at, self.soft, self.parts, self.links = at, soft, [], 0
+    def __init__(self, at: int, tag: str):
+        self.at, self.tag, self.runs = at, tag, []
 
-    def text(self) -> str:
-        return " ".join(entities.unescape("".join(self.parts)).split())
+    def text(self, soft: int | None = None) -> str:
+        """Of the runs that so many elements condemn, or of all."""
+        return " ".join(entities.unescape("".join(t for t, s, _ in self.runs if soft is None or s == soft)).split())
+
+    def clean(self) -> bool:
+        return any(not s for _, s, _ in self.runs)
+
+    def weight(self, every: bool) -> int:
+        return max(0, sum(len(t) * (1 - 2 * link) for t, s, link in self.runs if every or not s))
 
 
 class Page:
@@ -128,14 +139,15 @@ class Page:
         if self.now is None:
             if text.isspace():
                 return
-            self.now = Block(self.stack[-1][3] if self.stack else 0, self.condemned)
+            tag = next((t for t, *_ in reversed(self.stack) if t in BLOCKS), "")
+            self.now = Block(self.stack[-1][3] if self.stack else 0, tag)
             self.blocks.append(self.now)
-        self.now.parts.append(text)
-        if self.open.get("a"):
-            self.now.links += len(text)
+        self.now.runs.append((text, self.condemned, bool(self.open.get("a"))))
 
     def start(self, tag: str, attrs: str) -> None:
         name, role, names = step(tag, attrs)
+        if tag in TARGETS:
+            names = names[:-1]
         inside = bool(self.open.get("article") or self.open.get("main"))
         bad = tag in NOISE_TAGS and not (tag == "header" and inside) or role in NOISE_ROLES and tag not in SAFE
         soft = not bad and tag not in SAFE and (tag == "form" or names_noise(names) or not inside and names_noise(names, HEADER))
@@ -169,7 +181,7 @@ class Page:
             if tag == "br":
                 self.say(" ")
                 continue
-            if tag in BLOCKS:
+            if tag in BLOCKS and not self.noise:
                 self.now = None
             if m["close"]:
                 if self.open.get(tag):
@@ -199,11 +211,13 @@ class Page:
 
     def scores(self) -> dict[int, float]:
         """Of the containers that blocks count for: a block's article or main element, else the nearest ones. One container stands for all of its path."""
-        clean = [b for b in self.blocks if not b.soft] or self.blocks
+        clean = [b for b in self.blocks if b.clean()]
+        every = not clean
+        clean = clean or self.blocks
         first: dict[int, int] = {}
         total: dict[int, float] = {}
         for b in clean:
-            n = max(0, sum(map(len, b.parts)) - 2 * b.links)
+            n = b.weight(every)
             node, share = (self.home[b.at], 0.0) if self.home[b.at] >= 0 else (b.at, 0.6)
             weight = 1.0
             for _ in range(3 if share else 1):
@@ -217,18 +231,34 @@ class Page:
     def best(self) -> list[tuple[int, float]]:
         return sorted(((k, s) for k, s in self.scores().items() if s > 0), key=lambda x: (-x[1], x[0]))[:TOP]
 
-    def within(self, key: int) -> list[Block]:
-        """The blocks in the outermost containers of a path, but those that a class condemns within them."""
+    def within(self, key: int) -> list[str]:
+        """The texts of the blocks in the outermost containers of a path, without what a class condemns within them, and of the headline beside them."""
         base = [-1] * len(self.parent)  # condemned elements around the container of the path, -1 outside
         for k in range(1, len(base)):
             up = base[self.parent[k]]
             base[k] = up if up >= 0 else self.soft[k] if self.key[k] == key else -1
-        return [b for b in self.blocks if base[b.at] == b.soft]
+        chosen = [b for b in self.blocks if base[b.at] >= 0 and b.text(base[b.at])]
+        texts = [b.text(base[b.at]) for b in chosen]
+        if chosen and not any(b.tag == "h1" for b in chosen):
+            texts = self.headline(chosen[0], base) + texts
+        return texts
+
+    def headline(self, first: Block, base: list[int]) -> list[str]:
+        """The only clean first heading of the page, if it stands before the text in an element around its container that is neither html nor body."""
+        heads = [b for b in self.blocks if b.tag == "h1" and b.clean()]
+        if len(heads) != 1 or self.blocks.index(heads[0]) > self.blocks.index(first):
+            return []
+        node = first.at
+        while node > 0 and base[node] >= 0:
+            node = self.parent[node]
+        while node > 0 and node != heads[0].at:
+            node = self.parent[node]
+        return [heads[0].text(0)] if node > 0 and self.step[node].split(".", 1)[0] not in ("html", "body") else []
 
 
 def extract(page: str, path: str | None) -> str:
     found = Page(page)
-    chosen: list[Block] = []
+    chosen: list[str] = []
     if path:
         key = 0
         for x in path.split(">"):
@@ -236,8 +266,8 @@ def extract(page: str, path: str | None) -> str:
         chosen = found.within(key)
     if not chosen:
         own = found.best()
-        chosen = found.within(found.key[own[0][0]]) if own else [b for b in found.blocks if not b.soft]
-    return "\n\n".join(t for t in (b.text() for b in chosen) if t)
+        chosen = found.within(found.key[own[0][0]]) if own else [b.text(0) for b in found.blocks]
+    return "\n\n".join(t for t in chosen if t)
 
 
 def host(url: Column) -> Column:
