@@ -4,8 +4,8 @@ Patterns find assignments, access keys and runs of hexadecimal digits. Beside th
 characters or more is looked at: words take few tokens of a byte-level vocabulary for their characters, random strings
 take many, so a string with few characters for each token is a secret, unless it has the form of a known
 digest or identifier (a UUID, a checksum, a number, a date). Runs are cut where parts of them are words or numbers (paths, names with
-underscores), so that a key in a path is judged by itself. Strings of letters only count if they mix the cases; lower-case letters
-alone are not told from prose.
+underscores), so that a key in a path is judged by itself; what base spans cover is cut out of a run, and the rest is judged. Strings of letters only count if they mix the cases, or, of capitals only,
+below a ratio of their own; lower-case letters alone are not told from prose.
 
 Defined results: a null text is empty; an empty text gives no spans; positions are code points, ends
 excluded; each input row gives one row, repeated rows give equal rows; other columns are ignored; an empty table gives an empty result.
@@ -19,7 +19,6 @@ import math
 import re
 from bisect import bisect_left
 from functools import lru_cache, partial
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +47,8 @@ KNOWN = re.compile(
 #: Characters for each token below which a string counts as random, with digits and of letters only; and the least entropy of its characters in bits.
 RATIO = 2.2
 LETTERS = 1.9
+#: The same for capitals only: at most one in fifty strings of glued words lies below, and nine in ten random ones.
+CAPITALS = 1.8
 ENTROPY = 2.8
 
 
@@ -68,7 +69,11 @@ def entropy(x: str) -> float:
 def is_random(x: str, vocabulary: str, ratio: float = RATIO) -> bool:
     if len(x) < LEAST or KNOWN.fullmatch(x) or entropy(x) < ENTROPY:
         return False
-    if not any("0" <= c <= "9" for c in x):
+    if x.isalpha() and x.isupper():
+        if sum(ord(b) - ord(a) == 1 for a, b in zip(x, x[1:], strict=False)) > len(x) // 3:  # the alphabet
+            return False
+        ratio = ratio * CAPITALS / RATIO
+    elif not any("0" <= c <= "9" for c in x):
         if sum(a.islower() and b.isupper() for a, b in zip(x, x[1:], strict=False)) < 2:
             return False
         ratio = ratio * LETTERS / RATIO
@@ -82,7 +87,7 @@ def apart(run: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     open_ = False
     for m in PART.finditer(run):
-        if WORD.fullmatch(m[0]):
+        if WORD.fullmatch(m[0]) and not (len(m[0]) >= LEAST and m[0].isalpha() and m[0].isupper()):
             open_ = False
         elif open_:
             out[-1][1] = m.end()
@@ -110,17 +115,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str, vocabulary: str, ratio: float = RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those with the random strings that no base span covers."""
     base = base_spans(text)
-    starts = [a for a, _, _ in base]
-    reach = list(accumulate((b for _, _, b in base), max))  # the end of what the base spans so far cover
+    covered = merged([(a, b) for a, _, b in base])
+    starts = [a for a, _ in covered]
     more = []
     for m in CANDIDATE.finditer(text):
-        before = bisect_left(starts, m.end())
-        if before and reach[before - 1] > m.start():
+        at = m.start()
+        before = max(bisect_left(starts, at + 1) - 1, 0)
+        if KNOWN.fullmatch(m[0]):
             continue
-        more += [(m.start() + a, 3, m.start() + b) for a, b in random_spans(m[0], vocabulary, ratio)]
+        for a, b in [*covered[before : bisect_left(starts, m.end())], (m.end(), m.end())]:
+            if b > at:
+                more += [(at + x, 3, at + y) for x, y in random_spans(text[at:a], vocabulary, ratio)] if a - at >= LEAST else []
+                at = b
+        # nothing is left behind a span that ends the run or goes on beyond it
     return base, sorted(base + more)
 
 
