@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.arrow import id_type, keyed_text, map_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 #: Of a string: it only begins pieces; it is a piece; it is one that its own merges end in, or that they never do.
 BEGINS, PIECE, STANDS, NEVER = 0, 1, 2, 3
 #: Of a string behind a state: it is not the next piece; it is; it is, and none longer can be; neither.
@@ -43,9 +43,10 @@ WORD = re.compile(" *[^ ]+| +")
 class Codec:
     """The pieces of a BPE model with byte pieces and no normalisation."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
 
+        self.remembered = remembered
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(size)]
@@ -124,7 +125,7 @@ class Codec:
                 kind = self.kind[piece] = STANDS if self.merged(piece) == [piece] else NEVER
             found = FITS if kind == STANDS and (not state or self.follows(state, piece)) else SKIP
         self.judged += 1
-        if self.judged > REMEMBERED:
+        if self.judged > self.remembered:
             self.rows.clear()
             self.judged = 0
         row[piece] = found
@@ -188,7 +189,7 @@ class Codec:
         if found is None:
             found = self.segment(" " + text)
         if len(text) <= 64:
-            if len(self.new) >= REMEMBERED // 2:
+            if len(self.new) >= self.remembered // 2:
                 self.old, self.new = self.new, {}
             self.new[text] = found
         return found
@@ -233,8 +234,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(path, remembered)
 
 
 def encoded(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -264,8 +265,8 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
     return source.mapInArrow(run, f"doc_id {id_type(rows, id_col)}, text string")
 
 
-def summed(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
-    c = codec(path)
+def summed(path: str, remembered: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    c = codec(path, remembered)
     n, digests, same = [], [], []
     for text in batch.column("text").to_pylist():
         ids = c.packed(text)
@@ -275,6 +276,6 @@ def summed(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests), pa.array(same)], names=["doc_id", "n_ids", "ids_sha256", "round_trip"])
 
 
-def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """Of each row: its number of ids, the SHA-256 of the ids (four bytes each, the lowest first) and whether they decode to the text."""
-    return map_slices(keyed_text(docs, "doc_id", "text"), partial(summed, model), f"doc_id {id_type(docs, 'doc_id')}, n_ids long, ids_sha256 string, round_trip boolean")
+def digest(docs: DataFrame, model: str = MODEL, remembered: int = REMEMBERED) -> DataFrame:
+    """Of each row: its number of ids, the SHA-256 of the ids (four bytes each, the lowest first) and whether they decode to the text. Fewer ``remembered`` words take less memory and more time."""
+    return map_slices(keyed_text(docs, "doc_id", "text"), partial(summed, model, remembered), f"doc_id {id_type(docs, 'doc_id')}, n_ids long, ids_sha256 string, round_trip boolean")
