@@ -43,3 +43,21 @@ def test_odd_calls(spark):
         E.similar_texts(df, df, -1)
     with pytest.raises(ValueError):
         E.similar_rows(df, df, "text", "text", 1)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_one_beginning(spark, most):
+    """Rests of hot segments: short ones, and ones too long to be listed with their deletions."""
+    rng = random.Random(most)
+    tails = ["".join(rng.choice("01") for _ in range(rng.choice([2, 5, 6, 40]))) for _ in range(20)]
+    own = sorted({"Customer#000" + x for t in tails for x in (t, t[1:], t[:3] + "1" + t[4:], t + "0")})
+    df = spark.createDataFrame([(t,) for t in own], "text string")
+    want = sorted((a, b, distance(a, b)) for a in own for b in own if distance(a, b) <= most)
+    assert sorted(tuple(q) for q in E.similar_texts(df, df, most, hot=3).collect()) == want
+
+
+def test_rows_of_one_name_are_no_edits(spark, tmp_path):
+    from weirflow.queries.registry import QUERIES
+
+    spark.createDataFrame([(1, "Customer#1"), (2, "Customer#1"), (3, "Customer#2")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["edits_customers"](spark, str(tmp_path)).collect()) == [(1, 3, 1), (2, 3, 1)]

@@ -148,7 +148,7 @@ def edits_customers(t: Tables) -> DataFrame:
     """Names of one beginning that differ in a character."""
     a = t.customer.selectExpr("c_custkey as customer", "c_name as name")
     b = t.customer.selectExpr("c_custkey as other", "c_name as other_name")
-    return ED.similar_rows(a, b, "name", "other_name", 1).where("customer < other").select("customer", "other", "distance")
+    return ED.similar_rows(a, b, "name", "other_name", 1, least=1).where("customer < other").select("customer", "other", "distance")
 
 
 @query("SELECT a.p_name AS left_text, b.p_name AS right_text, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON levenshtein(a.p_name, b.p_name) <= 3")
