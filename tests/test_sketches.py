@@ -69,3 +69,18 @@ def test_percentiles_of_odd_values(spark):
     assert Q.exact_percentiles(df.limit(0), [], "v", {"m": 0.5}).count() == 0
     with pytest.raises(ValueError):
         Q.exact_percentiles(df, ["k"], "v", {"m": 50})
+
+
+def test_rows_of_large_groups_stay_in_their_tasks(spark):
+    """No shuffle brings the rows of a group together: of 20,000 rows in three groups only counts are shuffled."""
+    df = spark.range(20_000).selectExpr("id % 3 as k", "cast(id as double) as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen, plain = [], Q.materialised
+    try:
+        Q.materialised = lambda d: seen.append(d._jdf.queryExecution().executedPlan().toString()) or plain(d)
+        got = {r["k"]: r["m"] for r in Q.exact_percentiles(df, ["k"], "v", {"m": 0.5}, large=100).collect()}
+    finally:
+        Q.materialised = plain
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {0: 9999.0, 1: 10000.0, 2: 9999.5}
+    assert len(seen) > 2 and not any("SortMergeJoin" in p for p in seen)

@@ -20,6 +20,8 @@ from weirflow.shared import materialised
 
 LARGE = 1_000_000
 BUCKETS = 1024
+#: Ranks asked for (at most rows / ``LARGE`` groups, two ranks a share) up to which their ranges go to the tasks, so that no group's rows are brought to one task.
+SENT = 100_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Expr, shares: dict[str, float], nearest: bool = False, large: int = LARGE) -> DataFrame:
@@ -35,15 +37,17 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Expr, shares: d
     sizes = materialised(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(a + k).eqNullSafe(F.col(b + k)) for k in keys], F.lit(True))
     named = lambda d, p: d.withColumnsRenamed({k: p + k for k in keys})
-    few = rows.join(named(sizes.where(F.col("_n") <= large).select(*keys), "_s_"), same("", "_s_"), "left_semi") if keys else rows if not (sizes.first() and sizes.first()["_n"] > large) else rows.limit(0)
+    big = sizes.where(F.col("_n") > large)
+    n_big = big.count()
+    hint = F.broadcast if n_big * 2 * max(len(shares), 1) <= SENT else lambda d: d
+    few = rows if not n_big else rows.join(hint(named(big.select(*keys), "_s_")), same("", "_s_"), "left_anti") if keys else rows.limit(0)
     if nearest:
         small = few.groupBy(*keys).agg(*[F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY _v)").alias(n) for n, p in shares.items()])
     else:
         small = few.groupBy(*keys).agg(*[F.percentile("_v", p).alias(n) for n, p in shares.items()])
-    big = sizes.where(F.col("_n") > large)
-    if big.isEmpty():
+    if not n_big:
         return small if keys else small.where(F.col(next(iter(shares))).isNotNull())
-    found = selected(rows, named(big, "_t_").select(*[f"_t_{k}" for k in keys], "_n", "_lo", "_hi"), keys, [p for p in shares.values()], nearest, same)
+    found = selected(rows, named(big, "_t_").select(*[f"_t_{k}" for k in keys], "_n", "_lo", "_hi"), keys, [p for p in shares.values()], nearest, same, hint)
     out = []
     for name, p in shares.items():
         at = lambda r: F.max(F.when(F.col("_rank") == r, F.col("_lo")))
@@ -63,7 +67,7 @@ def _nearest(p: float) -> Column:
     return F.greatest(F.ceil(F.lit(p) * F.col("_n")).cast("long") - 1, F.lit(0).cast("long"))
 
 
-def selected(rows: DataFrame, groups: DataFrame, keys: Sequence[str], shares: Sequence[float], nearest: bool, same) -> DataFrame:
+def selected(rows: DataFrame, groups: DataFrame, keys: Sequence[str], shares: Sequence[float], nearest: bool, same, hint) -> DataFrame:
     """The value (``_lo``) at each rank that the shares need of each group."""
     ranks = []
     for p in shares:
@@ -81,10 +85,15 @@ def selected(rows: DataFrame, groups: DataFrame, keys: Sequence[str], shares: Se
         todo = todo.where("_lo < _hi")
         if todo.isEmpty():
             return done.select(*names, "_n", "_rank", "_lo")
-        near = rows.join(todo, same("", "_t_") & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        # ranges of a group are the same or have no value in common: each is counted once for all of its ranks
+        ranges = todo.select(*names, "_lo", "_hi").distinct()
+        near = rows.join(hint(ranges), same("", "_t_") & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         span = (wide(F.col("_hi")) - wide(F.col("_lo"))).cast("double")
         bucket = F.least(F.floor((wide(F.col("_v")) - wide(F.col("_lo"))).cast("double") / span * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-        counted = near.groupBy(*names, "_n", "_rank", "_left", bucket.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        w = Window.partitionBy(*names, "_rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most BUCKETS rows
-        upto = counted.withColumn("_u", F.sum("_c").over(w))
-        todo = upto.where((F.col("_left") < F.col("_u")) & (F.col("_left") >= F.col("_u") - F.col("_c"))).select(*names, "_n", "_lo", "_hi", "_rank", (F.col("_left") - (F.col("_u") - F.col("_c"))).alias("_left"))
+        counted = near.groupBy(*names, F.col("_lo").alias("_from"), bucket.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        w = Window.partitionBy(*names, "_from").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most BUCKETS rows
+        upto = counted.withColumn("_u", F.sum("_c").over(w)).withColumnsRenamed({k: f"_c{k}" for k in names})
+        ranks_of = todo.select(*names, "_n", "_rank", "_left", F.col("_lo").alias("_at"))
+        own = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in names], F.col("_at") == F.col("_from"))
+        inside = (F.col("_left") < F.col("_u")) & (F.col("_left") >= F.col("_u") - F.col("_c"))
+        todo = upto.join(hint(ranks_of), own & inside).select(*names, "_n", "_lo", "_hi", "_rank", (F.col("_left") - (F.col("_u") - F.col("_c"))).alias("_left"))
