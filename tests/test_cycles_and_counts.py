@@ -86,3 +86,16 @@ def test_late_rows_go_to_the_side(spark, tmp_path):
     total = K.counts(spark, str(tmp_path / "kept")).agg({"read": "sum", "late": "sum", "on_time": "sum", "untimed": "sum"}).first()
     assert (total["sum(read)"], total["sum(late)"], total["sum(on_time)"], total["sum(untimed)"]) == (9, 2, 6, 1)
     assert seen["sum(rows_in)"] == 9 and seen["sum(dropped_late)"] >= 1
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_long_chains_take_few_rounds(spark, turned, monkeypatch):
+    """A ring of 200 nodes, a tail into it, and a knot that chains lead out of and back into."""
+    edges = [(i, (i + 1) % 200) for i in range(200)] + [(300 + i, 301 + i) for i in range(40)] + [(340, 7)]
+    edges += [(500, 501), (500, 510), (501, 502), (501, 520), (502, 500), (502, 530)] + [(510 + i, 511 + i) for i in range(4)] + [(514, 501), (520, 521), (521, 600), (530, 531), (531, 500), (540, 531), (541, 540), (600, 601)]
+    edges = [(b, a) if turned else (a, b) for a, b in edges]
+    cuts, plain = [], C._cut
+    monkeypatch.setattr(C, "_cut", lambda d: cuts.append(1) or plain(d))
+    got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "source int, target int")).collect()}
+    assert got == tarjan(edges)
+    assert len(cuts) < 80
