@@ -192,3 +192,20 @@ def test_within_equals_all_pairs(spark, part):
     assert B.within(p, s.limit(0), "d", "f", "t").count() == 0
     with pytest.raises(ValueError):
         B.within(p, s, "d", "f", "t", "right")
+
+
+def test_counts_of_overlaps_shuffle_no_pairs(spark):
+    rng = random.Random(3)
+    made = lambda n, keys: [(rng.choice(keys), a, a + rng.choice([0, 0, 3, 40])) for a in (rng.randrange(100) for _ in range(n))] + [(keys[0], 5, 4), (keys[1], None, 9)]
+    a, b = made(60, [None, "x", "y", "z"]), made(50, [1, 2, 3, None])
+    want = {}
+    for k, s, e in a:
+        for m, t, u in b:
+            if None not in (s, t) and s <= e and t <= u and s <= u and t <= e:
+                want[k, m] = want.get((k, m), 0) + 1
+    l, r = spark.createDataFrame(a, "k string, s int, e int"), spark.createDataFrame(b, "m long, t int, u int")
+    for part in (7, 100):
+        out = B.overlap_counts(l, r, "k", "m", ("s", "e"), ("t", "u"), "n", part)
+        assert sorted(map(str, (tuple(q) for q in out.collect()))) == sorted(str((*k, n)) for k, n in want.items())
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert B.overlap_counts(l.limit(0), r, "k", "m", ("s", "e"), ("t", "u"), "n").count() == 0
