@@ -41,3 +41,11 @@ def test_values_that_lie_in_other_columns(spark):
     odd = {"x": spark.createDataFrame([("1", 1, None)], "s string, i int, n int"), "y": spark.createDataFrame([(1, "1", 2.0)], "k bigint, s string, d double")}
     assert D.references(odd) == [("x", "i", "y", "k"), ("x", "s", "y", "s"), ("y", "k", "x", "i"), ("y", "s", "x", "s")]
     assert D.included({"z": odd["x"].limit(0)}) == {}
+
+
+def test_hashes_find_what_values_do(spark):
+    df = spark.range(600).selectExpr("id", "id div 2 as a", "cast(id % 7 as double) as d", "cast(id % 300 as string) as s", "array(id % 150) as l")
+    sets = list(combinations(df.columns, 2))
+    want = D._repeats(df, sets)
+    assert D._repeats_by_hash(df, sets, 1) == want and len(want) in range(1, len(sets))
+    assert D._repeats_by_hash(df, sets, 8) <= want

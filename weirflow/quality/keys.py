@@ -1,7 +1,7 @@
 """Keys and references of tables, found from their rows: exact, and without comparing column with column.
 
 Keys: sets of columns without nulls whose values together never repeat, and that hold no smaller such set. Sets are looked at by size; a set above a key is not looked at, nor is one whose values
-repeat in a bounded sample of rows already (what repeats there repeats). One shuffle of (set, values) a size counts the rest, added up in each task first.
+repeat in a bounded sample of rows, or among one in ``SLICES`` of its values, already (what repeats there repeats). One shuffle of (set, hash of the values) a size counts the rest; where a hash repeats, its values are compared.
 
 References: a column whose values all are values of a key column. Every value goes out once with the bits of the columns it was seen in, over all tables; bits of equal values are united, and a column's values
 lie in another column if every value with the one's bit has the other's: the united bits of all of its values, and-ed. One shuffle for all columns, whatever their number.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE = 10_000
+#: Parts by value of which one is looked at before all.
+SLICES = 64
 #: Bits of a word.
 WORD = 62
 
@@ -36,6 +38,29 @@ def _repeats(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> set[tuple[str, .
     return {sets[r["s"]] for r in counted.where("n > 1").collect()}  # a row for each set
 
 
+def _repeats_by_hash(df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
+    """Those of the sets whose values repeat, nulls being equal; of the rows of ``slices`` parts by value, which hold equal rows together, only one is looked at."""
+    text = lambda c: F.to_json(F.struct(F.col(f"`{c}`").alias("x")))
+    plain = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType | T.FractionalType | T.StringType | T.DateType | T.TimestampType)}
+    # a hash first: values that repeat have one that repeats
+    one = [F.struct(F.lit(i).alias("s"), F.xxhash64(*[F.col(f"`{c}`") if c in plain else text(c) for c in s]).alias("h")) for i, s in enumerate(sets)]
+    rows = df.select(F.inline(F.array(*one)))
+    if slices > 1:
+        rows = rows.where(F.pmod("h", F.lit(slices)) == 0)
+    twice = rows.groupBy("s", "h").agg(F.count("*").alias("n")).where("n > 1")
+    some = {r["s"]: r["h"] for r in twice.groupBy("s").agg(F.min_by("h", F.struct(-F.col("n"), "h")).alias("h")).collect()}  # a row for each set
+    out = set()
+    for i, h in some.items():
+        own = df.where(one[i]["h"] == F.lit(h)).select(*[text(c).alias(f"v{k}") for k, c in enumerate(sets[i])])
+        if not own.groupBy(*own.columns).count().where("count > 1").isEmpty():
+            out.add(sets[i])
+        elif slices == 1:  # that hash stands for several values: all are compared
+            every = df.select(*[text(c).alias(f"v{k}") for k, c in enumerate(sets[i])])
+            if not every.groupBy(*every.columns).count().where("count > 1").isEmpty():
+                out.add(sets[i])
+    return out
+
+
 def keys(df: DataFrame, largest: int = 2, columns: Sequence[str] | None = None, sample: int = SAMPLE) -> list[tuple[str, ...]]:
     """The minimal unique sets of at most ``largest`` columns, smaller ones first, in the order of the columns. A table without rows has none."""
     columns = list(columns or key_columns(df))
@@ -48,9 +73,9 @@ def keys(df: DataFrame, largest: int = 2, columns: Sequence[str] | None = None,
     try:
         for size in range(1, largest + 1):
             sets = [s for s in combinations(whole, size) if not any(set(k) <= set(s) for k in found)]
-            for prune in (some, df):
+            for slices in (0, SLICES, 1):
                 if sets:
-                    bad = _repeats(prune, sets)
+                    bad = _repeats_by_hash(df, sets, slices) if slices else _repeats(some, sets)
                     sets = [s for s in sets if s not in bad]
             found += sets
     finally:
