@@ -353,6 +353,34 @@ def test_blocks_of_wide_buckets(spark, monkeypatch):
     assert sorted(tuple(r) for r in order_minhash.near_duplicates(docs).collect()) == classes_by_force(rows)[0]
 
 
+def test_wide_buckets_lose_no_pair(spark, monkeypatch):
+    """Texts with one key in common only, that of a wide bucket of many classes; repeats make some alike by all shingles, some by first occurrences."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 8)
+    monkeypatch.setattr(order_minhash, "WIDE", 16)
+    rng = random.Random(8)
+    line = " ".join(f"c{i}" for i in range(12))
+    rows = []
+    for k in range(60):
+        words = [f"k{k}w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 8, 40, 90]))]
+        if k % 3 == 0:
+            words += words[: rng.choice([7, 20])] * rng.choice([1, 3])
+        for _ in range(3):
+            own = list(words)
+            for at in rng.sample(range(len(own)), min(len(own) - 1, rng.choice([0, 1, 2]))):
+                own[at] = f"e{rng.randrange(10**6)}"
+            if k % 3 == 1 and len(own) > 8:
+                own += own[:8] * rng.choice([0, 1, 4])
+            rows.append((len(rows), " ".join([*own, line])))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    texts = order_minhash.sketches(docs).dropDuplicates(["digest"]).select(F.col("digest").alias("node"), "size", "total", "marks", F.expr("array(1L)").alias("keys")).checkpoint()
+    roots = order_minhash.classes_of(docs, texts)
+    found = docs.join(roots, F.expr("unhex(substring(sha2(text, 256), 1, 32)) = node"), "left")
+    least = found.select("doc_id", F.coalesce(F.hex("root"), F.sha2("text", 256)).alias("root")).withColumn("class_id", F.expr("min(doc_id) over (partition by root)"))
+    want, n_classes, *_ = classes_by_force(rows)
+    assert sorted(tuple(r) for r in least.select("doc_id", "class_id").collect()) == want
+    assert 60 < n_classes < 120
+
+
 def test_representatives_by_row(spark):
     rng = random.Random(5)
     a, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "ac")

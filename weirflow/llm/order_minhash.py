@@ -12,8 +12,10 @@ with its leaders: of each of ``SHARES`` parts of a bucket the text that stands i
 others were copied from) and one by a hash. Verified links are joined to classes, and what is then left are pairs of
 a bucket whose texts are of different classes. They are all looked at, in blocks of about ``BLOCK`` texts of a bucket: tasks
 compare the numbers of shingles and the bits that these mark in numpy and give only the pairs that can be similar.
-Buckets of more than ``WIDE`` texts whose largest class leaves more than a block are cut by a second key of their texts
-first, and by a third where they stay so wide; at 0.8 a pair has fewer than three common keys once in a million.
+Texts of buckets of more than ``WIDE`` texts whose largest class leaves more than a block meet by their rarest shingles
+instead: in any order of all shingles, two sets at 0.8 have one in common among the first fifth of the larger and the first
+ninth of the smaller, so no pair is lost, and what is common to very many texts comes last. Where very many texts of several
+classes have their rarest shingles in common as well, all their pairs are looked at in blocks.
 
 Candidates are verified by a banded alignment: the longest common subsequence c of the labelled shingles within
 the band that a similarity of 0.8 allows, against c / (|A| + |B| - c) >= 0.8, or the same of the first occurrences.
@@ -27,10 +29,12 @@ empty table gives an empty result. Ties between leaders are settled by digest.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +50,14 @@ ORDER = 2
 SHARES = 2
 #: Texts of a bucket that a task compares with one another, or with as many others.
 BLOCK = 1024
-#: Texts of a bucket beyond which it is cut by a further key.
+#: Texts of a bucket beyond which they meet by their rarest shingles.
 WIDE = 4096
+#: Slots in which the shingles of such texts are counted; the counts (4 MB) go to the tasks and put the shingles in order.
+SLOTS = 1 << 20
+#: Texts with a rare shingle in common up to which marks are compared once for each pair, not wherever it meets.
+FEW = 64
+#: Sets the shingles of texts with repeats apart from the first occurrences.
+REPEATED = U(0xA0761D6478BD642F)
 #: Words of 64 bits whose bits the shingles mark, so that common ones can be counted from above.
 MARKS = 32
 #: Rows that a task compares at once, besides the rest of a block.
@@ -247,47 +257,96 @@ def led(rows: DataFrame) -> DataFrame:
     return pairs.select(*paired("l.node", "node")).distinct()
 
 
-def counted(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Of each group with several classes: its texts, its largest class (``main``) and how many texts are outside it."""
-    sizes = rows.groupBy(*group, "class").agg(F.count("*").alias("n"))
-    top = sizes.groupBy(*group).agg(F.sum("n").alias("texts"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    return top.select(*group, "texts", F.col("top.class").alias("main"), (F.col("texts") - F.col("top.n")).alias("outside"))
+def counted(rows: DataFrame) -> DataFrame:
+    """Of each key with several classes and a ``full`` row: its texts, its largest class (``main``), how many texts are outside it and how many are full."""
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.count_if("full").alias("full"))
+    top = sizes.groupBy("key").agg(F.sum("n").alias("texts"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.sum("full").alias("fulls")).where("classes > 1 and fulls > 0")
+    return top.select("key", "texts", "fulls", F.col("top.class").alias("main"), (F.col("texts") - F.col("top.n")).alias("outside"))
 
 
-def blocks(rows: DataFrame, group: list[str]) -> DataFrame:
-    """g, side, node and class of the rows of each block: any two texts of a group of which one is outside its largest class meet in one.
+def blocks(rows: DataFrame) -> DataFrame:
+    """g, side, node, class, full and texts of the rows of each block: any two texts of a key of which one is outside its largest class and one is full meet in one.
 
-    Texts of sides 0 and 1 are for those of the other side, texts of side 2 for all. A few outside go to every block of the
-    others (``outside`` / BLOCK rows more for each text); many meet by pairs of blocks, so each is in ``texts`` / BLOCK of them, WIDE / BLOCK at most before the last cut.
+    Texts of sides 0 and 1 are for those of the other side, texts of side 2 for all. If few are outside, or full, they go to every block of the
+    others (that many / BLOCK rows more for each text); many meet by pairs of blocks, so each is in ``texts`` / BLOCK of them.
     """
     n = F.ceil(F.col("texts") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     every = F.sequence(F.lit(0), n - 1)
-    outer = F.col("class") != F.col("main")
+    outer = F.when(F.col("fulls") < F.col("outside"), F.col("full")).otherwise(F.col("class") != F.col("main"))
     few = F.when(outer, F.transform(every, lambda i: F.struct(i.alias("i"), i.alias("j"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(own.alias("i"), own.alias("j"), F.lit(0).alias("side"))))
     many = F.transform(every, lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), F.when(i == own, 2).when(own < i, 0).otherwise(1).alias("side")))
-    placed = rows.withColumn("p", F.explode(F.when(F.col("outside") <= BLOCK, few).otherwise(many)))
-    return placed.select(F.xxhash64(*group, "p.i", "p.j").alias("g"), "p.side", "node", F.xxhash64("class").alias("class"))
+    placed = rows.withColumn("p", F.explode(F.when(F.least("fulls", "outside") <= BLOCK, few).otherwise(many)))
+    return placed.select(F.xxhash64("key", "p.i", "p.j").alias("g"), "p.side", "node", F.xxhash64("class").alias("class"), "full", "texts")
 
 
-def left_over(rows: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+def left_over(rows: DataFrame, texts: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of a bucket whose texts are of different classes and can be similar by their numbers and marks."""
-    classed = rows.select("node", "key").join(roots.withColumnRenamed("root", "class"), "node", "left").select("node", "key", F.coalesce("class", "node").alias("class"))
-    group = ["key"]
-    now = classed.join(counted(classed, group), group).checkpoint()
+    classed = rows.select("node", "key").join(roots.withColumnRenamed("root", "class"), "node", "left").select("node", "key", F.coalesce("class", "node").alias("class"), F.lit(True).alias("full"))
+    now = classed.join(counted(classed), "key").checkpoint()
     fits = f"texts <= {WIDE} or outside <= {BLOCK}"
-    placed = blocks(now.where(fits), group)
-    for level in (1, 2):
-        wide = now.where(f"not ({fits})").drop("texts", "main", "outside")
-        if wide.isEmpty():
-            break
-        further = f"key{level}"
-        cut = wide.join(rows.select("node", F.col("key").alias(further)), "node").where(f"{further} > {group[-1]}")
-        group = [*group, further]
-        now = cut.join(counted(cut, group), group).checkpoint()
-        placed = placed.unionByName(blocks(now if level == 2 else now.where(fits), group))
-    placed = placed.join(texts.select("node", "size", "total", "marks"), "node")
-    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(compared, "a binary, b binary").select(*paired("a", "b")).distinct()
+    found = met(blocks(now.where(fits)), texts, 0)
+    wide = now.where(f"not ({fits})").select("node", "class").distinct().checkpoint()
+    return found if wide.isEmpty() else found.unionByName(sharing_rare(wide, texts, held)).distinct()
+
+
+def met(placed: DataFrame, texts: DataFrame, few: int) -> DataFrame:
+    """Distinct pairs (a, b) of a block that are possible; where a key has up to ``few`` texts, by their numbers alone."""
+    marks = F.when(F.col("texts") > few, F.col("marks")).alias("marks")
+    rows = placed.join(texts.select("node", "size", "total", "marks"), "node").select("g", "side", "node", "class", "full", "size", "total", marks)
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compared, "a binary, b binary").select(*paired("a", "b")).distinct()
+
+
+def sharing_rare(wide: DataFrame, texts: DataFrame, held: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the texts of ``wide`` (node, class) that are of different classes and can be similar: all of them, whatever keys they have."""
+    own = held.join(wide, "node").select("node", "text", F.xxhash64("class").alias("class")).checkpoint()
+    seen = own.mapInArrow(tallied, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row for each of SLOTS at most
+    counts = np.zeros(SLOTS, np.int32)
+    counts[seen.column("slot").to_numpy()] = np.minimum(seen.column("n").to_numpy(), 0x7FFFFFFF)
+    rare = own.mapInArrow(rarest(own.sparkSession.sparkContext.broadcast(counts)), "node binary, class long, key long, full boolean").checkpoint()
+    pairs = met(blocks(rare.join(counted(rare), "key")), texts, FEW)
+    for c in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "total", "marks")]), c)
+    return pairs.mapInArrow(marked_alike, "a binary, b binary")
+
+
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many labelled shingles of a task's texts fall in each slot."""
+    n = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for items, _ in sequences(part.column("text")):
+                np.add.at(n, (items % U(SLOTS)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+
+def rarest(sent: Broadcast[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that gives the keys by which texts (node, class, text) meet: of n shingles those that come first by their slots' counts (``sent``).
+
+    Sets of n <= m shingles at s have at least s / (1 + s) * (n + m) in common. So one is among all but that many, less one, of either;
+    with m <= n / s that is within the first n - 2 * s / (1 + s) * n + 1 of the smaller (``full``) and m - s * m + 1 of the larger.
+    Texts meet by first occurrences, those with repeats by all shingles too: a text without repeats has as much in common with first occurrences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                who, keys, full = [], [], []
+                for k, (items, first) in enumerate(sequences(part.column("text"))):
+                    for own, apart in ((items[first], U(0)), (items if not first.all() else items[:0], REPEATED)):
+                        n, seen = len(own), counts[(own % U(SLOTS)).astype(np.int64)]
+                        order = np.lexsort((own, seen))[: n - ceil(SIMILARITY * n - 1e-6) + 1]
+                        inner = np.arange(len(order)) < n - ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-6) + 1
+                        use = seen[order] > 1  # others are in no second text
+                        who.append(np.full(int(use.sum()), k))
+                        keys.append(mix(own[order[use]] ^ apart))
+                        full.append(inner[use])
+                at = pa.array(np.concatenate(who))
+                yield pa.record_batch([part.column("node").take(at), part.column("class").take(at), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(full))], names=["node", "class", "key", "full"])
+
+    return run
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +365,41 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield possible(held)
 
 
+def marks_of(column: pa.Array) -> np.ndarray:
+    """The marks of each row; none where they are null, which leaves every pair possible."""
+    return np.frombuffer(b"".join(m or bytes(MARKS * 8) for m in column.to_pylist()), U).reshape(-1, MARKS)
+
+
+def unmarked(size: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How many shingles of each row mark no bit of their own."""
+    return size - np.bitwise_count(marks).sum(1, dtype=np.int64)
+
+
+def alike(size: np.ndarray, total: np.ndarray, marks: np.ndarray, spare: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the numbers and marks of rows x and y leave one of the similarities possible."""
+    more = total - size
+    common = np.minimum(spare[x], spare[y]) + np.bitwise_count(marks[x] & marks[y]).sum(1, dtype=np.int64)
+    by_first = (1 + SIMILARITY) * common >= SIMILARITY * (size[x] + size[y]) - 1e-6
+    by_all = (1 + SIMILARITY) * (common + np.minimum(more[x], more[y])) >= SIMILARITY * (total[x] + total[y]) - 1e-6
+    return by_first | by_all
+
+
+def marked_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, with size, total and marks of both) that their numbers and marks leave possible."""
+    for batch in batches:
+        if not (n := batch.num_rows):
+            continue
+        size, total = (np.concatenate([batch.column(f"{x}_{c}").to_numpy() for c in ("a", "b")]) for x in ("size", "total"))
+        marks = np.concatenate([marks_of(batch.column(f"marks_{c}")) for c in ("a", "b")])
+        keep = pa.array(np.flatnonzero(alike(size, total, marks, unmarked(size, marks), np.arange(n), np.arange(n, 2 * n))))
+        yield pa.record_batch([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+
 def possible(rows: pa.RecordBatch) -> pa.RecordBatch:
     g, side, kind, size, total = (rows.column(c).to_numpy() for c in ("g", "side", "class", "size", "total"))
-    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), U).reshape(-1, MARKS)
-    spare = size - np.bitwise_count(marks).sum(1, dtype=np.int64)  # shingles that mark no bit of their own
+    full = rows.column("full").to_numpy(zero_copy_only=False)
+    marks = marks_of(rows.column("marks"))
+    spare = unmarked(size, marks)
     more = total - size
     first, second = [], []
     at = np.arange(len(g))
@@ -319,14 +409,11 @@ def possible(rows: pa.RecordBatch) -> pa.RecordBatch:
         if not len(at):
             break
         b = at + step
-        ok = (kind[at] != kind[b]) & ((side[at] != side[b]) | (side[at] == 2))
+        ok = (kind[at] != kind[b]) & ((side[at] != side[b]) | (side[at] == 2)) & (full[at] | full[b])
         for x in (size, total):
             ok &= (np.minimum(x[at], x[b]) >= SIMILARITY * np.maximum(x[at], x[b]) - 1e-6) | (more[at] + more[b] > 0)
         x, y = at[ok], b[ok]
-        common = np.minimum(spare[x], spare[y]) + np.bitwise_count(marks[x] & marks[y]).sum(1, dtype=np.int64)
-        by_first = (1 + SIMILARITY) * common >= SIMILARITY * (size[x] + size[y]) - 1e-6
-        by_all = (1 + SIMILARITY) * (common + np.minimum(more[x], more[y])) >= SIMILARITY * (total[x] + total[y]) - 1e-6
-        can = by_first | by_all
+        can = alike(size, total, marks, spare, x, y)
         first.append(x[can])
         second.append(y[can])
     node = rows.column("node")
@@ -349,7 +436,7 @@ def classes_of(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_c
     tried = led(rows).checkpoint()
     links = confirmed(tried, held).checkpoint()
     roots = components(links).checkpoint()
-    more = left_over(rows, texts, roots).join(tried, ["a", "b"], "left_anti").checkpoint()
+    more = left_over(rows, texts, roots, held).join(tried, ["a", "b"], "left_anti").checkpoint()
     late = confirmed(more, held).checkpoint()
     if late.isEmpty():
         return roots
