@@ -1,10 +1,12 @@
 """Declared orders, running values by ranges and joins by bins, on cases that the tables do not hold."""
 
+import collections
 import datetime
 import itertools
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,32 @@ def test_counts_of_overlaps_shuffle_no_pairs(spark):
         assert sorted(map(str, (tuple(q) for q in out.collect()))) == sorted(str((*k, n)) for k, n in want.items())
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert B.overlap_counts(l.limit(0), r, "k", "m", ("s", "e"), ("t", "u"), "n").count() == 0
+
+
+def test_spans_of_many_blocks_are_kept_once(spark, monkeypatch):
+    """Blocks meet where they lie: no copy of a span is shuffled for each block of the other side."""
+    l, r = spark.range(300).selectExpr("id % 90 as k", "id % 50 as s", "id % 50 + id % 7 as e"), spark.range(200).selectExpr("id % 80 as m", "id % 60 as t", "id % 60 + id % 3 as u")  # noqa: E741
+    kept, plain = [], B.materialised
+    monkeypatch.setattr(B, "materialised", lambda d: kept.append(plain(d)) or kept[-1])
+    out = B.overlap_counts(l, r, "k", "m", ("s", "e"), ("t", "u"), "n", 20)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    blocks = [d for d in kept if d.columns[0] in ("l_k", "r_k")]
+    assert [d.selectExpr(f"sum(size({d.columns[1]}))").first()[0] for d in blocks] == [300, 200]
+    assert all(d.count() > 5 for d in blocks)
+    want = l.join(r, (F.col("s") <= F.col("u")) & (F.col("t") <= F.col("e"))).groupBy("k", "m").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("tile, at_once", [(3, 15), (2, 10**6), (512, 40)])
+def test_counts_of_two_blocks_by_tiles_and_slices(monkeypatch, tile, at_once):
+    rng = random.Random(tile)
+    monkeypatch.setattr(B, "TILE", tile)
+    monkeypatch.setattr(B, "AT_ONCE", at_once)
+    made = lambda n, keys, times: [(rng.choice(keys), a, a + rng.choice(times)) for a in (rng.choice(times) * 3 for _ in range(n))]
+    sides = made(70, [None, *"abcdefgh"], [0, 1, 5, 30]), made(60, [1, 2, 3, None, 9, 10, 11], [0.0, 0.5, 5.0, 29.5])
+    blocks = [list(B._packed(iter([pa.record_batch(list(map(pa.array, zip(*x, strict=True))), names=["k", "a", "b"]) for x in (rows[:40], [], rows[40:]) if x]))) for rows in sides]
+    assert [len(b) for b in blocks] == [1, 1]
+    pair = pa.record_batch([c for (b,) in blocks for c in b.columns], names=list("abcdefgh"))
+    got = [(k, m, n) for batch in B._counted(iter([pair])) for k, ms, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m, n in zip(ms, ns, strict=True)]
+    want = collections.Counter((k, m) for k, a, b in sides[0] for m, c, d in sides[1] if a <= d and c <= b)
+    assert len(got) == len(want) and {(k, m): n for k, m, n in got} == want
