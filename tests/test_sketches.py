@@ -1,5 +1,6 @@
 """Sketches merged over loads, and exact percentiles by refinement, against exact figures."""
 
+import math
 import random
 from decimal import Decimal
 
@@ -84,3 +85,20 @@ def test_rows_of_large_groups_stay_in_their_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {0: 9999.0, 1: 10000.0, 2: 9999.5}
     assert len(seen) > 2 and not any("SortMergeJoin" in p for p in seen)
+
+
+def test_values_of_all_magnitudes_take_few_passes(spark, monkeypatch):
+    values = [s * 2.0**e for s in (-1, 1) for e in range(-1074, 1024, 3)] + [0.0, 1.7e308, -1.7e308, 5.0, 5.0] + [1.0 + i * 2.0**-52 for i in range(300)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double").repartition(4)
+    passes, plain = [], Q.materialised
+
+    def counted(d):
+        passes.append(1)
+        assert len(passes) < 12
+        return plain(d)
+
+    monkeypatch.setattr(Q, "materialised", counted)
+    shares = {"least": 0.0, "p1": 0.01, "p40": 0.4, "mid": 0.5, "p55": 0.55, "p99": 0.99, "most": 1.0}
+    got = Q.exact_percentiles(df, ["k"], "v", shares, nearest=True, large=50).first()
+    ranked = sorted(values)
+    assert [got[n] for n in shares] == [ranked[max(math.ceil(p * len(values)) - 1, 0)] for p in shares.values()]

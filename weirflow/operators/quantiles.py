@@ -1,8 +1,9 @@
 """Exact percentiles and medians of groups of any size.
 
 Spark's exact percentile holds all distinct values of a group in one task. Here a group with more than ``LARGE`` rows is never gathered: each row that is asked for by its rank is closed in on. A pass
-counts the rows of its range in ``BUCKETS`` equal parts, in each task first, keeps the part that holds the rank and takes that part's least and greatest value for the next
-pass, until both are the same. Each pass splits off a value at least, and evenly spread values fall to a thousandth, so a few passes do. Smaller groups go to Spark's own function.
+counts the rows of its range in ``BUCKETS`` parts of equal length and as many of equal ratio, in each task first, keeps the part that holds the rank and takes that part's least and greatest value for the next
+pass, until both are the same. Each pass splits off a value at least; evenly spread values fall to a thousandth, and values of any magnitudes to within a few powers of two, so a few passes do. Smaller groups go to
+Spark's own function.
 """
 
 from __future__ import annotations
@@ -67,6 +68,20 @@ def _nearest(p: float) -> Column:
     return F.greatest(F.ceil(F.lit(p) * F.col("_n")).cast("long") - 1, F.lit(0).cast("long"))
 
 
+def _magnitude(c: Column) -> Column:
+    """About even in powers of two. Square roots are rounded rightly, so this never falls as ``c`` rises."""
+    size = F.abs(c.cast("double"))
+    for _ in range(10):
+        size = F.sqrt(size)
+    return F.signum(c.cast("double")) * size
+
+
+def _part(at: Column, span: Column) -> Column:
+    """Which of ``BUCKETS`` parts; the first one where the span is lost in rounding or beyond a double."""
+    share = F.coalesce(F.nanvl(at / F.nullif(span, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
 def selected(rows: DataFrame, groups: DataFrame, keys: Sequence[str], shares: Sequence[float], nearest: bool, same, hint) -> DataFrame:
     """The value (``_lo``) at each rank that the shares need of each group."""
     ranks = []
@@ -88,10 +103,11 @@ def selected(rows: DataFrame, groups: DataFrame, keys: Sequence[str], shares: Se
         # ranges of a group are the same or have no value in common: each is counted once for all of its ranks
         ranges = todo.select(*names, "_lo", "_hi").distinct()
         near = rows.join(hint(ranges), same("", "_t_") & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        span = (wide(F.col("_hi")) - wide(F.col("_lo"))).cast("double")
-        bucket = F.least(F.floor((wide(F.col("_v")) - wide(F.col("_lo"))).cast("double") / span * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        off = lambda a, b: (wide(F.col(a)) - wide(F.col(b))).cast("double")
+        ratio = lambda a, b: _magnitude(F.col(a)) - _magnitude(F.col(b))
+        bucket = _part(off("_v", "_lo"), off("_hi", "_lo")) + _part(ratio("_v", "_lo"), ratio("_hi", "_lo"))  # rises with the value, as both do
         counted = near.groupBy(*names, F.col("_lo").alias("_from"), bucket.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        w = Window.partitionBy(*names, "_from").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most BUCKETS rows
+        w = Window.partitionBy(*names, "_from").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most twice BUCKETS rows
         upto = counted.withColumn("_u", F.sum("_c").over(w)).withColumnsRenamed({k: f"_c{k}" for k in names})
         ranks_of = todo.select(*names, "_n", "_rank", "_left", F.col("_lo").alias("_at"))
         own = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in names], F.col("_at") == F.col("_from"))
